@@ -141,7 +141,7 @@ def _trim(alive: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     before = -1
     while True:
         ids = alive.select("id")
-        e = e.join(ids.withColumnRenamed("id", "u"), "u", "left_semi").join(ids.withColumnRenamed("id", "v"), "v", "left_semi")
+        e = cut(e.join(ids.withColumnRenamed("id", "u"), "u", "left_semi").join(ids.withColumnRenamed("id", "v"), "v", "left_semi"))
         pins = e.select(F.col("v").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")).union(e.select(F.col("u").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")))
         n = _runs(alive.select("id", "chain", "pos").join(pins.groupBy("id").agg(F.max("i").alias("i"), F.max("o").alias("o")), "id", "left"))
         w = Window.partitionBy("chain", "seg").orderBy("pos")
@@ -157,7 +157,7 @@ def _colour(alive: DataFrame, e: DataFrame) -> DataFrame:
     """(id, chain, pos, seg, f, b): the greatest id that leads to a node, and the greatest that it leads to."""
     s = _runs(alive).select("id", "chain", "pos", "seg", F.col("id").alias("f"), F.col("id").alias("b"))
     w = Window.partitionBy("chain", "seg").orderBy("pos")
-    e, before = cut(e), None
+    before = None
     while True:
         s = s.withColumn("f", F.max("f").over(w)).withColumn("b", F.max("b").over(w.rowsBetween(0, Window.unboundedFollowing)))
         s = cut(s)
