@@ -264,7 +264,9 @@ def _spread(texts: DataFrame) -> DataFrame:
     return texts.repartition(parts, F.xxhash64("record_key", "text"))
 
 
-_lines_of = lru_cache(maxsize=1024)(lambda text: tuple(lines(text, find(text))))
+@lru_cache(maxsize=1024)
+def _lines_of(text: str) -> tuple[int, ...]:
+    return tuple(lines(text, find(text)))
 
 
 def credential_lines(texts: DataFrame) -> DataFrame:

@@ -49,7 +49,9 @@ def first_error(source: str, language: str, jsx: bool = False) -> tuple[int, str
     return scan.line_of(source, starts[at], language), f"unexpected {kinds[at]}"
 
 
-_remembered = lru_cache(maxsize=2048)(first_error)
+@lru_cache(maxsize=2048)
+def _remembered(source: str, language: str, jsx: bool) -> tuple[int, str] | None:
+    return first_error(source, language, jsx)
 
 
 def syntax_errors(sources: DataFrame) -> DataFrame:
