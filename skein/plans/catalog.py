@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.plans import problems
+from skein.plans import problems, reference
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**reference.QUERIES, **problems.QUERIES}
+SQL = {**reference.SQL, **problems.SQL}
