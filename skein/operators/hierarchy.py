@@ -21,13 +21,20 @@ else counts for nothing; an empty table gives no rows; other columns are ignored
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.skew import salted_join
-from skein.session import cut
+from skein.session import cut, cut_with
+
+
+def _cut_open(df: DataFrame, condition: str) -> tuple[DataFrame, int]:
+    """The table, written, and how many of its rows satisfy the condition."""
+    df, seen = cut_with(df, n=F.count(F.when(F.expr(condition), 1)))
+    return df, seen["n"]
 
 
 @dataclass
@@ -72,8 +79,7 @@ def cut_cycles(parents: DataFrame) -> DataFrame:
     before = -1
     while True:
         a = s.select(F.col("id").alias("anc"), F.col("anc").alias("anc2"), F.col("low").alias("low2"))
-        s = cut(s.join(a, "anc").select("id", "parent", F.col("anc2").alias("anc"), F.least("low", "low2").alias("low")))
-        left = s.count()
+        s, left = _cut_open(s.join(a, "anc").select("id", "parent", F.col("anc2").alias("anc"), F.least("low", "low2").alias("low")), "true")
         if not left:
             return parents
         if left == before:
@@ -90,20 +96,22 @@ def cut_cycles(parents: DataFrame) -> DataFrame:
 
 def forest(parents: DataFrame) -> DataFrame:
     """(id, parent, depth, root, size) of an acyclic parent table, by pointer doubling."""
-    s = cut(
+    s, left = _cut_open(
         parents.select(
             "id", "parent", F.col("parent").alias("anc"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"),
             F.coalesce("parent", "id").alias("root"), F.lit(1).cast("long").alias("size"),
-        )
+        ),
+        "anc is not null",
     )
-    while s.where("anc is not null").limit(1).count():
+    while left:
         a = s.select(F.col("id").alias("anc"), F.col("anc").alias("anc2"), F.col("depth").alias("d2"), F.col("root").alias("r2"))
         more = s.where("anc is not null").groupBy(F.col("anc").alias("id")).agg(F.sum("size").alias("more"))
-        s = cut(
+        s, left = _cut_open(
             s.join(a, "anc", "left").join(more, "id", "left").select(
                 "id", "parent", F.col("anc2").alias("anc"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"),
                 F.coalesce("r2", "root").alias("root"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"),
-            )
+            ),
+            "anc is not null",
         )
     return s.drop("anc")
 
@@ -113,9 +121,10 @@ def chains(trees: DataFrame) -> DataFrame:
     top = trees.where("parent is not null").groupBy("parent").agg(F.max(F.struct("size", "id")).alias("t")).select(F.col("t.id").alias("id"), F.lit(True).alias("heavy"))
     t = cut(trees.join(top, "id", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False))))
     s = t.select("id", F.when(F.col("heavy"), F.col("parent")).alias("anc"), F.when(F.col("heavy"), F.col("parent")).otherwise(F.col("id")).alias("chain"))
-    while s.where("anc is not null").limit(1).count():
+    left = 1
+    while left:
         a = s.select(F.col("id").alias("anc"), F.col("anc").alias("anc2"), F.col("chain").alias("c2"))
-        s = cut(s.join(a, "anc", "left").select("id", F.col("anc2").alias("anc"), F.coalesce("c2", "chain").alias("chain")))
+        s, left = _cut_open(s.join(a, "anc", "left").select("id", F.col("anc2").alias("anc"), F.coalesce("c2", "chain").alias("chain")), "anc is not null")
     head = trees.select(F.col("id").alias("chain"), F.col("depth").alias("head_depth"))
     return cut(t.join(s.select("id", "chain"), "id").join(head, "chain").withColumn("pos", F.col("depth") - F.col("head_depth")).drop("head_depth"))
 
@@ -146,8 +155,7 @@ def _trim(alive: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame, int]:
         n = _runs(alive.select("id", "chain", "pos").join(pins.groupBy("id").agg(F.max("i").alias("i"), F.max("o").alias("o")), "id", "left"))
         w = Window.partitionBy("chain", "seg").orderBy("pos")
         n = n.withColumn("i", F.max("i").over(w)).withColumn("o", F.max("o").over(w.rowsBetween(0, Window.unboundedFollowing)))
-        alive = cut(n.where("i = 1 and o = 1").select("id", "chain", "pos"))
-        count = alive.count()
+        alive, count = _cut_open(n.where("i = 1 and o = 1").select("id", "chain", "pos"), "true")
         if count in (0, before):
             return alive, e, count
         before = count
@@ -160,8 +168,7 @@ def _colour(alive: DataFrame, e: DataFrame) -> DataFrame:
     before = None
     while True:
         s = s.withColumn("f", F.max("f").over(w)).withColumn("b", F.max("b").over(w.rowsBetween(0, Window.unboundedFollowing)))
-        s = cut(s)
-        now = s.agg(F.sum(F.col("f").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
+        s, now = cut_with(s, f=F.sum(F.col("f").cast("decimal(38,0)")), b=F.sum(F.col("b").cast("decimal(38,0)")))
         if now == before:
             return s
         before = now
@@ -221,16 +228,16 @@ def reachable(g: Links, t: DataFrame, light: DataFrame) -> DataFrame:
         .select("chain", "at", "to_chain", "to_pos")
     )
     starts = g.edges.select(F.col("u").alias("id")).union(g.loops).distinct().join(g.edges.select(F.col("v").alias("id")), "id", "left_anti")
-    seen = cut(
-        starts.join(place, "id").select(F.col("id").alias("root"), "chain", "pos", F.lit(0).cast("long").alias("depth"), F.lit(True).alias("fresh"))
+    seen, left = _cut_open(
+        starts.join(place, "id").select(F.col("id").alias("root"), "chain", "pos", F.lit(0).cast("long").alias("depth"), F.lit(True).alias("fresh")), "fresh"
     )
-    while seen.where("fresh").limit(1).count():
+    while left:
         new = (
             seen.where("fresh").join(hops, "chain").where("at >= pos")
             .select("root", F.col("to_chain").alias("chain"), F.col("to_pos").alias("pos"), (F.col("depth") + F.col("at") - F.col("pos") + 1).alias("depth"))
             .groupBy("root", "chain", "pos").agg(F.min("depth").alias("depth"))
         )
-        seen = cut(_undominated(seen.withColumn("fresh", F.lit(False)).unionByName(new.withColumn("fresh", F.lit(True)))))
+        seen, left = _cut_open(_undominated(seen.withColumn("fresh", F.lit(False)).unionByName(new.withColumn("fresh", F.lit(True)))), "fresh")
     nodes = t.select("id", "chain", F.col("pos").alias("at"))
     return seen.join(nodes, "chain").where("at >= pos").groupBy("root", "id").agg(F.min(F.col("depth") + F.col("at") - F.col("pos")).alias("depth"))
 
@@ -241,13 +248,14 @@ def intervals(t: DataFrame) -> DataFrame:
     w = Window.partitionBy("parent").orderBy(F.col("heavy").desc(), F.col("size").desc(), "id").rowsBetween(Window.unboundedPreceding, -1)
     kids = t.where("parent is not null").withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0)))
     place = t.select(F.col("id").alias("parent"), F.col("chain").alias("up"), F.col("pos").alias("up_pos"))
-    heads = cut(
+    heads, left = _cut_open(
         t.where("id = chain").select("chain", "parent").join(kids.select(F.col("id").alias("chain"), "before"), "chain", "left").join(place, "parent", "left")
-        .select("chain", "up", (F.coalesce("up_pos", F.lit(0)) + 1 + F.coalesce("before", F.lit(0)) - F.when(F.col("up").isNull(), 1).otherwise(0)).alias("pre"))
+        .select("chain", "up", (F.coalesce("up_pos", F.lit(0)) + 1 + F.coalesce("before", F.lit(0)) - F.when(F.col("up").isNull(), 1).otherwise(0)).alias("pre")),
+        "up is not null",
     )
-    while heads.where("up is not null").limit(1).count():
+    while left:
         a = heads.select(F.col("chain").alias("up"), F.col("up").alias("up2"), F.col("pre").alias("pre2"))
-        heads = cut(heads.join(a, "up", "left").select("chain", F.col("up2").alias("up"), (F.col("pre") + F.coalesce("pre2", F.lit(0))).alias("pre")))
+        heads, left = _cut_open(heads.join(a, "up", "left").select("chain", F.col("up2").alias("up"), (F.col("pre") + F.coalesce("pre2", F.lit(0))).alias("pre")), "up is not null")
     return t.join(heads.select("chain", F.col("pre").alias("head_pre")), "chain").withColumn("pre", F.col("head_pre") + F.col("pos")).drop("head_pre")
 
 
@@ -261,13 +269,14 @@ def paths(t: DataFrame, nodes: DataFrame, sep: str = " > ") -> DataFrame:
     names = named.select("chain", "pos", F.array_join(F.collect_list("path").over(w), sep).alias("segment"))
     up = t.where("id = chain").select("chain", F.col("parent").alias("next")).join(t.select(F.col("id").alias("next"), F.col("chain").alias("up"), F.col("pos").alias("up_pos")), "next", "left").select("chain", "up", "up_pos")
     names = cut(names.join(up, "chain"))
-    s = cut(t.select("id", "chain", "pos").join(names, ["chain", "pos"]).select("id", F.col("up").alias("chain"), F.col("up_pos").alias("pos"), F.col("segment").alias("full_path")))
-    while s.where("chain is not null").limit(1).count():
-        s = cut(
+    s, left = _cut_open(t.select("id", "chain", "pos").join(names, ["chain", "pos"]).select("id", F.col("up").alias("chain"), F.col("up_pos").alias("pos"), F.col("segment").alias("full_path")), "chain is not null")
+    while left:
+        s, left = _cut_open(
             s.join(names, ["chain", "pos"], "left").select(
                 "id", F.col("up").alias("chain"), F.col("up_pos").alias("pos"),
                 F.when(F.col("segment").isNull(), F.col("full_path")).otherwise(F.concat_ws(sep, "segment", "full_path")).alias("full_path"),
-            )
+            ),
+            "chain is not null",
         )
     return s.select("id", "full_path")
 
@@ -277,13 +286,15 @@ def hierarchy(edges: DataFrame, parent: str = "from_path", child: str = "to_path
     g = links(edges, parent, child)
     t = decompose(g)
     light = light_links(g, t)
-    reach = reachable(g, t, light)
+    with ThreadPoolExecutor(2) as both:  # two loops of small jobs that do not wait for each other
+        reaching, rings = both.submit(reachable, g, t, light), both.submit(circular, g, t, light)
+        reach, ring = reaching.result(), rings.result()
     names = g.nodes
     out = (
         reach.join(names, "id").join(names.select(F.col("id").alias("root"), F.col("path").alias("root_path")), "root")
         .select("path", "root_path", F.col("depth").cast("int").alias("depth"))
     )
-    ring = circular(g, t, light).select("id").union(g.loops).distinct().join(names, "id")
+    ring = ring.select("id").union(g.loops).distinct().join(names, "id")
     return out.unionByName(ring.select("path", F.lit("").alias("root_path"), F.lit(-1).alias("depth")))
 
 

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Settings of a local session; a cluster brings its own.
 LOCAL_CONF = {
@@ -50,6 +50,12 @@ def cut(df: DataFrame) -> DataFrame:
     A table survives the loss of executors as a checkpoint does; besides, its size is known to the planner, and it carries
     none of the inferred constraints that multiply in loops of joins until planning stands still.
     """
-    path = f"{shared_folder(df.sparkSession)}/skein-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return cut_with(df)[0]
+
+
+def cut_with(df: DataFrame, **figures: Column) -> tuple[DataFrame, dict]:
+    """`cut`, and aggregates over the rows, which are observed while they are written, so they cost no job of their own."""
+    path, schema = f"{shared_folder(df.sparkSession)}/skein-{uuid.uuid4().hex}", df.schema
+    seen = Observation() if figures else None
+    (df.observe(seen, *[c.alias(k) for k, c in figures.items()]) if seen else df).write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path), seen.get if seen else {}
