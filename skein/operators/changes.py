@@ -17,9 +17,9 @@ def latest_rows(rows: DataFrame, key: str, order: str) -> DataFrame:
 def changed_by_hash(corpus: DataFrame, index: DataFrame) -> DataFrame:
     """(path, change): files of the corpus(path, hash) that the index(path, hash) does not hold (new) or holds with another
     hash (changed). Removed files are no change."""
-    stored = index.select("path", F.col("hash").alias("stored"))
+    stored = index.select("path", F.col("hash").alias("stored"), F.lit(True).alias("known"))
     joined = corpus.select("path", "hash").join(stored, "path", "left")
-    return joined.where(F.col("stored").isNull() | ~F.col("hash").eqNullSafe(F.col("stored"))).select("path", F.when(F.col("stored").isNull(), "new").otherwise("changed").alias("change"))
+    return joined.where(F.col("known").isNull() | ~F.col("hash").eqNullSafe(F.col("stored"))).select("path", F.when(F.col("known").isNull(), "new").otherwise("changed").alias("change"))
 
 
 def missing_on_disk(corpus: DataFrame, index: DataFrame) -> DataFrame:

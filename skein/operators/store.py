@@ -47,8 +47,8 @@ class Store:
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not self._fs.exists(self._path(f"{self.root}/_meta.json")):
-            self._put("_meta.json", json.dumps({"version": SCHEMA_VERSION}))
+        if not self._fs.exists(self._path(f"{self.root}/meta.json")):
+            self._put("meta.json", json.dumps({"version": SCHEMA_VERSION}))
 
     def _put(self, name: str, text: str) -> None:
         tmp = self._path(f"{self.root}/.{name}.{uuid.uuid4().hex}")
@@ -68,7 +68,7 @@ class Store:
 
     @property
     def version(self) -> int:
-        return json.loads(self._get("_meta.json"))["version"]
+        return json.loads(self._get("meta.json"))["version"]
 
     def read(self, name: str) -> DataFrame:
         schema, _ = TABLES[name]
