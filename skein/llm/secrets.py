@@ -57,7 +57,7 @@ _URL = re.compile(r"[a-z][a-z0-9+.-]*://[^\s:/@\"'`<>]*:(?P<pw>[^\s/@\"'`<>]+|[^
 _USER = re.compile(r"(?:^|[\s\"'`(\[])(?:-u|--user|--proxy-user|-U)(?:[ \t]+|=)(?P<q>[\"']?)[^\s:\"']+:(?P<pw>[^\s\"'`]+)")
 _FLAG = re.compile(r"(?:^|[\s\"'`(\[,])--?(?P<id>[A-Za-z][\w-]*)(?:=|[ \t]+)(?P<q>[\"']?)(?P<pw>[^\s\"'`]+)")
 _BLOCK = re.compile(r"-----BEGIN (?P<kind>[A-Z0-9 ]*?)PRIVATE KEY(?: BLOCK)?-----(?P<body>(?:(?!-----)[\s\S])*)(?:-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----)?")
-_BLOCK_TEXT = re.compile(r"[A-Za-z0-9+/=]{16,}")
+_BLOCK_TEXT = re.compile(r"(?:\\[nrt])*(?P<t>[A-Za-z0-9+/=]{16,})")
 _SCHEME = re.compile(r"^(?P<s>Basic|Bearer|Token|Digest|ApiKey)[ \t]+", re.I)
 _ESCAPE = re.compile(r"\\(?:u\{?[\da-fA-F]+\}?|x[\da-fA-F]{2}|[\s\S])")
 
@@ -137,7 +137,7 @@ def find(text: str | None) -> list[list[Span]]:
     found: list[list[Span]] = []
     blocked: list[Span] = []
     for m in _BLOCK.finditer(text):
-        body = [(m.start("body") + x.start(), m.start("body") + x.end()) for x in _BLOCK_TEXT.finditer(m["body"])]
+        body = [(m.start("body") + x.start("t"), m.start("body") + x.end("t")) for x in _BLOCK_TEXT.finditer(m["body"])]
         if body and not all(placeholder(text[a:b]) for a, b in body):
             found.append([(m.start(), m.start()), *body])
         blocked.append(m.span())
