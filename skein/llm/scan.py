@@ -164,14 +164,11 @@ def ecma(text: str, words: Set[str], jsx: bool = False) -> tuple[list[str], list
                     stack.pop()
                     pos = template(pos, False)
                     continue
-                if not stack or stack[-1][0] + op not in ("{}", "()", "[]"):
-                    raise Bad(at, f"{op} closes nothing")
-                closed = stack.pop()[1]
+                # A bracket that closes nothing is left to the parser, which finds the first error.
+                closed = stack.pop()[1] if stack and stack[-1][0] + op in ("{}", "()", "[]") else True
                 put(op, at)
             else:
                 put("OP" if op in _OPS else op, at)
-    if stack:
-        raise Bad(end, f"{stack[-1][0]} is not closed")
     return kinds, starts, [*insert, True]
 
 
@@ -194,9 +191,9 @@ def _jsx_expr(text: str, pos: int, words: Set[str], put) -> int:
     return at
 
 
-_PY_OPS = "// << >> / % & | ^"
+_PY_OPS = "// << >> / % & ^"
 _PY_AUG = "+= -= *= /= //= %= @= &= |= ^= >>= <<= **="
-_PY_PUNCT = "... -> := ** == != <= >= < > ( ) [ ] { } , : ; . = + - * @ ~"
+_PY_PUNCT = "... -> := ** == != <= >= < > ( ) [ ] { } , : ; . = + - * @ ~ |"
 _PY = re.compile(
     r"(?P<ws>[ \t\f]+)|(?P<nl>\r\n|\n|\r)|(?P<join>\\(?:\r\n|\n|\r))|(?P<comment>\#[^\n\r]*)"
     r"""|(?P<long>(?P<p1>[rRbBuUfFtT]{0,2})(?P<q>\"\"\"|'''))"""
@@ -268,20 +265,17 @@ def python(text: str, words: Set[str], jsx: bool = False) -> tuple[list[str], li
             if op in ("(", "[", "{"):
                 stack.append(op)
             elif op in _PY_CLOSE:
-                if not stack or stack.pop() != _PY_CLOSE[op]:
-                    raise Bad(at, f"{op} closes nothing")
+                if stack and stack[-1] == _PY_CLOSE[op]:
+                    stack.pop()
             kinds.append("OP" if op in _PY_OPSET else op)
         else:
             continue
         starts.append(at)
-    if stack:
-        raise Bad(end, f"{stack[-1]} is not closed")
     if kinds and kinds[-1] not in ("NEWLINE", "DEDENT"):
         kinds.append("NEWLINE")
         starts.append(end)
     kinds += ["DEDENT"] * (len(indents) - 1)
     starts += [end] * (len(indents) - 1)
-    # The operator "|" also separates patterns; "^" and the like never do.
     return kinds, starts, None
 
 
@@ -398,8 +392,6 @@ def rust(text: str, words: Set[str], jsx: bool = False) -> tuple[list[str], list
             kind = "OP" if m[0] in _RUST_OPSET else m[0]
         else:
             kind = {"num": "NUMBER", "fdot": "NUMBER", "str": "STRING", "char": "CHAR", "life": "LIFETIME", "assign": "ASSIGN"}[group]
-        if kind == "<" and kinds and kinds[-1] == "<" and starts[-1] == at - 1 and False:
-            continue
         kinds.append(kind)
         starts.append(at)
     return kinds, starts, None
