@@ -178,44 +178,77 @@ class Grammar:
 
 
 class Parser:
-    """Recognises token streams. A stack is a linked pair (state, rest) while it has one head, a graph otherwise."""
+    """Recognises token streams.
+
+    A configuration is the set of stack heads after some tokens. Stack nodes are interned (one node per state and set of
+    nodes below it), so equal stacks are one object wherever they come up, and a configuration remembers what each token
+    leads to. Sources repeat constructs far more than they invent them; most tokens are then one look-up. The memory is
+    dropped when it holds KEEP configurations.
+    """
+
+    KEEP = 200_000
 
     def __init__(self, grammar: Grammar, inserted: str | None = None):
         self.g = grammar
         #: A terminal that may be put in before a token that does not fit (the automatic semicolon), where allowed.
         self.inserted = inserted if inserted in grammar.terminals else None
+        self._forget()
+
+    def _forget(self) -> None:
+        self._uid = 0
+        self._nodes: dict[tuple, _Node] = {}
+        self._configs: dict[tuple, _Config] = {}
+        self.first = self._config([self._node(0, ())])
 
     def parse(self, kinds: list[str], may_insert: list[bool] | None = None) -> int:
         """The index of the first token that no parse of the tokens before it can go on with; -1 if all is well."""
-        heads = {0: _Node(0)}
+        if len(self._configs) > self.KEEP:
+            self._forget()
+        at = self.first
         for i, kind in enumerate([*kinds, END]):
-            after = self._step(heads, kind)
-            if not after and self.inserted and (may_insert is None or may_insert[i]):
-                after = self._step(heads, self.inserted)
-                after = after and self._step(after, kind)
-            if not after:
+            after = at.next[kind] if kind in at.next else self._advance(at, kind)
+            if after is None and self.inserted and (may_insert is None or may_insert[i]):
+                after = at.next[self.inserted] if self.inserted in at.next else self._advance(at, self.inserted)
+                if after is not None:
+                    after = after.next[kind] if kind in after.next else self._advance(after, kind)
+            if after is None:
                 return i
-            heads = after
+            at = after
         return -1
 
-    def _step(self, heads: dict, kind: str) -> dict:
+    def _node(self, state: int, links: tuple[_Node, ...]) -> _Node:
+        key = (state, *sorted(x.uid for x in links))
+        if key not in self._nodes:
+            self._uid += 1
+            self._nodes[key] = _Node(state, links, self._uid)
+        return self._nodes[key]
+
+    def _config(self, heads: list[_Node]) -> _Config:
+        key = tuple(sorted(x.uid for x in heads))
+        if key not in self._configs:
+            self._configs[key] = _Config(heads)
+        return self._configs[key]
+
+    def _advance(self, at: _Config, kind: str) -> _Config | None:
+        at.next[kind] = after = self._step(at.heads, kind)
+        return after
+
+    def _step(self, heads: list[_Node], kind: str) -> _Config | None:
         table, gotos = self.g.table, self.g.gotos
         if len(heads) == 1:
-            (node,) = heads.values()
+            node = heads[0]
             while True:
                 act = table(node.state).get(kind)
                 if act is None:
-                    return {}
+                    return None
                 to, reds = act
-                if to >= 0:
-                    if reds:
-                        break
-                    return {to: _Node(to, [node])}
-                if len(reds) > 1:
+                if to >= 0 and not reds:
+                    return self._config([self._node(to, (node,))])
+                if to >= 0 or len(reds) > 1:
                     break
                 head, n, p = reds[0]
                 if p == 0:
-                    return {-1: _Node(-1)}
+                    return _Config([])
                 base = node
                 for _ in range(n):
                     if len(base.links) > 1:
@@ -223,18 +256,17 @@ class Parser:
                     base = base.links[0]
                 else:
                     table(base.state)
-                    to = gotos[base.state][head]
-                    node = _Node(to, [base])
+                    node = self._node(gotos[base.state][head], (base,))
                     continue
                 break
-            heads = {node.state: node}
+            heads = [node]
         return self._branch(heads, kind)
 
-    def _branch(self, heads: dict, kind: str) -> dict:
+    def _branch(self, heads: list[_Node], kind: str) -> _Config | None:
         """All reductions under `kind` over the graph, then the shifts. Reductions run again when a node of this level
         gets another link, over the paths that use it."""
         table, gotos = self.g.table, self.g.gotos
-        level = {s: _Node(s, list(n.links)) for s, n in heads.items()}
+        level = {n.state: _Node(n.state, list(n.links), -1) for n in heads}
         shifts: dict[int, list] = {}
         done = False
         todo = list(level.values())
@@ -259,25 +291,53 @@ class Parser:
                     to = gotos[base.state][head]
                     old = level.get(to)
                     if old is None:
-                        level[to] = new = _Node(to, [base])
+                        level[to] = new = _Node(to, [base], -1)
                         todo.append(new)
                     elif all(b is not base for b in old.links):
                         old.links.append(base)
                         todo.extend(level.values())
         if done:
-            return {-1: _Node(-1)}
+            return _Config([])
         for node in level.values():
             act = table(node.state).get(kind)
             if act and act[0] >= 0:
                 shifts.setdefault(act[0], []).append(node)
-        return {s: _Node(s, nodes) for s, nodes in shifts.items()}
+        if not shifts:
+            return None
+        kept: dict[int, _Node | None] = {}
+
+        def intern(x: _Node) -> _Node:
+            if x.uid >= 0:
+                return x
+            if id(x) in kept:
+                if kept[id(x)] is None:
+                    raise RecursionError  # a loop of empty reductions: such nodes stay as they are
+                return kept[id(x)]
+            kept[id(x)] = None
+            kept[id(x)] = out = self._node(x.state, tuple(intern(b) for b in x.links))
+            return out
+
+        try:
+            return self._config([self._node(s, tuple(intern(n) for n in nodes)) for s, nodes in shifts.items()])
+        except RecursionError:
+            self._uid += 1 + len(level)
+            for k, n in enumerate(level.values()):
+                n.uid = self._uid - k
+            return self._config([self._node(s, tuple(nodes)) for s, nodes in shifts.items()])
 
 
 class _Node:
-    __slots__ = ("links", "state")
+    __slots__ = ("links", "state", "uid")
+
+    def __init__(self, state: int, links: tuple | list, uid: int):
+        self.state, self.links, self.uid = state, links, uid
+
+
+class _Config:
+    __slots__ = ("heads", "next")
 
-    def __init__(self, state: int, links: list | None = None):
-        self.state, self.links = state, links or []
+    def __init__(self, heads: list[_Node]):
+        self.heads, self.next = heads, {}
 
 
 def load(name: str, flags: Iterable[str] = ()) -> Grammar:
