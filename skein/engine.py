@@ -94,10 +94,13 @@ class Engine:
         if self.embedder:
             self._embed(changed)
 
-    def repair(self) -> list[tuple[str, int]]:
-        """Bring the index in line with the folder, without new files; the number of files per action."""
+    def repair(self, log: str | None = None) -> list[tuple[str, int]]:
+        """Bring the index in line with the folder, without new files; the number of files per action. log: a folder for
+        the actions, a line each."""
         plan = changes.repair_plan(self.corpus(), self.store.read("indexed_files")).persist()
         counts = [(r.action, r.n) for r in plan.groupBy("action").agg(F.count(F.lit(1)).alias("n")).orderBy("action").collect()]
+        if log:
+            plan.where("action <> 'keep'").select(F.concat_ws(" ", "action", "path").alias("value")).write.mode("append").text(log)
         gone, stale = plan.where("action = 'delete'").select("path"), plan.where("action = 'reindex'").select("path")
         if not gone.isEmpty():
             self.store.remove(gone)
@@ -139,8 +142,14 @@ class Engine:
         slots = {r["bucket"]: r["content"] for r in budget.slot_text(shown.where("kept"), "bucket", "rank", content).collect()}
         raw = now.join(index.select("path", "hash", "token_count"), ["path", "hash"], "left").agg(F.coalesce(F.sum(F.coalesce("token_count", self.tokens(F.col("source")))), F.lit(0))).first()[0] + task_tokens
         used = fitted.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0] + task_tokens
+        # Directories are a summary of the paths: as many as the tree has, not as it has files.
+        folders = [r.d for r in now.select(F.explode(text.directories(F.col("path"))).alias("d")).distinct().orderBy("d").toLocalIterator()]
+        skeleton = "PROJECT STRUCTURE:\n" + "\n".join(folders)
+        n_skeleton = self.spark.range(1).select(self.tokens(F.lit(skeleton))).first()[0]
+        shows_skeleton = bool(folders) and used + n_skeleton <= size
+        used += n_skeleton if shows_skeleton else 0
         rule = "━" * 50
-        body = "\n\n".join([f"{rule}\nTASK: {task}\nBUDGET: {used} of {size} tokens\n{rule}", *[slots[b] for b in ("changed", "touched", "ancestor") if b in slots]])
+        body = "\n\n".join([f"{rule}\nTASK: {task}\nBUDGET: {used} of {size} tokens\n{rule}", *[slots[b] for b in ("changed", "touched", "ancestor") if b in slots], *([skeleton] if shows_skeleton else [])])
         if record is not None:
             self.record(record, task, raw, used)
         settings.clear_overrides(f"{self.folder}/overrides.json")

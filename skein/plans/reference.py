@@ -460,5 +460,32 @@ def _symbols_of(language: str) -> Query:
     return run
 
 
+@query("stream_debounce", SQL["watch_debounce"])
+def stream_debounce(spark: SparkSession, d: str) -> DataFrame:
+    return _stamped(_replay(spark, d, lambda e: upkeep.debounced(e, "30 days"), "complete"))
+
+
+@query("state_counts", f"WITH x AS ({_bfs_sql(2)}), s AS (SELECT f.path, CASE depth WHEN 0 THEN 'CHANGED' WHEN 1 THEN 'TOUCHED' WHEN 2 THEN 'ANCESTOR' ELSE 'UNRELATED' END AS state FROM (SELECT path FROM {_FILES} UNION SELECT path FROM x) f LEFT JOIN x ON x.path = f.path) SELECT state, count(*) AS n FROM s GROUP BY state")
+def state_counts(spark: SparkSession, d: str) -> DataFrame:
+    walked = graph.states(bfs_depth2(spark, d), _files(spark, d))
+    return walked.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("score_range", f"SELECT round(min(final), 6) AS least, round(max(final), 6) AS greatest, count(*) AS n FROM {_FINAL}")
+def score_range(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).agg(F.round(F.min("final"), 6).alias("least"), F.round(F.max("final"), 6).alias("greatest"), F.count(F.lit(1)).alias("n"))
+
+
+_VECTORS = "(SELECT file_path, vector FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY created_at DESC NULLS LAST, model DESC NULLS LAST) AS r FROM file_embeddings) WHERE r = 1 AND vector IS NOT NULL AND len(vector) = dimensions AND model = 'ctx-embed-base')"
+
+
+@query("knn_files", f"SELECT file_path, round(score, 6) AS score FROM (SELECT file_path, CASE WHEN list_sum(list_transform(vector, lambda x: x * x)) = 0 THEN 0 ELSE list_cosine_similarity(vector::DOUBLE[], q) END AS score FROM {_VECTORS}, (SELECT vector::DOUBLE[] AS q FROM {_VECTORS} WHERE file_path = (SELECT min(file_path) FROM {_VECTORS} WHERE list_sum(list_transform(vector, lambda x: x * x)) > 0))) WHERE score >= 0.3 ORDER BY score DESC, file_path LIMIT 20")
+def knn_files(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "file_embeddings").groupBy("file_path").agg(F.max_by(F.struct("model", "dimensions", "vector"), F.struct("created_at", "model")).alias("r")).select("file_path", "r.*")
+    v = v.where("vector is not null and size(vector) = dimensions and model = 'ctx-embed-base'")
+    q = v.where(F.exists("vector", lambda x: x != 0)).orderBy("file_path").first()["vector"]
+    return relevance.most_similar(v, q, threshold=0.3, k=20).withColumn("score", F.round("score", 6))
+
+
 for _language in ("typescript", "javascript", "python", "go", "rust", "java"):
     QUERIES[f"symbols_{_language}"] = _symbols_of(_language)
