@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -32,16 +31,29 @@ def local_session(cpus: int = 8, partitions: int = 8, memory: str = "8g", name:
     return spark
 
 
+_FOLDERS: set[str] = set()
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; an own one only where it is unset (tests, local runs)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    where = os.path.join(tempfile.gettempdir(), f"skein-{os.getpid()}")
-    if not os.path.isdir(where):
-        os.makedirs(where)
-        atexit.register(shutil.rmtree, where, True)
-    return f"file://{where}"
+    """This application's folder below the one that spark.checkpoint.dir names; a local one only where that is unset (tests,
+    local runs). It is removed when the driver ends."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
+    where = f"{named.rstrip('/')}/skein-{sc.applicationId}"
+    if where not in _FOLDERS:
+        _FOLDERS.add(where)
+        atexit.register(_remove, spark, where)
+    return where
+
+
+def _remove(spark: SparkSession, where: str) -> None:
+    try:
+        sc = spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 the session has ended; local folders can still go
+        if where.startswith("file:"):
+            shutil.rmtree(where.removeprefix("file:").replace("//", "/"), True)
 
 
 def cut(df: DataFrame) -> DataFrame:
