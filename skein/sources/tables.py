@@ -18,3 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
         if field.dataType.typeName() == "timestamp_ntz":
             df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
     return df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over enough partitions, by a hash of the keys, for work that takes far longer than reading: a file of a few
+    blocks would otherwise be worked on by as few tasks. The number is explicit, so it is not coalesced away."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
