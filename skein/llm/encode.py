@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.session import cut
+from skein.sources.tables import spread
 
 TOKENIZERS = "/opt/tokenizers"
 #: The split of byte-level BPE; (?U) gives \s its Unicode meaning.
@@ -50,7 +51,7 @@ _ENCODERS: dict = {}
 
 def words(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, word) of the texts that have any."""
-    text = docs.where(F.length("text") > 0).select("doc_id", "text")
+    text = spread(docs.where(F.length("text") > 0).select("doc_id", "text"), "doc_id")
     return text.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(SPLIT), F.lit(0))).alias("pos", "word"))
 
 

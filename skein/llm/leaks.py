@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from skein.llm.lookalike import ASCII, LOOKALIKES, canonical
 from skein.session import cut
+from skein.sources.tables import spread
 
 MIN_WORDS = 12
 #: Piece tables up to this number of rows (of 20 bytes each) are broadcast.
@@ -120,7 +121,7 @@ def verify(doc: list[str], item: list[str], diagonals: list[int], min_words: int
 def leaks(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, budget: int = 0) -> DataFrame:
     """(doc_id, item_id, distance, longest_run, first_word) of every document and item within the budget."""
     q = (min_words + 1) // (budget + 2)
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", word_list(F.col("text")).alias("words"))
+    texts = spread(docs.where(F.col("text").isNotNull()).select("doc_id", "text"), "doc_id").select("doc_id", word_list(F.col("text")).alias("words"))
     wanted = cut(items.where(F.col("text").isNotNull()).select("item_id", word_list(F.col("text")).alias("item_words")).where(F.size("item_words") >= min_words))
     parts = wanted.select("item_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.expr(f"size(item_words) div {q} - 1")), lambda i: F.xxhash64(F.slice("item_words", i * q + 1, q)))).alias("n", "piece"))
     parts = cut(parts.select("piece", "item_id", (F.col("n") * q).alias("item_pos")))

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skein.sources.tables import spread
+
 # Letters of the Cyrillic and Greek scripts with the Latin letters that they look like.
 LOOKALIKES = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X",
@@ -127,7 +129,8 @@ def canonical_text(text: Column) -> Column:
 
 def look_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc id, look, text_id): the class of the texts that look like a document's text, and an id of the text itself."""
-    return docs.where(F.col(text).isNotNull()).select(
+    some = spread(docs.where(F.col(text).isNotNull()).select(key, text), key)
+    return some.select(
         F.col(key).alias("doc_id"), F.sha2(canonical_text(F.col(text)), 256).alias("look"), F.sha2(F.col(text), 256).alias("text_id")
     )
 
@@ -156,4 +159,4 @@ def look_report(docs: DataFrame) -> DataFrame:
 def canonical_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, text, changed): the canonical text of every document."""
     form = canonical_text(F.col("text"))
-    return docs.select("doc_id", form.alias("canonical"), "text").select("doc_id", F.col("canonical").alias("text"), (F.col("canonical") != F.col("text")).alias("changed"))
+    return spread(docs.select("doc_id", "text"), "doc_id").select("doc_id", form.alias("canonical"), "text").select("doc_id", F.col("canonical").alias("text"), (F.col("canonical") != F.col("text")).alias("changed"))
