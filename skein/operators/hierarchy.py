@@ -12,6 +12,8 @@ The links form a directed graph: nodes may have several parents and lie on cycle
    light links in one join, so the rounds follow the number of light links on a path, not its length.
 5. `reachable`: the fewest links from each root to each node over *all* links. The state is a set of chain entries
    (root, chain, pos, depth), of which each stands for all later nodes of its chain; only light links are joined.
+6. `tree`: the forest of shortest paths from the nearest roots. `below` walks its chain entries from *every* node, so
+   descendants over all links come out as intervals of pre-order numbers; `descendants` spells them out as pairs.
 
 Each round cuts its lineage in the shared checkpoint folder. Nothing is gathered in the driver but counts.
 
@@ -219,14 +221,20 @@ def _undominated(entries: DataFrame) -> DataFrame:
     return entries.withColumn("best", F.min(lead).over(w)).where(F.col("best").isNull() | (lead < F.col("best"))).drop("best")
 
 
-def reachable(g: Links, t: DataFrame, light: DataFrame) -> DataFrame:
-    """(root, id, depth): for each node that is no other's child every node it reaches, with the fewest links."""
+def _hops(t: DataFrame, light: DataFrame) -> DataFrame:
+    """(chain, at, to_chain, to_pos) of the light links."""
     place = t.select("id", "chain", "pos")
-    hops = cut(
+    return cut(
         light.join(place.select(F.col("id").alias("u"), "chain", F.col("pos").alias("at")), "u")
         .join(place.select(F.col("id").alias("v"), F.col("chain").alias("to_chain"), F.col("pos").alias("to_pos")), "v")
         .select("chain", "at", "to_chain", "to_pos")
     )
+
+
+def reachable(g: Links, t: DataFrame, light: DataFrame) -> DataFrame:
+    """(root, id, depth): for each node that is no other's child every node it reaches, with the fewest links."""
+    place = t.select("id", "chain", "pos")
+    hops = _hops(t, light)
     starts = g.edges.select(F.col("u").alias("id")).union(g.loops).distinct().join(g.edges.select(F.col("v").alias("id")), "id", "left_anti")
     seen, left = _cut_open(
         starts.join(place, "id").select(F.col("id").alias("root"), "chain", "pos", F.lit(0).cast("long").alias("depth"), F.lit(True).alias("fresh")), "fresh"
@@ -242,6 +250,33 @@ def reachable(g: Links, t: DataFrame, light: DataFrame) -> DataFrame:
     return seen.join(nodes, "chain").where("at >= pos").groupBy("root", "id").agg(F.min(F.col("depth") + F.col("at") - F.col("pos")).alias("depth"))
 
 
+def below(t: DataFrame, light: DataFrame) -> DataFrame:
+    """(node, chain, pos): for every node the chains that it reaches over all links, itself included, each from its
+    earliest place on. How many links it takes does not matter here, so one entry per node and chain is enough."""
+    hops = _hops(t, light)
+    seen, left = _cut_open(t.select(F.col("id").alias("node"), "chain", "pos", F.lit(True).alias("fresh")), "fresh")
+    while left:
+        new = (
+            seen.where("fresh").join(hops, "chain").where("at >= pos")
+            .groupBy("node", F.col("to_chain").alias("chain")).agg(F.min("to_pos").alias("pos")).withColumn("fresh", F.lit(True))
+        )
+        both = seen.withColumn("fresh", F.lit(False)).unionByName(new).groupBy("node", "chain").agg(F.min(F.struct("pos", "fresh")).alias("e"))
+        seen, left = _cut_open(both.select("node", "chain", "e.pos", "e.fresh"), "fresh")
+    return seen.drop("fresh")
+
+
+def shortest_parents(g: Links, reach: DataFrame) -> DataFrame:
+    """(id, parent): the parent on a shortest path from the nearest root, of several the one with the least path. Nodes
+    that no root reaches have parents that none reaches either; they keep their primary parent."""
+    near = cut(reach.groupBy("id").agg(F.min("depth").alias("depth")))
+    short = (
+        g.edges.join(near.select(F.col("id").alias("u"), F.col("depth").alias("du")), "u").join(near.select(F.col("id").alias("v"), F.col("depth").alias("dv")), "v")
+        .where("dv = du + 1").join(g.nodes.select(F.col("id").alias("u"), "path"), "u")
+        .groupBy(F.col("v").alias("id")).agg(F.min(F.struct("path", "u")).alias("b")).select("id", F.col("b.u").alias("short"))
+    )
+    return primary_parents(g).join(near, "id", "left").join(short, "id", "left").select("id", F.when(F.col("depth").isNull(), F.col("parent")).otherwise(F.col("short")).alias("parent"))
+
+
 def intervals(t: DataFrame) -> DataFrame:
     """t with `pre`: pre-order numbers per tree, heavy child first. The descendants of a node in its tree have the numbers
     pre + 1 to pre + size - 1. Computed from chain head to chain head, so in at most log2(n) rounds."""
@@ -298,14 +333,53 @@ def hierarchy(edges: DataFrame, parent: str = "from_path", child: str = "to_path
     return out.unionByName(ring.select("path", F.lit("").alias("root_path"), F.lit(-1).alias("depth")))
 
 
+def _spans(n: DataFrame, entries: DataFrame) -> DataFrame:
+    """(id, descendants, n_descendants) from the chain entries of every node; a node is not its own descendant."""
+    chain = n.groupBy("chain").agg(F.first("root_path").alias("root_path"), F.min("pre").alias("head"), F.max("pre").alias("end"))
+    own = n.select(F.col("id").alias("node"), F.col("chain").alias("own"), F.col("pre").alias("self"))
+    e = entries.join(chain, "chain").join(own, "node").withColumn("first", F.col("head") + F.col("pos"))
+    # Numbers along a chain run on from its head, so the rest of a chain is one interval; its own place splits it.
+    e = e.select("node", "root_path", F.explode(F.when(
+        F.col("chain") == F.col("own"),
+        F.array(F.struct(F.col("first"), (F.col("self") - 1).alias("last")), F.struct((F.greatest(F.col("self") + 1, "first")).alias("first"), F.col("end").alias("last"))),
+    ).otherwise(F.array(F.struct(F.col("first"), F.col("end").alias("last"))))).alias("x")).select("node", "root_path", "x.first", "x.last").where("first <= last")
+    w = Window.partitionBy("node", "root_path").orderBy("first")
+    e = e.withColumn("gap", F.when(F.col("first") == F.lag("last").over(w) + 1, 0).otherwise(1)).withColumn("run", F.sum("gap").over(w))
+    e = e.groupBy("node", "root_path", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return e.groupBy(F.col("node").alias("id")).agg(
+        F.array_sort(F.collect_list(F.struct("root_path", "first", "last"))).alias("descendants"), F.sum(F.col("last") - F.col("first") + 1).alias("n_descendants")
+    )
+
+
 def tree(edges: DataFrame, parent: str = "from_path", child: str = "to_path") -> DataFrame:
-    """Every node's place in the forest of primary parents: full path, depth, root, size, its pre-order number (the
-    descendants are the numbers up to `last` in the same tree), chain and the component of its cycle, if any."""
+    """One row per node. full_path is a shortest path from its nearest root, depth its number of links; a node that no root
+    reaches hangs below the node of its cycle where that was cut. `roots` are all roots that reach it, with the fewest
+    links from each. `descendants` are all nodes that it reaches over any link, n_descendants in number: intervals of the
+    pre-order numbers `pre` of the tree of root_path, both ends included (`descendants` below gives the pairs). `size`
+    and pre to `last` are the node's own subtree in the forest of the full paths."""
     g = links(edges, parent, child)
-    t = decompose(g)
-    ring = circular(g, t, light_links(g, t)).union(g.loops.select("id", F.col("id").alias("component"))).groupBy("id").agg(F.max("component").alias("component"))
-    n = intervals(t).join(g.nodes, "id").join(paths(t, g.nodes), "id").join(ring, "id", "left")
+    first = decompose(g)
+    reach = cut(reachable(g, first, light_links(g, first)))
+    t = chains(forest(cut_cycles(shortest_parents(g, reach))))
+    light = light_links(g, t)
+    with ThreadPoolExecutor(2) as both:
+        reaching, rings = both.submit(below, t, light), both.submit(circular, g, t, light)
+        entries, ring = reaching.result(), rings.result()
+    ring = ring.union(g.loops.select("id", F.col("id").alias("component"))).groupBy("id").agg(F.max("component").alias("component"))
     root = g.nodes.select(F.col("id").alias("root"), F.col("path").alias("root_path"))
-    return n.join(root, "root").select(
-        "path", "root_path", "full_path", "depth", "size", "pre", (F.col("pre") + F.col("size") - 1).alias("last"), F.col("component").isNotNull().alias("is_circular")
+    n = cut(intervals(t).join(root, "root"))
+    roots = reach.join(root, "root").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("root_path", F.col("depth").cast("int").alias("depth")))).alias("roots"))
+    spans = _spans(n, entries)
+    full = n.join(g.nodes, "id").join(paths(t, g.nodes), "id").join(ring, "id", "left").join(roots, "id", "left").join(spans, "id", "left")
+    return full.select(
+        "path", "root_path", "full_path", "depth", "size", "pre", (F.col("pre") + F.col("size") - 1).alias("last"), F.col("component").isNotNull().alias("is_circular"),
+        F.coalesce("roots", F.array().cast("array<struct<root_path: string, depth: int>>")).alias("roots"),
+        F.coalesce("descendants", F.array().cast("array<struct<root_path: string, first: bigint, last: bigint>>")).alias("descendants"),
+        F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"),
     )
+
+
+def descendants(rows: DataFrame) -> DataFrame:
+    """(path, descendant): the pairs that the intervals of `tree` stand for."""
+    at = rows.select("path", F.explode("descendants").alias("x")).select("path", "x.root_path", F.explode(F.sequence("x.first", "x.last")).alias("pre"))
+    return at.join(rows.select("root_path", "pre", F.col("path").alias("descendant")), ["root_path", "pre"]).select("path", "descendant")

@@ -62,3 +62,38 @@ def test_tree_paths_and_intervals(frame):
     below = lambda p: {q for q, r in rows.items() if r.root_path == rows[p].root_path and rows[p].pre < r.pre <= rows[p].last}
     assert below("r") == {"a", "b", "c", "d", "e"} and below("a") == {"c", "d", "e"} and below("e") == set()
     assert {p for p, r in rows.items() if r.is_circular} == {"x", "y"}
+
+
+def test_tree_gives_every_descendant_root_and_the_fewest_links(frame):
+    """Nodes with several parents, cycles with and without a root, loops and a hub."""
+    name = lambda kind, x: x and f"{kind}/{x}"
+    edges = [(name(k, a), name(k, b)) for k in ("chain", "small", "mixed") for a, b in graph(k)]
+    out = defaultdict(set)
+    for a, b in edges:
+        if a and b:
+            out[a].add(b)
+    nodes = {x for e in edges if all(e) for x in e}
+    reach = {}
+    for a in nodes:
+        reach[a], todo = set(), list(out[a])
+        while todo:
+            u = todo.pop()
+            if u not in reach[a]:
+                reach[a].add(u)
+                todo += out[u]
+    roots = defaultdict(set)
+    for n, r, d in brute(edges):
+        if r:
+            roots[n].add((r, d))
+    t = hierarchy.tree(frame(edges, "from_path string, to_path string")).cache()
+    rows = {r.path: r for r in t.collect()}
+    assert set(rows) == nodes
+    pairs = [tuple(r) for r in hierarchy.descendants(t).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(a, b) for a in nodes for b in reach[a] - {a}}
+    for n, r in rows.items():
+        assert {tuple(x) for x in r.roots} == roots[n] and r.n_descendants == len(reach[n] - {n})
+        steps = r.full_path.split(" > ")
+        assert len(steps) == r.depth + 1 and steps[0] == r.root_path and steps[-1] == n and all(b in out[a] for a, b in zip(steps, steps[1:]))
+        assert r.is_circular == (n in reach[n])
+        if roots[n]:
+            assert r.depth == min(d for _, d in roots[n]) and (r.root_path, r.depth) in roots[n]
