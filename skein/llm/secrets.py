@@ -44,7 +44,7 @@ _PLACEHOLDER = re.compile(
     r"|.*(?:placeholder|redacted|example_?(?:key|token|secret|password)|dummy|not[-_]?a[-_]?real|fake).*|(?:process\.env|os\.environ|os\.getenv|env|secrets?|vault|ssm|config|settings|var|local|data|params?|args?|options?|self|this|ctx|req|request|props)[.:\[(/].*|(?:vault|ssm|arn|secretsmanager|op|keyring|file|env|ref|k8s|gcp|azurekv):.*|.*(.)\1{7,}.*)$"
 )
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-_STRING = r"""(?:\b[rRbBuUfFcC]{1,2})?(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`)"""
+_STRING = r"""(?:\b[rRbBuUfFcC]{1,2})?(?:\"{3}(?:[^"\\]|\\[\s\S]|"(?!""))*\"{3}|'{3}(?:[^'\\]|\\[\s\S]|'(?!''))*'{3}|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`)"""
 _JOINED = re.compile(rf"(?P<first>{_STRING})(?P<more>(?:[ \t]*\\?\r?\n?[ \t]*[+.]?[ \t]*\r?\n?[ \t]*\+[ \t]*\r?\n?[ \t]*{_STRING})*)")
 _PIECE = re.compile(_STRING)
 _BIND = re.compile(
@@ -58,6 +58,8 @@ _USER = re.compile(r"(?:^|[\s\"'`(\[])(?:-u|--user|--proxy-user|-U)(?:[ \t]+|=)(
 _FLAG = re.compile(r"(?:^|[\s\"'`(\[,])--?(?P<id>[A-Za-z][\w-]*)(?:=|[ \t]+)(?P<q>[\"']?)(?P<pw>[^\s\"'`]+)")
 _BLOCK = re.compile(r"-----BEGIN (?P<kind>[A-Z0-9 ]*?)PRIVATE KEY(?: BLOCK)?-----(?P<body>(?:(?!-----)[\s\S])*)(?:-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----)?")
 _BLOCK_TEXT = re.compile(r"(?:\\[nrt])*(?P<t>[A-Za-z0-9+/=]{16,})")
+# Words before a bracket that call nothing.
+_NO_CALL = {"if", "elif", "in", "return", "not", "and", "or", "for", "while", "switch", "match", "case", "yield", "assert", "print"}
 _SCHEME = re.compile(r"^(?P<s>Basic|Bearer|Token|Digest|ApiKey)[ \t]+", re.I)
 _ESCAPE = re.compile(r"\\(?:u\{?[\da-fA-F]+\}?|x[\da-fA-F]{2}|[\s\S])")
 
@@ -109,8 +111,8 @@ def _strings(text: str, at: int = 0) -> tuple[str, list[Span]] | None:
         return None
     spans = []
     for p in _PIECE.finditer(text, m.start(), m.end()):
-        quote = re.search(r"[\"'`]", p[0]).start()
-        spans.append((p.start() + quote + 1, p.end() - 1))
+        quote = re.search(r"\"{3}(?:\\\r?\n)?(?=[\s\S]*\"{3})|'{3}(?:\\\r?\n)?(?=[\s\S]*'{3})|[\"'`]", p[0])
+        spans.append((p.start() + quote.end(), p.end() - (3 if quote[0][:3] in ('"""', "'''") else 1)))
     return "".join(text[a:b] for a, b in spans), spans
 
 
@@ -125,6 +127,26 @@ def _cut_spans(spans: list[Span], a: int, b: int) -> list[Span]:
     return out
 
 
+def _argument(text: str, m: re.Match) -> bool:
+    """Is the name a whole literal among the arguments of a call, so that the next argument is what it is bound to?"""
+    quote = text[m.start() - 1 : m.start()]
+    if m["close"] != quote or quote not in ("\"", "'"):
+        return False
+    depth = 0
+    for i in range(m.start() - 2, -1, -1):
+        c = text[i]
+        if c in ")]}":
+            depth += 1
+        elif c in "([{" and depth:
+            depth -= 1
+        elif c in "([{":
+            name = re.search(r"[\w$]+[ \t]*\Z", text[max(0, i - 80) : i])
+            return c == "(" and bool(name) and name[0].strip() not in _NO_CALL
+        elif c == ";" and not depth:
+            break
+    return False
+
+
 def _after_scheme(value: str) -> int:
     m = _SCHEME.match(value)
     return m.end() if m else 0
@@ -189,13 +211,11 @@ def find(text: str | None) -> list[list[Span]]:
         literal = _strings(text, at)
         if literal:
             value, spans = literal
-            if bind.strip() in (",", ">") or not bind.strip() and not text[m.start() - 1 : m.start()].isspace():
-                continue
-            if not bind.strip():
+            if bind.strip() in ("", ">") or bind.strip() == "," and not _argument(text, m):
                 continue
             if usable(value, password=password):
-                start = _after_scheme(value)
-                found.append(_cut_spans(spans, start, len(value)))
+                lead = len(value) - len(value.lstrip())
+                found.append(_cut_spans(spans, lead + _after_scheme(value[lead:]), len(value.rstrip())))
             continue
         if "\n" in bind or bind.strip() in ("(", ",", "=>") or bind.strip().startswith(":") and len(bind.strip()) > 2:
             continue

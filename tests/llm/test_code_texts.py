@@ -30,6 +30,33 @@ def test_credentials_are_found_and_masked(text):
         assert out.count(mark) == text.count(mark)
 
 
+@pytest.mark.parametrize(
+    "text, line",
+    [
+        ('headers.set("X-Api-Key", "k3yQ8wZ7LmN4pRt6");', 2), ('props.setProperty("db.password", "opal-Tower-8603!");', 2), ('os.environ.setdefault("API_TOKEN", "a81f0c33bd9e4f7aa2c1")', 2), ("jedis.hset(cfg(1), 'db_password', 'opal-Tower-8603!')", 2),
+        ('req.Header.Set("Authorization", "Basic ' + BASIC + '")', 2), ('p.put(\n    "client.secret",\n    "a81f0c33bd9e4f7aa2c1")', 4),
+        ('password = """opal-Tower-8603!"""', 2), ("password = '''opal-Tower-8603!'''", 2), ('api_key = """\\\na81f0c33bd9e4f7aa2c1\n"""', 3), ('String secret = """\n    a81f0c33bd9e4f7aa2c1""";', 3),
+    ],
+)
+def test_credentials_passed_beside_their_name_and_in_triple_quotes(text, line):
+    assert secrets.lines("first\n" + text, secrets.find("first\n" + text)) == [line]
+    out = secrets.redact(text)
+    assert len(out) == len(text) and out != text and secrets.find(out) == [] and secrets.redact(out) == out
+    for mark in "\"'`{}()<>\\\n":
+        assert out.count(mark) == text.count(mark)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'headers.set("X-Api-Key", "<your-key>");', 'p.setProperty("db.password", "${DB_PASSWORD}");', 'if kind in ("password", "a81f0c33bd9e4f7aa2c1"):', 'names = ["token", "a81f0c33bd9e4f7aa2c1"]', 'log.info("bad token", "a81f0c33bd9e4f7aa2c1")',
+        'password = """"""', 'secret = """Words of a doc string, 12 of them."""', 'f("token_count", "a81f0c33bd9e4f7aa2c1")',
+    ],
+)
+def test_what_is_passed_but_no_credential(text):
+    assert secrets.find(text) == [] and secrets.redact(text) == text
+
+
 @pytest.mark.parametrize("text", CLEAN)
 def test_what_is_no_credential(text):
     assert secrets.find(text) == [] and secrets.redact(text) == text
