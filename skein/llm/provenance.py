@@ -13,7 +13,8 @@ Pattern counts are partial sums per file, so a directory that holds most files i
 broadcast while they are few (BROADCAST_PATTERNS, checked) and joined by a shuffle beyond.
 
 Defined cases: null paths are no files; files without a source (or a null or empty one) are judged by path and by the
-tokens that their symbols hold; null token counts say nothing; copies and versions give one row; a file is a case if any
+tokens that their symbols hold, but .java files by path alone, since symbol counts of hand-written Java are as low (on
+sf0.1, 46 of the 68 .java files with a source that the token rule fits show nothing else against a hand); null token counts say nothing; copies and versions give one row; a file is a case if any
 of its sources is; empty tables give no rows; other columns are ignored.
 """
 
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LIFT, SUPPORT, RATE = 3.0, 5, 0.25
+LONG = 160
 BROADCAST_PATTERNS = 50_000
 
 # Path patterns of copies, builds and generators.
@@ -73,6 +75,15 @@ def header(source: str) -> list[str]:
     return out
 
 
+def _dense(line: str) -> bool:
+    """A line of LONG characters or more with the marks of code and next to no white space."""
+    if len(line) < LONG:
+        return False
+    spaces = sum(c.isspace() for c in line)
+    marks = sum(line.count(c) for c in "{};(),")
+    return spaces < 0.12 * len(line) and marks > 0.04 * len(line)
+
+
 def content_label(source: str | None) -> str | None:
     """generated, vendored, minified or data, by the source itself; None if nothing speaks against a hand."""
     if not source:
@@ -90,12 +101,10 @@ def content_label(source: str | None) -> str | None:
         return "data"
     lines = [x for x in code.splitlines() if x.strip()]
     longest = max(map(len, lines))
-    if longest >= 250 and longest >= 0.6 * len(code):
-        line = max(lines, key=len)
-        spaces = sum(c.isspace() for c in line)
-        marks = sum(line.count(c) for c in "{};(),")
-        if spaces < 0.12 * len(line) and marks > 0.04 * len(line):
-            return "minified"
+    # All lines count, not only the longest: minifiers wrap their output, or write one line per module.
+    dense = sum(len(x) for x in lines if _dense(x))
+    if dense >= 250 and dense >= 0.6 * sum(map(len, lines)):
+        return "minified"
     return "minified" if re.search(r"(?m)^(?://|/\*)[#@] sourceMappingURL=", source) and longest >= 250 else None
 
 

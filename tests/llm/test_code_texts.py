@@ -92,6 +92,17 @@ def test_content_labels(source, label):
     assert provenance.content_label(source) == label
 
 
+def test_minified_code_of_several_lines():
+    unit = "function a(b){return b?[1,2]:c(d,e)};"
+    code = "!function(){" + unit * 400 + "}();"
+    for width in (200, 500, 4000):
+        wrapped = "\n".join(code[i : i + width] for i in range(0, len(code), width))
+        assert provenance.content_label(wrapped) == "minified"
+    assert provenance.content_label("\n".join(f"define({i},function(e,t,n){{{unit * 8}}});" for i in range(30))) == "minified"
+    hand = "function a(b) {\n  return b ? [1, 2] : c(d, e);\n}\n"
+    assert provenance.content_label(hand * 40 + unit * 8 + "\n") is None
+
+
 @pytest.mark.parametrize("glob, path, hit", [("*.pb.go", "a/b/x.pb.go", True), ("/gen/**", "gen/a/b", True), ("/gen/**", "x/gen/a", False), ("lib/", "lib/x", True), ("lib/", "a/lib/x/y", True), ("a/*.js", "a/x.js", True), ("a/*.js", "a/b/x.js", False), ("**/t/*", "q/t/x", True), ("f?o", "fo", False), ("[ab].c", "b.c", True)])
 def test_globs(glob, path, hit):
     import re
