@@ -57,7 +57,7 @@ _DATA = re.compile(
 def header(source: str) -> list[str]:
     """The comment lines before the first line of code."""
     out, inside = [], False
-    for line in source.lstrip("\ufeff").splitlines()[:40]:
+    for line in source.lstrip("\ufeff").splitlines():
         text = line.strip()
         if not text:
             continue

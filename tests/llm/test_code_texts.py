@@ -92,6 +92,13 @@ def test_content_labels(source, label):
     assert provenance.content_label(source) == label
 
 
+def test_notices_after_a_long_licence():
+    licence = "/*\n" + " * Words of the terms of use.\n" * 60 + " */\n\n"
+    assert provenance.content_label(licence + "// Code generated by x v1. DO NOT EDIT.\nf()\n") == "generated"
+    assert provenance.content_label("# a word\n\n" * 50 + "# Copied from upstream a@1.2\nf()\n") == "vendored"
+    assert provenance.content_label(licence + "f()\n// Code generated by x v1. DO NOT EDIT.\n") is None
+
+
 def test_minified_code_of_several_lines():
     unit = "function a(b){return b?[1,2]:c(d,e)};"
     code = "!function(){" + unit * 400 + "}();"
