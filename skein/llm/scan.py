@@ -191,13 +191,14 @@ def _jsx_expr(text: str, pos: int, words: Set[str], put) -> int:
     return at
 
 
-_PY_OPS = "// << >> / % & ^"
+_PY_OPS = "// << >> % & ^"
 _PY_AUG = "+= -= *= /= //= %= @= &= |= ^= >>= <<= **="
-_PY_PUNCT = "... -> := ** == != <= >= < > ( ) [ ] { } , : ; . = + - * @ ~ |"
+_PY_PUNCT = "... -> := ** == != <= >= < > ( ) [ ] { } , : ; . = + - * / @ ~ |"
 _PY = re.compile(
     r"(?P<ws>[ \t\f]+)|(?P<nl>\r\n|\n|\r)|(?P<join>\\(?:\r\n|\n|\r))|(?P<comment>\#[^\n\r]*)"
-    r"""|(?P<long>(?P<p1>[rRbBuUfFtT]{0,2})(?P<q>\"\"\"|'''))"""
-    r"""|(?P<str>(?P<p2>[rRbBuUfFtT]{0,2})(?:'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'|"(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*"))"""
+    r"""|(?P<fmt>(?:[fFtT][rR]?|[rR][fFtT])(?:\"\"\"|'''|["']))"""
+    r"""|(?P<long>(?:[bB][rR]?|[rR][bB]?|[uU])?(?P<q>\"\"\"|'''))"""
+    r"""|(?P<str>(?:[bB][rR]?|[rR][bB]?|[uU])?(?:'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'|"(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*"))"""
     rf"|(?P<num>(?:{_numbers(r'(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?')})[jJ]?)(?![^\W\d])|(?P<name>[^\W\d]\w*)"
     rf"|(?P<aug>{_longest(_PY_AUG)})|(?P<op>{_longest(_PY_OPS + ' ' + _PY_PUNCT)})"
 )
@@ -231,46 +232,15 @@ def python(text: str, words: Set[str], jsx: bool = False) -> tuple[list[str], li
         m = _PY.match(text, pos)
         if not m:
             raise Bad(pos, f"character {text[pos]!r}")
-        group, at = m.lastgroup, pos
-        pos = m.end()
-        if m["name"]:
-            kinds.append(m[0] if m[0] in words else "NAME")
-        elif m["long"] and m["q"]:
-            close = re.compile(rf"(?:[^\\]|\\[\s\S])*?{m['q']}").match(text, pos)
-            if not close:
-                raise Bad(at, "string without end")
-            if "f" in m["p1"].lower():
-                _braces(text[pos : close.end() - 3], at)
-            pos = close.end()
-            kinds.append("STRING")
-        elif m["str"]:
-            if "f" in m["p2"].lower():
-                _braces(m[0][len(m["p2"]) + 1 : -1], at)
-            kinds.append("STRING")
-        elif group == "nl":
+        if m.lastgroup == "nl":
+            pos = m.end()
             if not stack:
                 if kinds and kinds[-1] not in ("NEWLINE", "INDENT", "DEDENT"):
                     kinds.append("NEWLINE")
-                    starts.append(at)
+                    starts.append(m.start())
                 fresh = True
             continue
-        elif m["num"]:
-            if re.fullmatch(r"0[\d_]*[1-9][\d_]*", m[0]):
-                raise Bad(at, "number with leading zero")
-            kinds.append("NUMBER")
-        elif m["aug"]:
-            kinds.append("AUG")
-        elif m["op"]:
-            op = m[0]
-            if op in ("(", "[", "{"):
-                stack.append(op)
-            elif op in _PY_CLOSE:
-                if stack and stack[-1] == _PY_CLOSE[op]:
-                    stack.pop()
-            kinds.append("OP" if op in _PY_OPSET else op)
-        else:
-            continue
-        starts.append(at)
+        pos = _python_token(text, m, words, stack, kinds, starts)
     if kinds and kinds[-1] not in ("NEWLINE", "DEDENT"):
         kinds.append("NEWLINE")
         starts.append(end)
@@ -279,22 +249,121 @@ def python(text: str, words: Set[str], jsx: bool = False) -> tuple[list[str], li
     return kinds, starts, None
 
 
-def _braces(body: str, at: int) -> None:
-    """The fields of a formatted string: braces pair up and hold something."""
-    depth = 0
-    for m in re.finditer(r"\{\{|\}\}|\{\s*\}|[{}]", body):
-        if m[0] == "{":
-            depth += 1
-        elif m[0] == "}":
-            depth -= 1
-            if depth < 0:
-                raise Bad(at, "brace in formatted string")
-        elif m[0] == "}}" and depth:
-            depth -= min(depth, 2)
-        elif m[0][0] == "{" and m[0] != "{{" and not depth:
-            raise Bad(at, "empty field in formatted string")
-    if depth:
-        raise Bad(at, "brace in formatted string")
+_FMT_TEXT = {True: re.compile(r"[^\\{}\"'\n\r]+"), False: re.compile(r"[^\\{}\"'\n\r]+|\\N\{[^{}\n\r]*\}")}
+_FMT_END = re.compile(r"(?:=(?!=)\s*)?(?:!(?P<c>[^\W\d]\w*)\s*)?(?=[:}])")
+
+
+def _python_token(text: str, m: re.Match, words: Set[str], stack: list[str], kinds: list[str], starts: list[int]) -> int:
+    """The token, if any, that a match begins; where it ends."""
+    group, at, pos = m.lastgroup, m.start(), m.end()
+    if m["name"]:
+        kinds.append(m[0] if m[0] in words else "NAME")
+    elif group == "fmt":
+        return _formatted(text, at, words, kinds, starts)
+    elif m["long"] and m["q"]:
+        close = re.compile(rf"(?:[^\\]|\\[\s\S])*?{m['q']}").match(text, pos)
+        if not close:
+            raise Bad(at, "string without end")
+        pos = close.end()
+        kinds.append("STRING")
+    elif m["str"]:
+        kinds.append("STRING")
+    elif m["num"]:
+        if re.fullmatch(r"0[\d_]*[1-9][\d_]*", m[0]):
+            raise Bad(at, "number with leading zero")
+        kinds.append("NUMBER")
+    elif m["aug"]:
+        kinds.append("AUG")
+    elif m["op"]:
+        op = m[0]
+        if op in ("(", "[", "{"):
+            stack.append(op)
+        elif op in _PY_CLOSE:
+            if stack and stack[-1] == _PY_CLOSE[op]:
+                stack.pop()
+        kinds.append("OP" if op in _PY_OPSET else op)
+    else:
+        return pos
+    starts.append(at)
+    return pos
+
+
+def _formatted(text: str, at: int, words: Set[str], kinds: list[str], starts: list[int]) -> int:
+    """The tokens of a formatted string: its fields are tokens like others, between a head, middles and a tail. One
+    without fields is a plain string. Where it ends."""
+    m = re.compile(r"(\w+)(\"{3}|'{3}|[\"'])").match(text, at)
+    raw, quote = "r" in m[1].lower(), m[2]
+    pos, kind = m.end(), "FSTRING_HEAD"
+    while True:
+        pos, mark = _fmt_text(text, pos, at, quote, raw, False)
+        if mark != "{":
+            kinds.append("STRING" if kind == "FSTRING_HEAD" else "FSTRING_TAIL")
+            starts.append(at)
+            return pos
+        kinds.append(kind)
+        starts.append(pos - 1 if kind == "FSTRING_MID" else at)
+        kind = "FSTRING_MID"
+        pos = _fmt_field(text, pos, at, quote, raw, words, kinds, starts)
+
+
+def _fmt_text(text: str, pos: int, at: int, quote: str, raw: bool, spec: bool) -> tuple[int, str]:
+    """Past the literal part: (where it goes on, "{", "}" or the closing quote)."""
+    end = len(text)
+    while pos < end:
+        m = _FMT_TEXT[raw].match(text, pos)
+        c = text[pos]
+        if m:
+            pos = m.end()
+        elif text.startswith(quote, pos):
+            if spec:
+                raise Bad(pos, "field in formatted string is not closed")
+            return pos + len(quote), quote
+        elif c in "{}" and not spec and text.startswith(c * 2, pos):
+            pos += 2
+        elif c == "{" or c == "}" and spec:
+            return pos + 1, c
+        elif c == "}":
+            raise Bad(pos, "brace in formatted string")
+        elif c in "\n\r" and len(quote) == 1:
+            break
+        elif c == "\\" and text[pos + 1 : pos + 2] not in ("{", "}"):
+            pos += 3 if text.startswith("\r\n", pos + 1) else 2
+        else:
+            pos += 1
+    raise Bad(at, "string without end")
+
+
+def _fmt_field(text: str, pos: int, at: int, quote: str, raw: bool, words: Set[str], kinds: list[str], starts: list[int]) -> int:
+    """The tokens of a field after its brace, with those of the fields in its format; where the text goes on."""
+    stack: list[str] = []
+    while pos < len(text):
+        if not stack:
+            m = _FMT_END.match(text, pos)
+            if m:
+                if m["c"] and m["c"] not in ("s", "r", "a"):
+                    raise Bad(pos, "conversion in formatted string")
+                pos = m.end()
+                break
+            if text[pos] == "!" and text[pos + 1 : pos + 2] != "=":
+                raise Bad(pos, "conversion in formatted string")
+        m = _PY.match(text, pos)
+        if not m:
+            raise Bad(pos, f"character {text[pos]!r}")
+        pos = _python_token(text, m, words, stack, kinds, starts)
+    else:
+        raise Bad(at, "field in formatted string is not closed")
+    if text[pos] == "}":
+        return pos + 1
+    pos += 1
+    while True:
+        pos, mark = _fmt_text(text, pos, at, quote, raw, True)
+        if mark == "}":
+            return pos
+        kinds.append("FSTRING_SPEC")
+        starts.append(pos - 1)
+        pos = _fmt_field(text, pos, at, quote, raw, words, kinds, starts)
+        kinds.append("FSTRING_SPEC_END")
+        starts.append(pos - 1)
 
 
 _GO_OPS = "== != < <= > >= && || / % << >> &^"

@@ -106,3 +106,32 @@ def test_spark_operator(spark):
     rates = {(r.repository, r.language): (r.n_files, r.n_bad) for r in syntax.syntax_rates(df, got, spark.createDataFrame([("r/a.py",), ("r/b.py",), ("s/f.tsx",)], "path string")).collect()}
     assert rates == {("r", "python"): (2, 1), ("s", "typescript"): (1, 0)}
     assert syntax.syntax_errors(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        'f"{a b}"', 'f"{x +}"', 'f"{for}"', 'f"{x!z}"', 'f"{lambda x: 1}"', 'f"{x;y}"', 'f"{a(b=1, c)}"', 'f"{x:{}}"', 'f"{(a}"', 'x = 1\ny = f"""\n{x\n"""', "f(a=1, b)", "f(**k, *a)", "f(**k, b)", "f(a, x for x in y)",
+        "def f(a=1, b): pass", "def f(*): pass", "def f(**k, a): pass", "def f(a, *b, *c): pass", "def f(/): pass", "lambda a=1, b: 1", "class A(metaclass=C, B): pass",
+    ],
+)
+def test_python_fields_and_orders_that_do_not_parse(source):
+    import ast
+
+    with pytest.raises(SyntaxError):
+        ast.parse(source)
+    assert syntax.first_error(source + "\n", "python")
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        'f"{x!r:>{w}.{p}}"', 'f"{x = }"', 'f"{{}}{{{x}}}"', 'f"{(lambda x: 1)}"', 'f"{d[\'a\']}" "b"', 'rf"\\d{{2}}{x}"', 'f"\\N{BULLET}{x:%Y-%m}"', 'f"{x != y}{a[1:2]}{ {1: 2}[1] }"', 'f"""{\n x\n}"""', "f(a, *b, c=1, *d, **e)", "f(**k, a=1)", "f(x for x in y)",
+        "def f(a, /, b, c=1, *d, e=2, g, **h): pass", "def f(a=1, /, b=2, *, c): pass", "lambda a, /, b=1, *c, d: a / b", "class A(B, metaclass=C): pass",
+    ],
+)
+def test_python_fields_and_orders_that_parse(source):
+    import ast
+
+    ast.parse(source)
+    assert syntax.first_error(source + "\n", "python") is None
