@@ -1,4 +1,4 @@
-"""References to records that do not exist: signed reference and existence counts per key, kept from change deltas.
+"""References to records that do not exist: distinct references joined with the existence state of their targets.
 
 Every change is a delta: a reference adds to the key's reference count, a first appearance of a record adds one to its
 existence count and a removal after its last appearance takes one away. Deltas of one key sum up whatever their order, so
@@ -38,7 +38,7 @@ def reference_deltas(tables: Mapping[str, tuple[DataFrame, str, str, str]]) -> D
 
 
 def existence_state(records: DataFrame, key: str, seen: str, removals: DataFrame | None = None, removal_key: str = "path", removal_ts: str = "ts") -> DataFrame:
-    """Per key the span in which it was seen, its last removal and the signed existence count (1, or 0 once removed)."""
+    """Per key the span in which it was seen, its last removal and its existence (1, or 0 once removed)."""
     deltas = records.select(F.col(key).alias("target_path"), F.col(seen).alias("seen"), F.lit(None).cast("timestamp").alias("gone"), F.lit(1).alias("rows"))
     if removals is not None:
         deltas = deltas.unionByName(
