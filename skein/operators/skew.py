@@ -14,9 +14,10 @@ SALTS = 32
 
 
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
-    """The keys that hold at least `share` of the rows: at most 1/share rows, counted with map-side partial sums."""
+    """The keys that hold at least `share` of the rows that have one: at most 1/share rows, counted with map-side partial
+    sums; the total is the sum of the same counts."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    total = df.agg(F.count(F.lit(1))).scalar()
+    total = counts.agg(F.coalesce(F.sum("__n"), F.lit(0))).scalar()
     return counts.where(F.col("__n") >= F.greatest(F.lit(2.0), total * share)).select(key)
 
 

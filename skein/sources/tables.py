@@ -22,6 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df over enough partitions, by a hash of the keys, for work that takes far longer than reading: a file of a few
-    blocks would otherwise be worked on by as few tasks. The number is explicit, so it is not coalesced away."""
+    blocks would otherwise be worked on by as few tasks. The number is explicit, so it is not coalesced away. A table that
+    is read in as many blocks anyway (by the planner's estimate of its size) is left as it is, without a shuffle."""
     spark = df.sparkSession
-    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    jvm = spark._jvm
+    block = jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if 4 * parts * block <= size < 1 << 60:  # beyond that the size is not known
+        return df
+    return df.repartition(parts, *keys)
