@@ -1,21 +1,22 @@
 """Generated, minified, vendored and data files: what was not written by hand here.
 
-Three sources of evidence, strongest first:
-
-1. Attribute files (`.gitattributes`) that mark paths as generated or vendored: their globs become regular expressions;
-   of the rules that match a file the one of the deepest directory, and there the last line, decides, either way.
-2. Content: header comments of generators and upstream copies, minified code, and sources that are mostly data literals.
-3. Mined equivalent patterns: directory names and compound suffixes that in the files labelled by 1 or 2 are at least
-   LIFT times as frequent as in all files, with SUPPORT labelled files from at least two directories, in addition to the
-   fixed patterns that hosts of repositories apply to projects without attribute files. They cover the undeclared files.
-
-Pattern counts are partial sums per file, so a directory that holds most files is no bottleneck; the patterns found are
-broadcast while they are few (BROADCAST_PATTERNS, checked) and joined by a shuffle beyond.
-
-Defined cases: null paths are no files; files without a source (or a null or empty one) are judged by path and by the
-tokens that their symbols hold, but .java files by path alone, since symbol counts of hand-written Java are as low (on
-sf0.1, 46 of the 68 .java files with a source that the token rule fits show nothing else against a hand); null token counts say nothing; copies and versions give one row; a file is a case if any
-of its sources is; empty tables give no rows; other columns are ignored.
+1. `declared`: attribute files (`.gitattributes`) mark paths as generated or vendored. Their globs become regular
+   expressions; of the rules that match a file the one of the deepest directory, and there the last line, decides, either
+   way. A file meets only the rules of the directories above it.
+2. `content_label`: header comments of generators and upstream copies, minified code, mostly data literals. Together with
+   1 these are the labels that patterns are mined from; files that only they speak of are cases too.
+3. `mined_patterns`: what attribute files would say of repositories that have none. Directory names, inner suffixes and
+   last words of names are patterns if the labelled files among theirs are so many that even the lower end of the rate's
+   interval (Wilson, CONFIDENCE) is LIFT times the rate of all files, with labelled files in at least two repositories.
+   They cover the files of all repositories that no attribute file speaks of.
+
+Pattern counts are partial sums, so a directory that holds most files is no bottleneck; the patterns found are broadcast
+while they are few (BROADCAST_PATTERNS, checked) and joined by a salted shuffle beyond. Patterns that next to no labelled
+file has are not learnt, so on very few files (hundreds) some undeclared files stay.
+
+Defined cases: null paths are no files; files without a source (or a null or empty one) are judged by attribute files and
+mined patterns alone; null token counts say nothing; copies and versions give one row; a file is a case if any of its
+sources is; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,24 +28,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LIFT, SUPPORT, RATE = 3.0, 5, 0.25
+from skein.operators.skew import salted_join
+from skein.session import cut
+from skein.sources.tables import spread
+
+LIFT, CONFIDENCE = 2.0, 1.64
 LONG = 160
 BROADCAST_PATTERNS = 50_000
 
-# Path patterns of copies, builds and generators.
-KNOWN_PATHS = {
-    "vendored": r"(?i)(^|/)(node_modules|bower_components|jspm_packages|vendor|vendors|vendored|third[-_]?party|3rd[-_]?party|external|externals|deps|godeps|pods|carthage|extern)/",
-    "generated": r"(?i)(^|/)(__generated__|generated|generated-sources|gen|autogen|codegen-out)/|\.(generated|gen|g|pb|designer|freezed)\.[a-z]+$|_pb2(_grpc)?\.pyi?$|_pb\.(js|ts)$|\.pb\.(go|cc|h)$|_generated\.[a-z]+$|zz_generated\.",
-    "minified": r"(?i)[.-]min\.(js|css|mjs|cjs)$|\.bundle\.js$|(^|/)dist/.*\.(js|mjs|cjs|css)$",
-}
 _GENERATED = re.compile(
     r"(?i)^(?:code|file)? ?\(?(?:code )?generated by\b.*|^auto[- ]?generated\b|^@generated\b|^(?:this|the) (?:file|code|class|source) (?:is|was|has been) (?:auto[- ]?)?(?:automatically )?(?:created|generated)\b"
     r"|^<auto-generated|^automatically (?:generated|created)\b|^generated (?:from|automatically|with|on)\b|\bdo not (?:edit|modify)\b.*\b(?:generated|hand)\b|\b(?:generated)\b.*\bdo not (?:edit|modify)\b"
 )
-_VENDORED = re.compile(
-    r"(?i)^!?\s*@license\b|^@preserve\b|^copied (?:verbatim )?from\b|^vendored (?:from|copy)\b|^(?:imported|taken|adapted) from (?:upstream|https?:)|^upstream:"
-    r"|^!?\s*[\w./@-]+ v?\d+\.\d+(?:\.\d+)?[\w.-]* \| |^\(c\) .* project\b|^spdx-license-identifier:\s*(?!proprietary)|^released under the .*licen[cs]e|^licensed under the\b|^\|? ?https?://\S+\s*\|? ?licen[cs]e"
-)
+_VENDORED = re.compile(r"(?i)^@preserve\b|^copied (?:verbatim )?from\b|^vendored (?:from|copy)\b|^(?:imported|taken|adapted) from (?:upstream|https?:)|^upstream:")
+# A package's banner: its name and version, with a licence, a page or its project named in the same header.
+_PACKAGE = re.compile(r"(?i)^(?:@license\s+)?@?[a-z][\w./-]*[ @]v?\d+\.\d+(?:\.\d+)?(?:[-+][\w.]+)?\b")
+_ORIGIN = re.compile(r"(?i)\blicen[sc]ed?\b|^spdx-license-identifier:|https?://|\(c\) |\b(?:MIT|BSD|Apache|ISC|MPL)\b")
 _COMMENT = re.compile(r"^\s*(?:///?!?|#+!?|/?\*+!?|<!--|--|;+|\"\"\")\s?(.*?)\s*(?:\*/|-->)?\s*$")
 _STRIP = re.compile(r"/\*[\s\S]*?\*/|(?m:^\s*(?://|#).*$)")
 _DATA = re.compile(
@@ -88,11 +87,14 @@ def content_label(source: str | None) -> str | None:
     """generated, vendored, minified or data, by the source itself; None if nothing speaks against a hand."""
     if not source:
         return None
-    for line in header(source):
+    head = header(source)
+    for line in head:
         if _GENERATED.search(line):
             return "generated"
         if _VENDORED.search(line):
             return "vendored"
+    if any(_PACKAGE.match(line) for line in head) and any(_ORIGIN.search(line) for line in head):
+        return "vendored"
     code = _STRIP.sub("", source).strip()
     if not code:
         return None
@@ -148,79 +150,75 @@ def attribute_rules(content: str) -> list[tuple[int, str, bool]]:
     return out
 
 
+def _above(path: Column) -> Column:
+    """The directories above a path, the empty name of the top included."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+
+
 def declared(files: DataFrame, attribute_files: DataFrame) -> DataFrame:
     """(path, declared) of the files that an attribute file speaks of. attribute_files: path, content."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for path, content in zip(pdf["path"], pdf["content"]):
-                folder = path.rpartition("/")[0]
-                rows += [(folder.split("/")[0], folder, n, pattern, marked) for n, pattern, marked in attribute_rules(content or "")]
-            yield pd.DataFrame(rows, columns=["repository", "folder", "n", "pattern", "marked"])
+            rows = [(path.rpartition("/")[0], n, pattern, marked) for path, content in zip(pdf["path"], pdf["content"]) for n, pattern, marked in attribute_rules(content or "")]
+            yield pd.DataFrame(rows, columns=["folder", "n", "pattern", "marked"])
 
     named = attribute_files.where(F.col("path").rlike(r"(^|/)\.gitattributes$")).select("path", "content")
-    rules = named.mapInPandas(run, "repository string, folder string, n int, pattern string, marked boolean").distinct()
-    f = files.select("path", F.split("path", "/")[0].alias("repository"))
-    inside = f.join(rules, "repository").where(
-        F.expr("startswith(path, concat(folder, '/')) and substring(path, length(folder) + 2) rlike pattern")
-    )
-    return inside.groupBy("path").agg(F.max_by("marked", F.struct(F.length("folder"), "n")).alias("declared"))
+    rules = named.mapInPandas(run, "folder string, n int, pattern string, marked boolean").distinct()
+    below = files.select("path", F.explode(_above(F.col("path"))).alias("folder"))
+    inside = salted_join(below.join(rules.select("folder").distinct(), "folder", "left_semi"), rules, "folder", [F.col("path")], "inner")
+    met = inside.where(F.expr("substring(path, if(folder = '', 1, length(folder) + 2)) rlike pattern"))
+    return met.groupBy("path").agg(F.max_by("marked", F.struct(F.length("folder"), "n")).alias("declared"))
 
 
 def path_patterns(path: Column) -> Column:
-    """The directory names of a path (but its repository) and its compound suffix, as an array of patterns."""
+    """The patterns of a path: its directory names (but the repository's), the inner suffix and the last word of its name."""
     parts = F.split(path, "/")
     folders = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
-    suffix = F.regexp_extract(path, r"[^/.]((?:\.[A-Za-z0-9_]+){2,})$", 1)
-    return F.array_distinct(F.concat(F.transform(folders, lambda x: F.concat(x, F.lit("/"))), F.when(suffix != "", F.array(suffix)).otherwise(F.array().cast("array<string>"))))
+    inner = F.regexp_extract(path, r"[^/.]((?:\.[A-Za-z0-9_]+)+)\.[A-Za-z0-9]+$", 1)
+    last = F.regexp_extract(path, r"([-_][A-Za-z0-9]+)(?:\.[^/]*)?$", 1)
+    one = lambda c, shown: F.when(c != "", F.array(shown)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.transform(folders, lambda x: F.concat(x, F.lit("/"))), one(inner, F.concat(inner, F.lit("."))), one(last, F.concat(F.lit("*"), last))))
 
 
 def mined_patterns(labelled: DataFrame) -> DataFrame:
-    """(pattern) of the paths whose files are labelled far more often than others. labelled: path, is_case (boolean)."""
-    total = labelled.agg((F.sum(F.col("is_case").cast("int")) / F.count(F.lit(1)))).scalar()
-    counted = labelled.select(F.explode(path_patterns(F.col("path"))).alias("pattern"), "is_case", F.regexp_extract("path", "^(.*)/", 1).alias("folder")).groupBy("pattern").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("is_case").cast("int")).alias("hits"), F.min(F.when(F.col("is_case"), F.col("folder"))).alias("a"), F.max(F.when(F.col("is_case"), F.col("folder"))).alias("b")
+    """(pattern, n, hits) of the paths whose files are labelled far more often than others. labelled: path, is_case."""
+    total = labelled.agg(F.sum(F.col("is_case").cast("int")) / F.count(F.lit(1))).scalar()
+    repository = F.when(F.col("is_case"), F.split("path", "/")[0])
+    counted = labelled.select(F.explode(path_patterns(F.col("path"))).alias("pattern"), "is_case", repository.alias("r")).groupBy("pattern").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("is_case").cast("int")).alias("hits"), F.min("r").alias("a"), F.max("r").alias("b")
     )
-    rate = F.col("hits") / F.col("n")
-    # One standard error off the rate, so that few files need a clearer sign.
-    sure = rate - F.sqrt(rate * (1 - rate) / F.col("n"))
-    return counted.where((F.col("hits") >= SUPPORT) & (F.col("a") != F.col("b")) & (rate >= RATE) & (sure >= LIFT * total)).select("pattern", "n", "hits")
+    n, z = F.col("n"), CONFIDENCE
+    rate = F.col("hits") / n
+    least = (rate + z * z / 2 / n - z * F.sqrt(rate * (1 - rate) / n + z * z / 4 / n / n)) / (1 + z * z / n)
+    return counted.where((F.col("a") != F.col("b")) & (least >= LIFT * total)).select("pattern", "n", "hits")
 
 
 def evidence(files: DataFrame, sources: DataFrame, attribute_files: DataFrame) -> DataFrame:
-    """(path, declared, content, known): the evidence of 1, 2 and the fixed patterns for every indexed file."""
+    """(path, declared, content): what attribute files and the sources say of every indexed file."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"path": pdf["path"], "content": [content_label(s) for s in pdf["source"]]})
 
-    spark = files.sparkSession
-    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    texts = sources.where(F.col("path").isNotNull() & (F.length("source") > 0)).select("path", "source").repartition(parts, "path")
-    labels = texts.mapInPandas(run, "path string, content string").groupBy("path").agg(F.max("content").alias("content"), F.lit(True).alias("has_source"))
-    one = files.where(F.col("path").isNotNull()).groupBy("path").agg(F.max("token_count").alias("tokens"), F.max("symbol_token_count").alias("symbols"))
-    known = F.lit(None).cast("string")
-    for kind, pattern in KNOWN_PATHS.items():
-        known = F.coalesce(known, F.when(F.col("path").rlike(pattern), F.lit(kind)))
-    # Without a source: many tokens of which next to none are in symbols, which data and minified files have in common.
-    bare = F.col("has_source").isNull() & (F.col("tokens") >= 300) & (F.col("symbols") * 40 <= F.col("tokens")) & ~F.col("path").rlike(r"\.java$")
-    return (
-        one.join(labels, "path", "left").join(declared(one, attribute_files), "path", "left")
-        .select("path", "declared", F.coalesce("content", F.when(bare, F.lit("data"))).alias("content"), known.alias("known"))
-    )
+    texts = spread(sources.where(F.col("path").isNotNull() & (F.length("source") > 0)).select("path", "source"), "path", "source")
+    labels = texts.mapInPandas(run, "path string, content string").where("content is not null").groupBy("path").agg(F.max("content").alias("content"))
+    one = files.where(F.col("path").isNotNull()).select("path").distinct()
+    return one.join(labels, "path", "left").join(declared(one, attribute_files), "path", "left").select("path", "declared", "content")
 
 
 def not_by_hand(files: DataFrame, sources: DataFrame, attribute_files: DataFrame) -> DataFrame:
-    """(path, reason) of the files that were not written by hand here."""
-    from skein.session import cut
-
+    """(path, route, reason) of the files that were not written by hand here. route: declared (an attribute file), mined
+    (an equivalent pattern; reason is the one with the most labelled files) or content (its source alone)."""
     e = cut(evidence(files, sources, attribute_files))
     patterns = cut(mined_patterns(e.select("path", F.coalesce("declared", F.col("content").isNotNull()).alias("is_case"))))
-    rest = e.where(F.col("declared").isNull() & F.col("content").isNull() & F.col("known").isNull())
-    small = F.broadcast(patterns) if patterns.count() <= BROADCAST_PATTERNS else patterns
-    alike = rest.select("path", F.explode(path_patterns(F.col("path"))).alias("pattern")).join(small.select("pattern"), "pattern", "left_semi").groupBy("path").agg(F.min("pattern").alias("pattern"))
-    sure = e.where("declared or (declared is null and (content is not null or known is not null))").select(
-        "path", F.when(F.col("declared"), F.lit("declared")).otherwise(F.coalesce("content", "known")).alias("reason")
+    open_ = e.where("declared is null").select("path", F.explode(path_patterns(F.col("path"))).alias("pattern"))
+    few = patterns.count() <= BROADCAST_PATTERNS
+    met = open_.join(F.broadcast(patterns), "pattern") if few else salted_join(open_, patterns, "pattern", [F.col("path")], "inner")
+    alike = met.groupBy("path").agg(F.max(F.struct("hits", "pattern")).alias("best")).select("path", F.col("best.pattern").alias("pattern"))
+    route = F.when(F.col("declared"), "declared").when(F.col("pattern").isNotNull(), "mined").otherwise("content")
+    return (
+        e.join(alike, "path", "left").where("declared or (declared is null and (pattern is not null or content is not null))")
+        .select("path", route.alias("route"), F.when(F.col("declared"), F.lit("attributes")).otherwise(F.coalesce("pattern", "content")).alias("reason"))
     )
-    return sure.unionByName(alike.select("path", F.concat(F.lit("like "), F.col("pattern")).alias("reason")))

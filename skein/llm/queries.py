@@ -62,15 +62,20 @@ def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return provenance.not_by_hand(
-        table(spark, d, "indexed_files", ["path", "token_count", "symbol_token_count"]), table(spark, d, "parse_results", ["path", "source"]), table(spark, d, "compressed_files", ["path", "content"])
-    )
+    sources = table(spark, d, "parse_results", ["path", "source"])
+    texts = table(spark, d, "compressed_files", ["path", "content"]).unionByName(sources.withColumnRenamed("source", "content"))
+    return provenance.not_by_hand(table(spark, d, "indexed_files", ["path"]), sources, texts)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_reasons(spark, d).select("path")
 
 
+def p7_routes(spark: SparkSession, d: str) -> DataFrame:
+    """How many files each route found: attribute files, mined patterns, content alone."""
+    return p7_reasons(spark, d).groupBy("route", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def p7_by_hand(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "indexed_files", ["path"]).where(F.col("path").isNotNull()).distinct()
     return files.join(p7_found(spark, d), "path", "left_anti")
@@ -89,7 +94,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_near(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.leaks(_docs(spark, d), table(spark, d, "eval_items", ["item_id", "text"]), budget=1)
+    return leaks.leaks(_docs(spark, d), table(spark, d, "eval_items", ["item_id", "text"]))
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +116,7 @@ def p10_text(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "p2_found": p2_found, "p2_errors": p2_errors, "p2_rates": p2_rates, "p3_found": p3_found, "p3_redacted": p3_redacted, "p5_found": p5_found, "p5_neighbours": p5_neighbours,
-    "p7_found": p7_found, "p7_reasons": p7_reasons, "p7_by_hand": p7_by_hand,
+    "p7_found": p7_found, "p7_reasons": p7_reasons, "p7_by_hand": p7_by_hand, "p7_routes": p7_routes,
     "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p9_near": p9_near, "p9_report": p9_report,
     "p10_found": p10_found, "p10_classes": p10_classes, "p10_text": p10_text,
 }

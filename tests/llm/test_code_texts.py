@@ -124,10 +124,13 @@ def test_not_by_hand(spark):
     sources = [(n, "# @generated by x\n" if "/stubs/" in n else hand) for n in names] + [("r/proto/a.py", hand), ("r/vendor_portal/x.py", hand), ("r/node_modules/a/x.js", None), ("r/s/stubs/late.py", hand)]
     attributes = [("r/.gitattributes", "proto/** linguist-generated=true\n# c\n*.md text\nnode_modules/own/** -linguist-vendored\n"), ("r/src/.gitattributes", 'm3/** linguist-vendored\n"m4/*" linguist-generated\n'), ("r/x.py", "a linguist-vendored")]
     f = spark.createDataFrame(files, "path string, token_count int, symbol_token_count int").selectExpr("*", "1 as pattern", "2 as repository")
-    got = {r.path: r.reason for r in provenance.not_by_hand(f, spark.createDataFrame(sources, "path string, source string"), spark.createDataFrame(attributes, "path string, content string")).collect()}
+    got = {r.path: (r.route, r.reason) for r in provenance.not_by_hand(f, spark.createDataFrame(sources, "path string, source string"), spark.createDataFrame(attributes, "path string, content string")).collect()}
     assert {n for n in names if "/stubs/" in n} <= set(got)
-    assert {k: v for k, v in got.items() if k not in names} == {"r/node_modules/a/x.js": "vendored", "r/proto/a.py": "declared", "r/d/nosource.bin.js": "data", "r/s/stubs/late.py": "like stubs/"}
+    assert {k: v for k, v in got.items() if k not in names} == {"r/node_modules/a/x.js": ("mined", "a/"), "r/proto/a.py": ("declared", "attributes"), "r/s/stubs/late.py": ("mined", "stubs/")}
     assert {n for n in names if "/src/" in n and n in got} == {n for n in names if n.startswith(("r/src/m3/", "r/src/m4/"))}
+    limit, provenance.BROADCAST_PATTERNS = provenance.BROADCAST_PATTERNS, 0
+    assert got == {r.path: (r.route, r.reason) for r in provenance.not_by_hand(f, spark.createDataFrame(sources, "path string, source string"), spark.createDataFrame(attributes, "path string, content string")).collect()}
+    provenance.BROADCAST_PATTERNS = limit
     empty = f.limit(0)
     assert provenance.not_by_hand(empty, spark.createDataFrame([], "path string, source string"), spark.createDataFrame([], "path string, content string")).count() == 0
 
