@@ -20,10 +20,12 @@ from functools import cache
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skein.operators.skew import salted_join
+from skein.session import cut
 from skein.sources.tables import spread
 
 # Letters of the Cyrillic and Greek scripts with the Latin letters that they look like.
@@ -49,13 +51,15 @@ def _ignorable(c: str) -> bool:
 
 
 def _same_look(c: str) -> str | None:
-    """What c stands for if its compatibility form looks the same: full-width, half-width, ligatures, contextual forms."""
+    """What c stands for if its compatibility form looks the same: full-width, half-width, contextual forms, and letters
+    joined in one character (ligatures, digraphs, numerals of letters)."""
     kind = unicodedata.decomposition(c)
     if not kind.startswith("<"):
         return None
     tag, *codes = kind.split()
-    ligature = tag == "<compat>" and 0xFB00 <= ord(c) <= 0xFB17
-    return "".join(chr(int(x, 16)) for x in codes) if ligature or tag in SAME_LOOK and len(codes) <= 2 else None
+    form = "".join(chr(int(x, 16)) for x in codes)
+    joined = tag == "<compat>" and (len(form) > 1 or 0x2160 <= ord(c) <= 0x217F) and unicodedata.category(c) in ("Ll", "Lu", "Lt", "Nl") and form.isalpha()
+    return form if joined or tag in SAME_LOOK and (len(form) == 1 or " " not in form) else None
 
 
 @cache
@@ -128,32 +132,33 @@ def canonical_text(text: Column) -> Column:
 
 
 def look_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc id, look, text_id): the class of the texts that look like a document's text, and an id of the text itself."""
+    """(doc id, look, text_id): the class of the texts that look like a document's text, and an id of the text itself.
+    Written once, so that no text is brought to its form again by what follows."""
     some = spread(docs.where(F.col(text).isNotNull()).select(key, text), key)
-    return some.select(
-        F.col(key).alias("doc_id"), F.sha2(canonical_text(F.col(text)), 256).alias("look"), F.sha2(F.col(text), 256).alias("text_id")
-    )
+    return cut(some.select(F.col(key).alias("doc_id"), F.sha2(canonical_text(F.col(text)), 256).alias("look"), F.sha2(F.col(text), 256).alias("text_id")))
 
 
 def mixed(classes: DataFrame) -> DataFrame:
-    """The rows of the classes that hold unequal texts. Counted over (look, text_id) first, so copies of one text, however
-    many, are gone before anything is compared."""
-    looks = classes.groupBy("look", "text_id").agg(F.count(F.lit(1)).alias("n")).groupBy("look").agg(F.count(F.lit(1)).alias("n_texts"), F.sum("n").alias("n_docs")).where("n_texts > 1")
-    return classes.join(looks, "look")
+    """The rows of the classes that hold unequal texts, with the class's number of texts and documents and its least doc
+    id. Counted over (look, text_id) first, so copies of one text, however many, are gone before anything is compared; a
+    look that very many documents share is salted."""
+    texts = classes.groupBy("look", "text_id").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"))
+    looks = texts.groupBy("look").agg(F.count(F.lit(1)).alias("n_texts"), F.sum("n").alias("n_docs"), F.min("least").alias("class_id")).where("n_texts > 1")
+    return salted_join(classes, looks, "look", [F.col("doc_id")], "inner")
 
 
 def look_pairs(docs: DataFrame) -> DataFrame:
-    """(doc_a, doc_b), doc_a < doc_b: documents with unequal texts of the same look; each pair once."""
-    rows = mixed(look_classes(docs)).select("doc_id", "look", "text_id")
+    """(doc_a, doc_b), doc_a < doc_b: documents with unequal texts of the same look; each pair once. The documents of a look
+    that very many share are dealt over slices, each of which meets all others of the look."""
+    rows = cut(mixed(look_classes(docs)).select("doc_id", "look", "text_id"))
     a = rows.select(F.col("doc_id").alias("doc_a"), "look", F.col("text_id").alias("text_a"))
     b = rows.select(F.col("doc_id").alias("doc_b"), "look", F.col("text_id").alias("text_b"))
-    return a.join(b, "look").where("doc_a < doc_b and text_a <> text_b").select("doc_a", "doc_b")
+    return salted_join(a, b, "look", [F.col("doc_a")], "inner").where("doc_a < doc_b and text_a <> text_b").select("doc_a", "doc_b")
 
 
 def look_report(docs: DataFrame) -> DataFrame:
     """One row per document of a class with unequal texts: class id (least doc id), texts and documents in the class."""
-    rows = mixed(look_classes(docs))
-    return rows.select("doc_id", F.min("doc_id").over(Window.partitionBy("look")).alias("class_id"), "n_texts", "n_docs")
+    return mixed(look_classes(docs)).select("doc_id", "class_id", "n_texts", "n_docs")
 
 
 def canonical_documents(docs: DataFrame) -> DataFrame:
