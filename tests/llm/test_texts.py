@@ -1,5 +1,6 @@
 import unicodedata
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,7 +16,7 @@ def docs(spark, texts, extra=("x", 1, "w", "i", 2)):
 
 @pytest.mark.parametrize(
     "a, b",
-    [("Ａ１，", "A1,"), ("e\u0301", "é"), ("a\u200bb\u2060\ufeff\u00ad", "ab"), ("x\u00a0y\u2009z\u3000", "x y z "), ("ﬁﬂ", "fifl"), ("раypаl", "paypal"), ("ΑΒΕ", "ABE"), ("ѕеё", "seë"), ("ｶﾞ", "ガ"), ("e\u200b\u0301", "é"), ("\u1112\u1161\u11ab", "한"), ("i\u0456", "ii")],
+    [("Ａ１，", "A1,"), ("e\u0301", "é"), ("a\u200bb\u2060\ufeff\u00ad", "ab"), ("x\u00a0y\u2009z\u3000", "x y z "), ("ﬁﬂ", "fifl"), ("раypаl", "paypal"), ("ΑΒΕ", "ABE"), ("ѕеё", "seë"), ("ｶﾞ", "ガ"), ("e\u200b\u0301", "é"), ("\u1112\u1161\u11ab", "한"), ("i\u0456", "ii"), ("\u0133\u2177", "ijviii"), ("\u01c6", "dž")],
 )
 def test_same_look(a, b):
     assert lookalike.canonical(a) == lookalike.canonical(b) == unicodedata.normalize("NFC", b)
@@ -64,7 +65,7 @@ def test_encoding_round_trip_and_ids(spark):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text("abc", max_size=12), st.text("abc", max_size=20))
+@given(st.lists(st.integers(1, 3), min_size=1, max_size=12), st.lists(st.integers(0, 3), min_size=1, max_size=20))
 def test_myers_is_edit_distance_to_a_substring(p, t):
     row = [0] * (len(t) + 1)
     for i, a in enumerate(p, 1):
@@ -72,7 +73,29 @@ def test_myers_is_edit_distance_to_a_substring(p, t):
         for j, b in enumerate(t, 1):
             new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (a != b)))
         row = new
-    assert leaks.myers(p, t) == min(row)
+    assert leaks.myers(np.array([p]), np.array([t]))[0] == min(row)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32))
+def test_every_leak_within_the_budget_is_hit(seed):
+    """Pieces, windows and distances find what comparing every window of the item with the whole document finds."""
+    rng = np.random.default_rng(seed)
+    w, budget = int(rng.integers(6, 14)), int(rng.integers(0, 3))
+    q = (w + 1) // (budget + 2)
+    side, pad = w - q, w - q + budget
+    item = rng.integers(1, 60, int(rng.integers(w, 30)))
+    doc = np.concatenate([rng.integers(1, 60, int(rng.integers(0, 9))), item[int(rng.integers(0, 6)) :], rng.integers(1, 60, 5)]).tolist()
+    for _ in range(int(rng.integers(0, 4))):
+        at = int(rng.integers(0, len(doc)))
+        doc[at : at + int(rng.integers(0, 2))] = [int(x) for x in rng.integers(1, 60, int(rng.integers(0, 2)))]
+    want = min([budget + 1, *(int(leaks.myers(item[None, i : i + w], np.array([doc]))[0]) for i in range(len(item) - w + 1))]) if doc else budget + 1
+    wide_i, wide_d = np.pad(item, side), np.pad(np.array(doc), pad)
+    hits = [(d, p) for p in range(0, len(item) - q + 1, q) for d in range(len(doc) - q + 1) if doc[d : d + q] == item[p : p + q].tolist()]
+    got = budget + 1
+    if hits:
+        got = leaks.verify(np.array([wide_d[d : d + 2 * pad + q] for d, _ in hits]), np.array([wide_i[p : p + 2 * side + q] for _, p in hits]), w, q, budget).min()
+    assert got == want
 
 
 def test_reader_words():
@@ -90,6 +113,11 @@ def test_leaks(spark):
     items = spark.createDataFrame([(1, item, "a"), (2, "too short", "b"), (3, None, "c"), (4, item + " fifteen", "d"), (5, "", "e")], "item_id long, text string, words string")
     got = {tuple(r) for r in leaks.leaked(docs(spark, texts), items).collect()}
     assert got == {(d, i) for d in (0, 4, 7) for i in (1, 4)}
-    near = {(r.doc_id, r.item_id): r.distance for r in leaks.leaks(docs(spark, texts), items, budget=1).collect()}
-    assert near[(6, 1)] == 1 and near[(0, 1)] == 0 and (1, 1) not in near
+    near = {(r.doc_id, r.item_id): r.distance for r in leaks.leaks(docs(spark, texts), items).collect()}
+    assert near[(6, 1)] == 1 and near[(0, 1)] == 0 and near[(1, 1)] == 1 and near[(5, 1)] == 1 and (9, 1) in near and (8, 1) not in near
+    # Only pieces and Myers' distance can find these; beyond the limit of the broadcast the rows are the same.
+    assert {k for k, v in near.items() if v == 0} == got
+    limit, leaks.BROADCAST_PIECES = leaks.BROADCAST_PIECES, 0
+    assert {(r.doc_id, r.item_id): r.distance for r in leaks.leaks(docs(spark, texts), items).collect()} == near
+    leaks.BROADCAST_PIECES = limit
     assert leaks.leaked(docs(spark, texts).limit(0), items).count() == 0 and leaks.leaked(docs(spark, texts), items.limit(0)).count() == 0
