@@ -4,25 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators import hierarchy, orphans, rolling
+from skein.session import cut
 from skein.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _orphans(spark: SparkSession, d: str) -> DataFrame:
-    refs = orphans.reference_deltas(
+def _changes(spark: SparkSession, d: str, when: Callable[[str], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(references, log of changes) of the tables, or of their rows for whose column of time `when` holds."""
+    read = lambda name, columns, ts: (lambda t: t.where(when(ts)) if when else t)(table(spark, d, name, columns))
+    refs = cut(orphans.reference_deltas(
         {
-            "graph_edges": (table(spark, d, "graph_edges"), "from_path", "to_path", "recorded_at"),
-            "symbol_maps": (table(spark, d, "symbol_maps", ["file_path", "recorded_at"]), "file_path", "file_path", "recorded_at"),
+            "graph_edges": (read("graph_edges", ["from_path", "to_path", "recorded_at"], "recorded_at"), "from_path", "to_path", "recorded_at"),
+            "symbol_maps": (read("symbol_maps", ["file_path", "recorded_at"], "recorded_at"), "file_path", "file_path", "recorded_at"),
         }
-    )
-    removed = table(spark, d, "watch_events", ["type", "path", "ts"]).where("type = 'removed'")
-    state = orphans.existence_state(table(spark, d, "indexed_files", ["path", "last_indexed"]), "path", "last_indexed", removed)
-    return orphans.orphan_references(refs, state)
+    ))
+    removed = read("watch_events", ["type", "path", "ts"], "ts").where("type = 'removed'")
+    return refs, orphans.change_log(refs, read("indexed_files", ["path", "last_indexed"], "last_indexed"), "path", "last_indexed", removed)
+
+
+def _orphans(spark: SparkSession, d: str) -> DataFrame:
+    refs, log = _changes(spark, d)
+    return orphans.orphan_references(refs, orphans.key_counts(cut(log)))
+
+
+def p1_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The orphan keys with their counts, from a state that two batches of changes were merged into, the later one first."""
+    early = lambda ts: F.coalesce(F.col(ts) < F.lit("2026-01-01").cast("timestamp"), F.lit(True))
+    late = cut(_changes(spark, d, lambda ts: ~early(ts))[1])
+    state = cut(orphans.merge_state(late, _changes(spark, d, early)[1]))
+    return orphans.orphan_keys(orphans.key_counts(state)).select("target_path", "references", "existence", "appeared")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -59,7 +74,7 @@ def p6_daily(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "p1_found": p1_found, "p1_report": p1_report, "p4_found": p4_found, "p4_tree": p4_tree, "p6_found": p6_found, "p6_daily": p6_daily,
+    "p1_found": p1_found, "p1_report": p1_report, "p1_counts": p1_counts, "p4_found": p4_found, "p4_tree": p4_tree, "p6_found": p6_found, "p6_daily": p6_daily,
 }
 
 _P1 = """
@@ -88,6 +103,9 @@ rolled AS (
 SQL: dict[str, str] = {
     "p1_found": _P1 + "SELECT ref_table, ref_path, target_path FROM cases WHERE kind IS NOT NULL",
     "p1_report": _P1 + "SELECT ref_table, strftime(recorded_at, '%Y-%m') AS month, kind, count(*) AS n_references, count(DISTINCT target_path) AS n_targets, CAST(sum(n_rows) AS BIGINT) AS n_rows FROM cases WHERE kind IS NOT NULL GROUP BY ALL",
+    "p1_counts": _P1 + """, rows AS (SELECT target_path, CAST(sum(n_rows) AS BIGINT) AS "references" FROM refs GROUP BY target_path),
+kept AS (SELECT i.path, count(*) AS appeared, count(*) FILTER (r IS NULL OR last_indexed IS NULL OR last_indexed >= r) AS existence FROM indexed_files i LEFT JOIN gone ON gone.path = i.path GROUP BY i.path)
+SELECT target_path, "references", coalesce(existence, 0) AS existence, coalesce(appeared, 0) AS appeared FROM rows LEFT JOIN kept ON kept.path = target_path WHERE coalesce(existence, 0) = 0""",
     "p4_found": """
 WITH RECURSIVE e AS (SELECT DISTINCT from_path AS u, to_path AS v FROM graph_edges WHERE from_path IS NOT NULL AND to_path IS NOT NULL),
 roots AS (SELECT DISTINCT u FROM e WHERE u NOT IN (SELECT v FROM e WHERE u <> v)),

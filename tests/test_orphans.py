@@ -11,8 +11,8 @@ EVENTS = "type string, path string, ts timestamp"
 
 def run(frame, edges, files, events):
     refs = orphans.reference_deltas({"e": (frame(edges, EDGES), "from_path", "to_path", "recorded_at")})
-    state = orphans.existence_state(frame(files, FILES), "path", "last_indexed", frame(events, EVENTS).where("type = 'removed'"))
-    return {(r.ref_path, r.target_path): r.kind for r in orphans.orphan_references(refs, state).collect()}
+    log = orphans.change_log(refs, frame(files, FILES), "path", "last_indexed", frame(events, EVENTS).where("type = 'removed'"))
+    return {(r.ref_path, r.target_path): r.kind for r in orphans.orphan_references(refs, orphans.key_counts(log)).collect()}
 
 
 def test_cases(frame):
@@ -32,15 +32,38 @@ def test_empty(frame):
     assert run(frame, [("a", "b", None, 1)], [], []) == {("a", "b"): "missing"}
 
 
-def test_state_merges_in_any_order(frame):
+def test_counts_merge_in_any_order(frame):
     t = [D(2025, 1, d) for d in range(1, 9)]
-    files, events = [("a", t[1], 1), ("a", t[5], 1), ("b", t[2], 1)], [("removed", "a", t[3]), ("removed", "b", t[4])]
-    make = lambda f, e: orphans.existence_state(frame(f, FILES), "path", "last_indexed", frame(e, EVENTS))
-    whole = make(files, events)
-    merged = orphans.merge_state(make(files[1:], events[:1]), make(files[:1], events[1:]))
+    edges = [("x", "a", t[0], 1), ("y", "a", t[3], 1), ("x", "b", t[0], 1), ("x", "b", t[0], 1), ("x", "c", None, 1)]
+    files, events = [("a", t[1], 1), ("a", t[5], 1), ("b", t[2], 1), ("b", None, 1)], [("removed", "a", t[3]), ("removed", "b", t[1]), ("removed", "b", t[4])]
+
+    def log(e, f, v):
+        return orphans.change_log(orphans.reference_deltas({"e": (frame(e, EDGES), "from_path", "to_path", "recorded_at")}), frame(f, FILES), "path", "last_indexed", frame(v, EVENTS))
+
     rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
-    assert rows(whole) == rows(merged)
-    assert {r.target_path: r.existence for r in whole.collect()} == {"a": 1, "b": 0}
+    whole = log(edges, files, events)
+    for parts in ([(edges[:2], files[2:], events[1:]), (edges[2:], files[:2], events[:1])], [([], [], events), (edges, [], []), ([], files, [])]):
+        state = log(*parts[0])
+        for p in parts[1:]:
+            state = orphans.merge_state(state, log(*p))
+        assert rows(state) == rows(whole)
+    counts = {r.target_path: (r.references, r.existence) for r in orphans.key_counts(whole).collect()}
+    assert counts == {"a": (2, 1), "b": (2, 0), "c": (1, 0)}
+    assert {r.target_path for r in orphans.orphan_keys(orphans.key_counts(whole)).collect()} == {"b", "c"}
+
+
+def test_only_signed_counts_tell_these(frame):
+    """A retracted reference is none; a record that comes back after its removal exists again; one removed twice does not."""
+    t = [D(2025, 1, d) for d in range(1, 9)]
+    edges = frame([("x", "gone", t[0], 1), ("x", "gone", t[1], 1), ("y", "gone", t[0], 1), ("x", "back", t[4], 1), ("x", "twice", t[4], 1)], EDGES)
+    taken = frame([("x", "gone", t[2], 1), ("x", "gone", t[3], 1)], EDGES)
+    refs = orphans.reference_deltas({"e": (edges, "from_path", "to_path", "recorded_at")}, {"e": (taken, "from_path", "to_path", "recorded_at")})
+    assert {(r.ref_path, r.target_path): r.n_rows for r in refs.collect()} == {("x", "gone"): 0, ("y", "gone"): 1, ("x", "back"): 1, ("x", "twice"): 1}
+    files = frame([("back", t[0], 1), ("back", t[3], 1), ("twice", t[0], 1), ("twice", t[2], 1)], FILES)
+    events = frame([("removed", "back", t[2]), ("removed", "twice", t[1]), ("removed", "twice", t[3])], EVENTS)
+    counts = orphans.key_counts(orphans.change_log(refs, files, "path", "last_indexed", events))
+    assert {r.target_path: (r.references, r.existence, r.appeared) for r in counts.collect()} == {"gone": (1, 0, 0), "back": (1, 1, 2), "twice": (1, 0, 2)}
+    assert {(r.ref_path, r.target_path, r.kind) for r in orphans.orphan_references(refs, counts).collect()} == {("y", "gone", "missing"), ("x", "twice", "removed")}
 
 
 def test_report(frame):
