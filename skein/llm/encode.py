@@ -49,10 +49,9 @@ def _encoder(path: str):
 _ENCODERS: dict = {}
 
 
-def words(docs: DataFrame) -> DataFrame:
+def words(texts: DataFrame) -> DataFrame:
     """(doc_id, pos, word) of the texts that have any."""
-    text = spread(docs.where(F.length("text") > 0).select("doc_id", "text"), "doc_id")
-    return text.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(SPLIT), F.lit(0))).alias("pos", "word"))
+    return texts.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(SPLIT), F.lit(0))).alias("pos", "word"))
 
 
 def word_table(found: DataFrame, vocabulary: str) -> DataFrame:
@@ -69,17 +68,18 @@ def word_table(found: DataFrame, vocabulary: str) -> DataFrame:
 
 def encode_corpus(docs: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """(doc_id, ids) of every document."""
-    found = words(docs)
-    table = word_table(found, os.path.join(folder, f"{tokenizer}.tiktoken"))
+    texts = docs.where(F.length("text") > 0).select("doc_id", "text")
+    table = word_table(words(texts), os.path.join(folder, f"{tokenizer}.tiktoken"))
     total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     is_hot = (F.col("n") * HOT_WORDS >= total) & (F.length("word") <= HOT_CHARS)
     hot = F.broadcast(table.where(is_hot).select("word", F.col("ids").alias("hot_ids")))
-    marked = found.join(hot, "word", "left")
-    cold = marked.where("hot_ids is null").select("doc_id", "pos", "word").join(table.where(~is_hot).select("word", "ids").hint("shuffle_hash"), "word").select("doc_id", "pos", "ids")
-    placed = marked.where("hot_ids is not null").select("doc_id", "pos", F.col("hot_ids").alias("ids")).union(cold)
-    lists = placed.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "ids")).alias("parts")).select(
-        "doc_id", F.flatten(F.transform(F.array_sort("parts"), lambda p: p["ids"])).alias("ids")
-    )
+    marked = words(spread(texts, "doc_id")).join(hot, "word", "left")
+    in_order = lambda ids: F.collect_list(F.when(ids.isNotNull(), F.struct("pos", ids.alias("ids"))))
+    # Documents lie together since they were spread, so the frequent words are put together where they are.
+    frequent = marked.groupBy("doc_id").agg(in_order(F.col("hot_ids")).alias("parts"))
+    rare = marked.where("hot_ids is null").select("doc_id", "pos", "word").join(table.where(~is_hot).select("word", "ids").hint("shuffle_hash"), "word").groupBy("doc_id").agg(in_order(F.col("ids")).alias("more"))
+    parts = F.array_sort(F.concat("parts", F.coalesce("more", F.array().cast("array<struct<pos: int, ids: array<int>>>"))))
+    lists = frequent.join(rare, "doc_id", "left").select("doc_id", F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"))
     empty = docs.where(F.coalesce(F.length("text"), F.lit(0)) == 0).select("doc_id", F.array().cast("array<int>").alias("ids"))
     return lists.unionByName(empty)
 
