@@ -1,20 +1,23 @@
 """Most similar vectors for every vector: randomly rotated one-bit codes over an inverted file of cells.
 
 1. The latest row of each file counts; vectors that are null, all zero, not finite or of the wrong length drop out. Files
-   with equal vectors of a model become one class, so copies, however many, are compared once.
-2. Per model, cell centres are fitted on a bounded sample (SAMPLE vectors); every vector is indexed in its nearest cell and
-   searches its PROBES nearest cells. Cells hold about CELL vectors (up to MAX_CELLS cells), so the work per vector does
-   not grow with the collection. Crowded cells are dealt into blocks of vectors and of searches: no task gets a whole one.
-3. In a cell, vectors are one-bit codes of the randomly rotated residual to the centre, packed in bytes, with correction
-   scalars. Inner products are estimated from bit counts against the four bit planes of the search vector; the error
-   bound of the estimate decides which vectors may be among the k best, and only those are reranked with exact cosines.
-   The own cell is searched first; its k-th cosine is the floor that vectors of the other cells must be able to reach.
+   with equal vectors of a model become one class, so copies, however many, are compared once. All models go through one
+   pass: their cells are numbered one after the other, and no vector meets those of another model.
+2. Per model, cell centres are fitted in two levels on a bounded sample (SAMPLE vectors, or PER_CENTRE for each centre);
+   every vector is indexed in its nearest cell and searches its PROBES nearest cells. Cells hold about CELL vectors, up to
+   MAX_CELLS cells a model, that is up to 16.7 million vectors; beyond that cells grow in proportion. Crowded cells are
+   dealt into blocks of vectors and of searches, so no task gets a whole one.
+3. Vectors are one-bit codes of the randomly rotated residual to their cell's centre, packed in bytes, with correction
+   scalars. In the own cell, the best estimates are reranked first, and then all vectors whose estimate with its error
+   bound reaches the k-th cosine so found. That cosine is the floor for the other cells, which are searched by codes alone:
+   what travels there is the search vector in four bits per number, and what comes back are the pairs whose error bound
+   reaches the floor. Only for these are vectors fetched and cosines computed.
 4. The k best of all cells per class are spread to the files of the classes; equal cosines are ordered by path.
 
 Recall against brute force: see README; the tests hold it at 0.95 or more. Defined cases: null or empty paths and models are
 values like others (a null path is no file); rows with null created_at are older than all others; ties in created_at take
-the greatest (model, dimensions, vector); models, and dimensions of one model, are never mixed; a model with one file gives no pair; an empty table gives
-no rows; other columns are ignored.
+the greatest (model, dimensions, hash of the vector); models, and dimensions of one model, are never mixed; a model with
+one file gives no pair; more than MAX_MODELS models are an error; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,15 +27,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators.skew import salted_join
 from skein.session import cut
 
 K = 5
-#: Vectors per model on which centres are fitted.
-SAMPLE = 20_000
+#: Vectors per model on which centres are fitted, at least; and per centre, if that is more.
+SAMPLE, PER_CENTRE = 20_000, 4
 CELL, MAX_CELLS, PROBES = 256, 65_536, 12
+#: Up to so many cells there is one level of centres. In two levels, a vector looks below this many of the upper centres.
+FLAT, BELOW = 1_024, 16
+#: Models are numbered on the driver; their number is checked.
+MAX_MODELS = 1_000
 #: Rows of a block of a cell's vectors, and of its searches.
 BLOCK, SEARCH_BLOCK = 2_048, 16_384
 #: Width of the error bound of an estimate, in standard deviations.
@@ -40,12 +49,25 @@ WIDTH = 1.9
 
 
 def latest(rows: DataFrame) -> DataFrame:
-    """(path, model, vector) of each file's latest row, if its vector takes part."""
-    r = rows.where(F.col("file_path").isNotNull()).groupBy("file_path").agg(F.max(F.struct("created_at", "model", "dimensions", "vector")).alias("r"))
-    finite = F.forall("r.vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return r.where(
-        F.col("r.vector").isNotNull() & (F.size("r.vector") == F.col("r.dimensions")) & (F.size("r.vector") > 0) & finite & F.exists("r.vector", lambda x: x != 0)
-    ).select(F.col("file_path").alias("path"), F.concat_ws("/", F.coalesce("r.model", F.lit("")), F.size("r.vector")).alias("model"), F.col("r.vector").alias("vector"))
+    """(path, model, h1, h2) of each file's latest row, if its vector takes part; h1 and h2 stand for the vector. Vectors themselves are
+    not moved."""
+    r = rows.where(F.col("file_path").isNotNull()).select("file_path", F.struct("created_at", "model", "dimensions", *_key(), _good().alias("good"), _model().alias("kind")).alias("r"))
+    return r.groupBy("file_path").agg(F.max("r").alias("r")).where("r.good").select(F.col("file_path").alias("path"), F.col("r.kind").alias("model"), "r.h1", "r.h2")
+
+
+def _good() -> Column:
+    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    good = F.col("vector").isNotNull() & (F.size("vector") == F.col("dimensions")) & (F.size("vector") > 0) & finite & F.exists("vector", lambda x: x != 0)
+    return F.coalesce(good, F.lit(False))
+
+
+def _model() -> Column:
+    return F.concat_ws("/", F.coalesce("model", F.lit("")), F.size("vector"))
+
+
+def _key() -> list[Column]:
+    """128 bits for a model's vector."""
+    return [F.xxhash64("vector", _model()).alias("h1"), F.xxhash64(_model(), "vector").alias("h2")]
 
 
 def rotation(d: int, seed: int = 20) -> np.ndarray:
@@ -60,12 +82,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def centres(sample: np.ndarray, n: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
-    """n cell centres by k-means on unit vectors."""
-    rng = np.random.default_rng(seed)
+def _fit(sample: np.ndarray, n: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    """n centres by k-means on unit vectors."""
     c = sample[rng.choice(len(sample), min(n, len(sample)), replace=False)].copy()
     for _ in range(rounds):
-        home = _nearest(sample, c, 1)[:, 0]
+        home = _best(sample, c, 1)[:, 0]
         total = np.zeros_like(c, dtype=np.float64)
         np.add.at(total, home, sample)
         size = np.bincount(home, minlength=len(c))
@@ -76,7 +97,39 @@ def centres(sample: np.ndarray, n: int, rounds: int = 8, seed: int = 7) -> np.nd
     return c
 
 
-def _nearest(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+class Cells:
+    """The cells of a model: centres, in two levels beyond FLAT of them; `first` numbers them among the cells of all models."""
+
+    def __init__(self, sample: np.ndarray, n: int, first: int = 0, rounds: int = 8, seed: int = 7):
+        rng = np.random.default_rng(seed)
+        self.first, self.upper, self.starts = first, None, None
+        if n <= FLAT:
+            self.c = _fit(sample, n, rounds, rng)
+            return
+        self.upper = _fit(sample, math.ceil(math.sqrt(n)), rounds, rng)
+        home = _best(sample, self.upper, 1)[:, 0]
+        size = np.bincount(home, minlength=len(self.upper))
+        share = np.maximum(1, np.rint(n * size / len(sample))).astype(int)
+        below = [_fit(sample[home == i], share[i], rounds, rng) if size[i] else self.upper[i : i + 1] for i in range(len(self.upper))]
+        self.c, self.starts = np.concatenate(below), np.cumsum([0, *map(len, below)])
+
+    def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
+        """The numbers (from 0) of the n nearest centres of each vector, nearest first; -1 where there are no more."""
+        if self.upper is None:
+            return _best(x, self.c, min(n, len(self.c)))
+        tops = _best(x, self.upper, min(BELOW, len(self.upper)))
+        score, cell = np.full((len(x), n), -np.inf, dtype=np.float32), np.full((len(x), n), -1, dtype=np.int64)
+        for t in np.unique(tops):
+            rows = np.flatnonzero((tops == t).any(axis=1))
+            a, b = self.starts[t], self.starts[t + 1]
+            s = x[rows] @ self.c[a:b].T - 0.5 * (self.c[a:b] ** 2).sum(axis=1)
+            s, c = np.concatenate([score[rows], s], axis=1), np.concatenate([cell[rows], np.broadcast_to(np.arange(a, b), s.shape)], axis=1)
+            top = np.argsort(-s, axis=1, kind="stable")[:, :n]
+            score[rows], cell[rows] = np.take_along_axis(s, top, 1), np.take_along_axis(c, top, 1)
+        return cell
+
+
+def _best(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
     """The n nearest centres of each vector, nearest first."""
     out = []
     half = 0.5 * (c * c).sum(axis=1)
@@ -92,162 +145,242 @@ def encode(x: np.ndarray, c: np.ndarray, rot: np.ndarray) -> tuple[np.ndarray, n
     r = x - c
     norm = np.linalg.norm(r, axis=1)
     o = (r / np.maximum(norm, 1e-12)[:, None]) @ rot.T
-    return np.packbits(o > 0, axis=1), norm, np.abs(o).sum(axis=1) / math.sqrt(x.shape[1])
+    fix = np.abs(o).sum(axis=1) / math.sqrt(x.shape[1])
+    return np.packbits(o > 0, axis=1), norm, np.where(norm < 1e-6, 1, fix)  # a vector that is its centre needs no correction
 
 
-def estimate(codes: np.ndarray, norm: np.ndarray, fix: np.ndarray, x_c: np.ndarray, q: np.ndarray, c: np.ndarray, rot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(estimates, bounds of their errors) of the inner products of the vectors behind the codes with the vectors q."""
-    d = q.shape[1]
-    r = q - c
-    r_norm = np.linalg.norm(r, axis=1)
-    t = (r / np.maximum(r_norm, 1e-12)[:, None]) @ rot.T
-    low, step = t.min(axis=1), np.maximum((t.max(axis=1) - t.min(axis=1)) / 15, 1e-12)
+def levels(q: np.ndarray, rot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(four bit planes of the rotated vectors, packed; lowest value; step between the 16 levels)."""
+    t = q @ rot.T
+    low = t.min(axis=1)
+    step = np.maximum((t.max(axis=1) - low) / 15, 1e-12)
     level = np.clip(np.rint((t - low[:, None]) / step[:, None]), 0, 15).astype(np.uint8)
-    pad = -codes.shape[1] % 8
-    words = np.ascontiguousarray(np.pad(codes, ((0, 0), (0, pad)))).view(np.uint64)
-    count = np.zeros((len(q), len(codes)), dtype=np.uint16)
+    return np.concatenate([np.packbits(level >> j & 1, axis=1) for j in range(4)], axis=1), low.astype(np.float32), step.astype(np.float32)
+
+
+def _words(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(np.pad(x, ((0, 0), (0, -x.shape[1] % 8)))).view(np.uint64)
+
+
+def estimate(d: int, codes: np.ndarray, norm: np.ndarray, fix: np.ndarray, planes: np.ndarray, low: np.ndarray, step: np.ndarray, at_centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(estimates, bounds of their errors) of the cosines of the vectors behind the codes with the search vectors behind the
+    planes; at_centre: the inner products of the search vectors with the cell's centre."""
+    words, size = _words(codes), codes.shape[1]
+    count = np.zeros((len(planes), len(codes)), dtype=np.uint16)
+    total = np.zeros(len(planes), dtype=np.float32)
     for j in range(4):
-        plane = np.ascontiguousarray(np.pad(np.packbits(level >> j & 1, axis=1), ((0, 0), (0, pad)))).view(np.uint64)
+        plane = _words(planes[:, j * size : (j + 1) * size])
+        total += (np.bitwise_count(plane).sum(axis=1) << j).astype(np.float32)
         for w in range(words.shape[1]):
             count += np.left_shift(np.bitwise_count(plane[:, w, None] & words[None, :, w]), j, dtype=np.uint16)
     ones = np.bitwise_count(words).sum(axis=1).astype(np.float32)
-    dot = (2 * (step[:, None] * count + low[:, None] * ones[None, :]) - (level * step[:, None] + low[:, None]).sum(axis=1, keepdims=True)) / math.sqrt(d)
-    scale = r_norm[:, None] * norm[None, :]
-    est = dot / fix * scale + x_c[None, :] + (q @ c)[:, None] - float(c @ c)
-    bound = np.sqrt(np.maximum(1 - fix**2, 0)) / fix * (WIDTH / math.sqrt(max(d - 1, 1))) * scale + scale * (np.sqrt(d) * step[:, None] / 4) * 0.1
-    return est.astype(np.float32), bound.astype(np.float32)
+    dot = (2 * (step[:, None] * count + low[:, None] * ones[None, :]) - (total * step + d * low)[:, None]) / np.float32(math.sqrt(d))
+    est = dot * (norm / fix)[None, :].astype(np.float32) + at_centre[:, None].astype(np.float32)
+    spread_ = (np.sqrt(np.maximum(1 - fix**2, 0)) / fix * (WIDTH / math.sqrt(max(d - 1, 1))) * norm)[None, :]
+    return est, (spread_ + norm[None, :] * (math.sqrt(d) / 40 * step)[:, None]).astype(np.float32)
 
 
-def search_cell(
-    ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norm: np.ndarray, fix: np.ndarray, q_ids: np.ndarray, q: np.ndarray, c: np.ndarray, rot: np.ndarray, k: int, floor: np.ndarray | None = None
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(search id, found id, cosine) of the k best of a cell for each search.
-
-    floor: what the k best that a search already has reach at least; vectors whose upper bound lies below are passed over.
-    """
+def search_own(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norm: np.ndarray, fix: np.ndarray, q_ids: np.ndarray, q: np.ndarray, c: np.ndarray, rot: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(search id, found id, cosine) of the k best of a cell for each search: the k + 3 best estimates are reranked, and then
+    whatever else may reach the k-th cosine of these."""
     found = []
-    x_c = x @ c
     rows = max(16, 65_536 // max(len(ids), 1))  # estimates of so many searches stay in the cache
     for i in range(0, len(q), rows):
         part, part_ids = q[i : i + rows], q_ids[i : i + rows]
-        est, bound = estimate(codes, norm, fix, x_c, part, c, rot)
+        est, bound = estimate(q.shape[1], codes, norm, fix, *levels(part, rot), part @ c)
         est[part_ids[:, None] == ids[None, :]] = -np.inf
-        low = est - bound
-        least = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(part), -np.inf)
-        if floor is not None:
-            least = np.maximum(least, floor[i : i + rows])
-        may = (est + bound >= least[:, None]) & np.isfinite(est)
-        if may.mean() > 0.03 and len(ids) > k + 3:
-            # Many may be among the best: their cosines as one product, of which the best are then computed exactly.
-            cosines = np.where(may, part @ x.T, -np.inf)
-            best = np.argpartition(-cosines, k + 2, axis=1)[:, : k + 3]
-            a, b = np.repeat(np.arange(len(part)), k + 3), best.ravel()
-            real = np.isfinite(cosines[a, b])
-            a, b = a[real], b[real]
-        else:
-            a, b = np.nonzero(may)
-        exact = np.einsum("ij,ij->i", part[a].astype(np.float64), x[b].astype(np.float64))
+        upper = est + bound
+        n = min(k + 3, len(ids))
+        first = np.argpartition(-est, n - 1, axis=1)[:, :n]
+        cosine = np.einsum("ij,ikj->ik", part.astype(np.float64), x[first].astype(np.float64))
+        cosine[~np.isfinite(np.take_along_axis(est, first, 1))] = -np.inf
+        floor = -np.partition(-cosine, k - 1, axis=1)[:, k - 1] if n >= k else np.full(len(part), -np.inf)
+        np.put_along_axis(upper, first, -np.inf, axis=1)
+        a, b = np.nonzero((upper >= floor[:, None]) & np.isfinite(upper))
+        more = np.einsum("ij,ij->i", part[a].astype(np.float64), x[b].astype(np.float64))
+        a, b, exact = np.r_[np.repeat(np.arange(len(part)), n), a], np.r_[first.ravel(), b], np.r_[cosine.ravel(), more]
+        a, b, exact = a[np.isfinite(exact)], b[np.isfinite(exact)], exact[np.isfinite(exact)]
         order = np.lexsort((ids[b], -exact, a))
         a, b, exact = a[order], b[order], exact[order]
-        first = np.r_[0, np.flatnonzero(np.diff(a)) + 1] if len(a) else np.zeros(0, dtype=int)
-        rank = np.arange(len(a)) - np.repeat(first, np.diff(np.r_[first, len(a)]))
-        keep = rank < k
+        start = np.r_[0, np.flatnonzero(np.diff(a)) + 1] if len(a) else np.zeros(0, dtype=int)
+        keep = np.arange(len(a)) - np.repeat(start, np.diff(np.r_[start, len(a)])) < k
         found.append((part_ids[a[keep]], ids[b[keep]], exact[keep]))
     return tuple(np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def _search_model(vectors: DataFrame, k: int, cell: int, probes: int) -> DataFrame:
-    """(a, b, cosine): the k best of every vector of one model. vectors: id, vector."""
-    spark = vectors.sparkSession
-    n = vectors.count()
-    share = min(1.0, 1.2 * SAMPLE / max(n, 1))
-    picked = vectors if share >= 1 else vectors.sample(False, share, 11)
-    sample = _unit(np.array(picked.limit(SAMPLE).toPandas()["vector"].tolist(), dtype=np.float32))
-    d = sample.shape[1]
-    c = centres(sample, max(1, min(MAX_CELLS, len(sample), math.ceil(n / cell))))
-    shared = spark.sparkContext.broadcast(c)  # at most MAX_CELLS rows
-    tries = min(probes, len(c))
+def rounded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, step, norm of what the rounding takes away) of each vector."""
+    step = np.maximum(np.abs(x).max(axis=1), 1e-12) / 127
+    code = np.rint(x / step[:, None]).astype(np.int8)
+    return code, step.astype(np.float32), np.linalg.norm(x - code * step[:, None], axis=1).astype(np.float32)
+
+
+def search_codes(
+    ids: np.ndarray, codes: np.ndarray, norm: np.ndarray, fix: np.ndarray, x8: np.ndarray, x_lost: np.ndarray, q_ids: np.ndarray, q8: np.ndarray, q_lost: np.ndarray, c: np.ndarray, rot: np.ndarray, floor: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(search id, found id, lower and upper bound of the cosine) of the pairs of a cell that may reach both the search's
+    floor and the k-th best of this cell. x8, q8: the vectors as rounded to bytes; x_lost, q_lost: what that took away."""
+    found = []
+    rows = max(16, 65_536 // max(len(ids), 1))
+    for i in range(0, len(q_ids), rows):
+        q, lost, least = q8[i : i + rows], q_lost[i : i + rows], floor[i : i + rows]
+        est, bound = estimate(q.shape[1], codes, norm, fix, *levels(q, rot), q @ c)
+        bound += lost[:, None]
+        if len(ids) > k:
+            least = np.maximum(least, -np.partition(bound - est, k - 1, axis=1)[:, k - 1])
+        a, b = np.nonzero(est + bound >= least[:, None])
+        s = np.einsum("ij,ij->i", q[a], x8[b])
+        off = lost[a] + x_lost[b] * (1 + lost[a]) + 1e-6
+        low, high = s - off, s + off
+        order = np.lexsort((-low, a))
+        start = np.searchsorted(a[order], np.arange(len(q) + 1))
+        has = np.flatnonzero(np.diff(start) >= k)
+        least = least.copy()
+        least[has] = np.maximum(least[has], low[order[start[has] + k - 1]])
+        keep = high >= least[a]
+        found.append((q_ids[i : i + rows][a[keep]], ids[b[keep]], low[keep], high[keep]))
+    return tuple(np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+
+
+def _cells(files: DataFrame, vectors: DataFrame, cell: int) -> dict[str, Cells]:
+    """The cells of each model, fitted on a sample of its rows. files: model; vectors: model, vector."""
+    count = lambda df: {r.model: r.n for r in df.groupBy("model").agg(F.count(F.lit(1)).alias("n")).limit(MAX_MODELS + 1).collect()}
+    sizes, rows = count(files), count(vectors)
+    if len(rows) > MAX_MODELS:
+        raise ValueError(f"more than {MAX_MODELS} models")
+    n_cells = {m: max(1, min(MAX_CELLS, math.ceil(n / cell))) for m, n in sizes.items()}
+    fractions = {m: min(1.0, max(SAMPLE, PER_CENTRE * n_cells[m]) / rows[m]) for m in sizes}
+    picked = vectors.sampleBy("model", fractions, 11).toPandas() if sizes else None
+    out, first = {}, 0
+    for model in sorted(sizes):
+        own = _unit(np.array(picked["vector"][picked["model"] == model].tolist(), dtype=np.float32))
+        out[model] = Cells(own, min(n_cells[model], len(own)), first)
+        first += len(out[model].c)
+    return out
+
+
+def _numpy(column: pa.Array, kind: type, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, width)
+
+
+def _search(classes: DataFrame, cells: dict[str, Cells], k: int, probes: int) -> tuple[DataFrame, DataFrame]:
+    """(placed classes with id, h1, h2, size; (a, b, cosine) of the k best of every class). classes: model, h1, h2, size, vector."""
+    spark = classes.sparkSession
+    shared = spark.sparkContext.broadcast(cells)  # at most MAX_CELLS centres a model
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c, rot = shared.value, rotation(d)
         for pdf in batches:
-            if not len(pdf):
-                continue
-            x = _unit(np.array(pdf["vector"].tolist(), dtype=np.float32))
-            near = _nearest(x, c, tries)
-            codes, norm, fix = encode(x, c[near[:, 0]], rot)
-            yield pd.DataFrame({"id": pdf["id"], "cells": list(near.astype(np.int32)), "x": [r.tobytes() for r in x], "code": [r.tobytes() for r in codes], "norm": norm.astype(np.float64), "fix": fix.astype(np.float64)})
-
-    placed = cut(vectors.mapInPandas(place, "id long, cells array<int>, x binary, code binary, norm double, fix double"))
+            for model, part in pdf.groupby("model"):
+                own, x = shared.value[model], _unit(np.array(part["vector"].tolist(), dtype=np.float32))
+                rot = rotation(x.shape[1])
+                near = own.nearest(x, probes)
+                codes, norm, fix = encode(x, own.c[near[:, 0]], rot)
+                bytes_, step, lost = rounded(x)
+                yield pd.DataFrame({
+                    "id": part["id"], "h1": part["h1"], "h2": part["h2"], "size": part["size"], "model": model, "cells": list(np.where(near < 0, -1, near + own.first).astype(np.int64)), "x": [r.tobytes() for r in x],
+                    "code": [r.tobytes() for r in codes], "norm": norm.astype(np.float32), "fix": fix.astype(np.float32), "x8": [r.tobytes() for r in bytes_], "step": step, "lost": lost,
+                })
+
+    kinds = "id long, h1 long, h2 long, size long, model string, cells array<long>, x binary, code binary, norm float, fix float, x8 binary, step float, lost float"
+    placed = cut(classes.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "size", "model", "vector").mapInPandas(place, kinds))
     home = F.element_at("cells", 1).alias("cell")
-    index = placed.select(home, F.lit(False).alias("is_search"), "id", "x", "code", "norm", "fix", F.lit(None).cast("double").alias("floor"))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[~pdf["is_search"]]
-        asks = pdf[pdf["is_search"]]
-        if not len(own) or not len(asks):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "cosine": np.zeros(0)})
-        read = lambda col, kind, w: np.frombuffer(b"".join(col), dtype=kind).reshape(-1, w)
-        a, b, s = search_cell(
-            own["id"].to_numpy(), read(own["x"], np.float32, d), read(own["code"], np.uint8, (d + 7) // 8), own["norm"].to_numpy(), own["fix"].to_numpy(),
-            asks["id"].to_numpy(), read(asks["x"], np.float32, d), shared.value[key[0]], rotation(d), k, asks["floor"].fillna(-2.0).to_numpy(),
-        )
-        return pd.DataFrame({"a": a, "b": b, "cosine": s})
-
-    def search(asking: DataFrame) -> DataFrame:
-        """asking(cell, id, x, floor) in their cells; crowded cells and crowded searches are dealt into blocks."""
-        homes = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n_home"))
-        tried = asking.groupBy("cell").agg(F.count(F.lit(1)).alias("n_try"))
-        blocks = F.broadcast(  # at most MAX_CELLS rows
-            homes.join(tried, "cell").select("cell", F.ceil(F.col("n_home") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("n_try") / SEARCH_BLOCK).cast("int").alias("nq"))
-        )
-        own = index.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("id"), "nb").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
-        asks = asking.select("cell", F.lit(True).alias("is_search"), "id", "x", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("norm"), F.lit(None).cast("double").alias("fix"), "floor")
-        asks = asks.join(blocks, "cell").withColumn("part", F.pmod(F.xxhash64("id"), "nq").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        columns = ["cell", "block", "part", "is_search", "id", "x", "code", "norm", "fix", "floor"]
-        return own.select(*columns).unionByName(asks.select(*columns)).groupBy("cell", "block", "part").applyInPandas(run, "a long, b long, cosine double")
 
+    def blocks(tries: DataFrame) -> DataFrame:
+        """(cell, nb, nq): the blocks of vectors and of searches of each cell that has both. tries: cell, a row per search."""
+        homes = placed.groupBy(home).agg(F.count(F.lit(1)).alias("n_home"))
+        tried = tries.groupBy("cell").agg(F.count(F.lit(1)).alias("n_try"))
+        return F.broadcast(homes.join(tried, "cell").select("cell", F.ceil(F.col("n_home") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("n_try") / SEARCH_BLOCK).cast("int").alias("nq")))  # a row per cell
+
+    def deal(df: DataFrame, parts: DataFrame, by: str, over: str, dealt: str, repeated: str) -> DataFrame:
+        return df.join(parts, "cell").withColumn(dealt, F.pmod(F.xxhash64("id"), by).cast("int")).withColumn(repeated, F.explode(F.sequence(F.lit(0), F.col(over) - 1)))
+
+    def own_cell(key: tuple, t: pa.Table) -> pa.Table:
+        ask, model = t.column("ask").to_numpy(), shared.value[t.column("model")[0].as_py()]
+        d = model.c.shape[1]
+        x, ids = _numpy(t.column("x"), np.float32, d), t.column("id").to_numpy()
+        own = ask != 1
+        a, b, s = search_own(
+            ids[own], x[own], _numpy(t.column("code").filter(pa.array(own)), np.uint8, (d + 7) // 8), t.column("norm").to_numpy()[own], t.column("fix").to_numpy()[own],
+            ids[ask > 0], x[ask > 0], model.c[key[0].as_py() - model.first], rotation(d), k,
+        )
+        return pa.table({"a": a, "b": b, "cosine": s})
+
+    # ask: 0 a vector, 1 a search, 2 both, in cells of one block, where each vector is sent once.
+    p1 = blocks(placed.select(home))
+    columns = ["cell", "block", "part", "ask", "model", "id", "x", "code", "norm", "fix"]
+    rows = placed.select(home, "model", "id", "x", "code", "norm", "fix")
+    single = rows.join(p1.where("nb = 1 and nq = 1").select("cell"), "cell").select("*", F.lit(0).alias("block"), F.lit(0).alias("part"), F.lit(2).alias("ask"))
+    crowded = p1.where("nb > 1 or nq > 1")
+    many = deal(rows, crowded, "nb", "nq", "block", "part").withColumn("ask", F.lit(0)).select(*columns).unionByName(
+        deal(rows.withColumn("code", F.lit(None).cast("binary")), crowded, "nq", "nb", "part", "block").withColumn("ask", F.lit(1)).select(*columns)
+    )
+    found = single.select(*columns).unionByName(many).groupBy("cell", "block", "part").applyInArrow(own_cell, "a long, b long, cosine double")
     w = Window.partitionBy("a").orderBy(F.col("cosine").desc(), "b")
     best = lambda hits: hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    # The own cell first: its k-th cosine is the floor for the other cells, where then few estimates reach it.
-    first = cut(best(search(placed.select(home, "id", "x", F.lit(None).cast("double").alias("floor")))))
-    floors = first.where(F.col("rank") == k).select(F.col("a").alias("id"), F.col("cosine").alias("floor"))
-    others = placed.where(F.size("cells") > 1).join(floors, "id", "left").select(F.explode(F.slice("cells", 2, tries)).alias("cell"), "id", "x", "floor")
-    return best(first.drop("rank").unionByName(search(others))).drop("rank")
+    first = cut(best(found))
+
+    def by_codes(key: tuple, t: pa.Table) -> pa.Table:
+        ask, model = t.column("ask").to_numpy(), shared.value[t.column("model")[0].as_py()]
+        own = ask == 0
+        if own.all() or not own.any():
+            return pa.table({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "low": np.zeros(0, np.float32), "high": np.zeros(0, np.float32)})
+        d = model.c.shape[1]
+        v = {c: t.column(c).to_numpy() for c in ("id", "lost", "norm", "fix", "floor")}
+        x = _numpy(t.column("x8"), np.int8, d) * t.column("step").to_numpy()[:, None]
+        code = _numpy(t.column("code").filter(pa.array(own)), np.uint8, (d + 7) // 8)
+        a, b, low, high = search_codes(v["id"][own], code, v["norm"][own], v["fix"][own], x[own], v["lost"][own], v["id"][~own], x[~own], v["lost"][~own], model.c[key[0].as_py() - model.first], rotation(d), v["floor"][~own], k)
+        return pa.table({"a": a, "b": b, "low": low.astype(np.float32), "high": high.astype(np.float32)})
+
+    floors = first.where(F.col("rank") == k).select(F.col("a").alias("id"), F.col("cosine").cast("float").alias("floor"))
+    none = F.lit(None).cast("float")
+    asking = placed.select("id", "model", "x8", "step", "lost", F.explode(F.slice("cells", 2, probes)).alias("cell")).where("cell >= 0").join(floors, "id", "left")
+    asking = asking.select("cell", "model", "id", "x8", "step", "lost", F.lit(None).cast("binary").alias("code"), none.alias("norm"), none.alias("fix"), F.coalesce("floor", F.lit(-2.0).cast("float")).alias("floor"))
+    p2 = blocks(placed.select(F.explode(F.slice("cells", 2, probes)).alias("cell")))
+    columns = ["cell", "block", "part", "ask", "model", "id", "x8", "step", "lost", "code", "norm", "fix", "floor"]
+    codes = placed.select(home, "model", "id", "x8", "step", "lost", "code", "norm", "fix", none.alias("floor"))
+    both = deal(codes, p2, "nb", "nq", "block", "part").withColumn("ask", F.lit(0)).select(*columns).unionByName(deal(asking, p2, "nq", "nb", "part", "block").withColumn("ask", F.lit(1)).select(*columns))
+    pairs = both.groupBy("cell", "block", "part").applyInArrow(by_codes, "a long, b long, low float, high float")
+    # Of all cells together, too, only what reaches the k-th lower bound may be among the k best.
+    all_of = Window.partitionBy("a").orderBy(F.col("low").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    pairs = pairs.withColumn("least", F.nth_value("low", k).over(all_of)).where(F.col("least").isNull() | (F.col("high") >= F.col("least"))).select("a", "b")
+
+    def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            s = np.array([np.dot(np.frombuffer(u, np.float32).astype(np.float64), np.frombuffer(v, np.float32).astype(np.float64)) for u, v in zip(t.column("xa").to_pylist(), t.column("xb").to_pylist())], dtype=np.float64)
+            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(s)], names=["a", "b", "cosine"])
+
+    there = salted_join(cut(pairs), placed.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b", [F.col("a")], "inner")
+    more = there.join(placed.select(F.col("id").alias("a"), F.col("x").alias("xa")), "a").select("a", "b", "xa", "xb").mapInArrow(cosines, "a long, b long, cosine double")
+    return placed, best(first.drop("rank").unionByName(more)).drop("rank")
 
 
 def nearest(rows: DataFrame, k: int = K, cell: int = CELL, probes: int = PROBES) -> DataFrame:
     """(path, other, cosine, rank): the k most similar other files of every file."""
-    files = cut(latest(rows).withColumn("h", F.struct("model", F.xxhash64("vector", "model").alias("h1"), F.xxhash64("model", "vector").alias("h2"))))
-    # Classes of equal vectors: a row per class with its vector, and the rank of each file within its class.
-    classes = cut(
-        files.groupBy("h").agg(F.first("model").alias("model"), F.first("vector").alias("vector"), F.count(F.lit(1)).alias("size")).select(F.monotonically_increasing_id().alias("id"), "*")
-    )
-    lead = _least_members(files, k + 1)
-    found = None
-    for model in [r.model for r in classes.groupBy("model").agg(F.count(F.lit(1)).alias("n")).collect()]:
-        one = classes.where(F.col("model") == model).select("id", "vector")
-        part = _search_model(one, k, cell, probes)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return files.select("path", F.col("path").alias("other"), F.lit(1.0).alias("cosine"), F.lit(1).alias("rank")).where(F.lit(False))
+    files = cut(latest(rows))
+    good = rows.where(_good())
+    # Copies of a vector are gone before rows are joined; a class is then one row, whose vector is moved once.
+    sizes = files.groupBy("h1", "h2").agg(F.first("model").alias("model"), F.count(F.lit(1)).alias("size"))
+    vectors = good.select(*_key(), "vector").groupBy("h1", "h2").agg(F.first("vector").alias("vector"))
+    placed, found = _search(sizes.join(vectors, ["h1", "h2"]), _cells(files, good.select(_model().alias("model"), "vector"), cell), k, probes)
     # The least k + 1 paths of a class are all of it that any file can need.
-    leads = classes.select("id", "h").join(lead, "h").select("id", "h", "member")
+    leads = placed.select("id", "h1", "h2").join(_least_members(files, k + 1), ["h1", "h2"]).select("id", "member")
     near = found.join(leads.select(F.col("id").alias("b"), "member"), "b").select(F.col("a").alias("id"), "member", "cosine")
-    same = leads.join(classes.where("size > 1").select("id"), "id", "left_semi").select("id", "member", F.lit(1.0).alias("cosine"))
+    same = leads.join(placed.where("size > 1").select("id"), "id", "left_semi").select("id", "member", F.lit(1.0).alias("cosine"))
     w = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "member")
     wanted = near.unionByName(same).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).groupBy("id").agg(F.collect_list(F.struct(F.negative("cosine").alias("minus"), "member")).alias("list"))
-    by_class = classes.select("id", "h").join(wanted, "id").select("h", F.array_sort("list").alias("list"))
-    out = files.select("path", "h").join(by_class, "h").select("path", F.slice(F.filter("list", lambda x: x["member"] != F.col("path")), 1, k).alias("list"))
+    by_class = placed.select("id", "h1", "h2").join(wanted, "id").select("h1", F.col("h2").alias("other_h2"), F.array_sort("list").alias("list"))
+    out = salted_join(files.select("path", "h1", "h2"), by_class, "h1", [F.col("path")], "inner").where("h2 = other_h2")
+    out = out.select("path", F.slice(F.filter("list", lambda x: x["member"] != F.col("path")), 1, k).alias("list"))
     return out.select("path", F.posexplode("list").alias("pos", "x")).select("path", F.col("x.member").alias("other"), F.negative("x.minus").alias("cosine"), (F.col("pos") + 1).alias("rank"))
 
 
 def _least_members(files: DataFrame, n: int) -> DataFrame:
-    """(h, member): the n least paths of each class; found per slice of a class first, so no class is sorted in one task."""
-    sliced = files.select("h", "path", F.pmod(F.xxhash64("path"), F.lit(64)).alias("slice"))
-    w1, w2 = Window.partitionBy("h", "slice").orderBy("path"), Window.partitionBy("h").orderBy("path")
+    """(h1, h2, member): the n least paths of each class; found per slice of a class first, so no class is sorted in one
+    task."""
+    sliced = files.select("h1", "h2", "path", F.pmod(F.xxhash64("path"), F.lit(64)).alias("slice"))
+    w1, w2 = Window.partitionBy("h1", "h2", "slice").orderBy("path"), Window.partitionBy("h1", "h2").orderBy("path")
     few = sliced.withColumn("r", F.row_number().over(w1)).where(F.col("r") <= n)
-    return few.withColumn("r", F.row_number().over(w2)).where(F.col("r") <= n).select("h", F.col("path").alias("member"))
+    return few.withColumn("r", F.row_number().over(w2)).where(F.col("r") <= n).select("h1", "h2", F.col("path").alias("member"))
 
 
 def near_pairs(rows: DataFrame, k: int = K) -> DataFrame:
