@@ -1,7 +1,8 @@
 """Credentials embedded in source code: found lexically, redacted without touching the code around them.
 
-A text is read as tokens: names, string literals (neighbours joined by + count as one), bare values of configuration
-lines, flags of command lines, URLs and key blocks. A credential is (a) a value that is assigned or passed to a
+A text is read as tokens: names, string literals (triple-quoted ones, neighbours joined by + and those that stand side by
+side in brackets count as one), the branches of conditional values, bare values of configuration lines, flags of command
+lines, URLs and key blocks. A credential is (a) a value that is assigned or passed to a
 credential-named identifier, (b) the password of a URL or of a command line's user:password, (c) a value of a provider's
 own format or (d) a private key block, unless it is a placeholder or a reference. Only the contents of these literals are
 masked; quotes, delimiters, line ends and escape sequences stay, so the code parses as before, and masks are placeholders,
@@ -25,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.sources.tables import spread
+
 Span = tuple[int, int]
 
 # Formats by which providers mark their own keys and tokens.
@@ -49,7 +52,7 @@ _JOINED = re.compile(rf"(?P<first>{_STRING})(?P<more>(?:[ \t]*\\?\r?\n?[ \t]*[+.
 _PIECE = re.compile(_STRING)
 _BIND = re.compile(
     r"(?P<id>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)(?P<close>[\"']?\]?)"
-    r"(?P<bind>[ \t]*:[ \t]*&?(?:'static[ \t]+)?(?:mut[ \t]+)?[A-Za-z][\w.<>\[\]?| ]*=[ \t]*\r?\n?[ \t]*|[ \t]+(?:string|\*string|\[\]byte)[ \t]*=[ \t]*|[ \t]*(?::=|=>|=|:|,)[ \t]*\r?\n?[ \t]*|>|\([ \t]*|[ \t]+)(?=\S)"
+    r"(?P<bind>[ \t]*:[ \t]*(?!(?:Basic|Bearer|Token|Digest)[ \t])&?(?:'static[ \t]+)?(?:mut[ \t]+)?[A-Za-z][\w.<>\[\]?| ]*=[ \t]*\r?\n?[ \t]*|[ \t]+(?:string|\*string|\[\]byte)[ \t]*=[ \t]*|[ \t]*(?::=|=>|=|:|,)[ \t]*\r?\n?[ \t]*|>|\([ \t]*|[ \t]+)(?=\S)"
 )
 _HINT = re.compile(r"(?i)pass|pwd|secret|token|cred|auth|bearer|jwt|key")
 _BARE = re.compile(r"(?:(?:Basic|Bearer|Token|token|basic|bearer)[ \t]+)?[^\s\"'`<>(){}\[\],;]+")
@@ -61,6 +64,12 @@ _BLOCK_TEXT = re.compile(r"(?:\\[nrt])*(?P<t>[A-Za-z0-9+/=]{16,})")
 # Words before a bracket that call nothing.
 _NO_CALL = {"if", "elif", "in", "return", "not", "and", "or", "for", "while", "switch", "match", "case", "yield", "assert", "print"}
 _SCHEME = re.compile(r"^(?P<s>Basic|Bearer|Token|Digest|ApiKey)[ \t]+", re.I)
+# Names of folders and files, in contrast to keys of 64 letters of which one may be a slash.
+_PATH = re.compile(r"\.{0,2}/(?:[a-z0-9_.-]*/?){1,64}$|\.{1,2}/|/[\w.-]*\.[a-z]{1,5}$")
+# What stands before the other branch of a value, on the same line.
+_ELSE = re.compile(r"[ \t]*(?::|\bif\b[^\n\"'`;]*?\belse\b)[ \t]*")
+_CONDITION = re.compile(r"[^\n;{}\"'`,]{1,80}?(?:\?|\|\||\?\?|\bor\b|\belse\b)[ \t]*(?=[\"'`])")
+_BESIDE = re.compile(r"(?:[ \t]|\\?\r?\n)*")
 _ESCAPE = re.compile(r"\\(?:u\{?[\da-fA-F]+\}?|x[\da-fA-F]{2}|[\s\S])")
 
 
@@ -93,7 +102,7 @@ def usable(value: str, strict: bool = False, password: bool = False) -> bool:
                 return bool(colon and pw) and not placeholder(pw)
             except (binascii.Error, ValueError):
                 return False
-    if placeholder(v) or re.search(r"\s", v) or re.match(r"(?i)[a-z][a-z0-9+.-]*://|data:|sha\d+-|\.{0,2}/", v) and not FORMATS.match(v):
+    if placeholder(v) or re.search(r"\s", v) or (re.match(r"(?i)[a-z][a-z0-9+.-]*://|data:|sha\d+-", v) or _PATH.match(v)) and not FORMATS.match(v):
         return False
     if len(v) < (6 if password else 8) or v.isdigit():
         return False
@@ -101,7 +110,11 @@ def usable(value: str, strict: bool = False, password: bool = False) -> bool:
     marks = any(not c.isalnum() for c in v)
     if strict and re.fullmatch(r"[A-Za-z_$][A-Za-z_$.]*\d{0,3}|[\w$]+(?:\.[A-Za-z_$][\w$]*)+|[-+]?[\d.,:%]+[a-z]{0,3}", v):
         return False
-    return digits and (upper or lower or marks) or (upper and lower and len(v) >= 16) or (password and not strict and (marks or upper and lower) and not re.fullmatch(r"[a-z]+(?:[_ .:-][a-z]+)*", v))
+    if digits and (upper or lower or marks) or upper and lower and len(v) >= 16:
+        return True
+    if not password or re.fullmatch(r"[a-z]+(?:[_ .:-][a-z]+)*", v):
+        return False
+    return (marks or upper and lower) if not strict else upper and lower and bool(re.search(r"[^\w.$:/-]", v))
 
 
 def _strings(text: str, at: int = 0) -> tuple[str, list[Span]] | None:
@@ -116,6 +129,31 @@ def _strings(text: str, at: int = 0) -> tuple[str, list[Span]] | None:
     return "".join(text[a:b] for a, b in spans), spans
 
 
+def _values(text: str, at: int) -> list[tuple[str, list[Span]]]:
+    """The literals that a value at a place may be: one, literals side by side in brackets, or those of its branches."""
+    if text.startswith("(", at):
+        value, spans, i = "", [], _BESIDE.match(text, at + 1).end()
+        while one := _strings(text, i):
+            value, spans = value + one[0], spans + one[1]
+            i = _BESIDE.match(text, _JOINED.match(text, i).end()).end()
+        if len(spans) > 1 and text.startswith(")", i) or len(spans) == 1 and re.match(r",?[ \t\r\n]*\)", text[i : i + 40]):
+            return [(value, spans)]
+    first = _strings(text, at)
+    if not first:
+        m = _CONDITION.match(text, at)
+        if not m:
+            return []
+        at = m.end()
+        first = _strings(text, at)
+        if not first:
+            return []
+    out = [first]
+    m = _ELSE.match(text, _JOINED.match(text, at).end())
+    if m and (second := _strings(text, m.end())) and ("else" in m[0] or "?" in text[text.rfind("\n", 0, at) + 1 : at]):
+        out.append(second)
+    return out
+
+
 def _cut_spans(spans: list[Span], a: int, b: int) -> list[Span]:
     """The parts of the spans that hold the characters a to b of their joined content."""
     out, seen = [], 0
@@ -186,7 +224,8 @@ def find(text: str | None) -> list[list[Span]]:
         if re.search(r"\b(?:curl|wget|http|https|xh|docker|svn|ldap\w*|smbclient)\b", line) and not placeholder(m["pw"]):
             found.append([m.span("pw")])
     for m in _FLAG.finditer(text):
-        if credential_name(m["id"]) and usable(m["pw"], strict=True, password=True):
+        # On a command line a bare word is a value, not a name.
+        if credential_name(m["id"]) and usable(m["pw"], strict=not m[0].lstrip().startswith("--"), password=True):
             found.append([m.span("pw")])
     pos = 0
     for hint in _HINT.finditer(text):
@@ -208,14 +247,14 @@ def find(text: str | None) -> list[list[Span]]:
         bind, at = m["bind"], m.end()
         last = _WORDS.findall(m["id"])[-1:]
         password = bool(last) and last[0].lower() in ("password", "passwd", "pwd", "passphrase", "pass")
-        literal = _strings(text, at)
-        if literal:
-            value, spans = literal
+        literals = _values(text, at)
+        if literals:
             if bind.strip() in ("", ">") or bind.strip() == "," and not _argument(text, m):
                 continue
-            if usable(value, password=password):
-                lead = len(value) - len(value.lstrip())
-                found.append(_cut_spans(spans, lead + _after_scheme(value[lead:]), len(value.rstrip())))
+            for value, spans in literals:
+                if usable(value, password=password):
+                    lead = len(value) - len(value.lstrip())
+                    found.append(_cut_spans(spans, lead + _after_scheme(value[lead:]), len(value.rstrip())))
             continue
         if "\n" in bind or bind.strip() in ("(", ",", "=>") or bind.strip().startswith(":") and len(bind.strip()) > 2:
             continue
@@ -278,12 +317,6 @@ def redact(text: str | None) -> str | None:
     return "".join(out) + text[done:]
 
 
-def _spread(texts: DataFrame) -> DataFrame:
-    spark = texts.sparkSession
-    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return texts.repartition(parts, F.xxhash64("record_key", "text"))
-
-
 @lru_cache(maxsize=1024)
 def _lines_of(text: str) -> tuple[int, ...]:
     return tuple(lines(text, find(text)))
@@ -298,7 +331,7 @@ def credential_lines(texts: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["source_table", "record_key", "line_no"])
 
     some = texts.where(F.length("text") > 0).select("source_table", "record_key", "text")
-    return _spread(some).mapInPandas(run, "source_table string, record_key string, line_no int").distinct()
+    return spread(some, "record_key", "text").mapInPandas(run, "source_table string, record_key string, line_no int").distinct()
 
 
 def redacted(texts: DataFrame) -> DataFrame:
@@ -310,4 +343,4 @@ def redacted(texts: DataFrame) -> DataFrame:
             pdf["text"] = [redact(x) if n else x for x, n in zip(pdf["text"], pdf["n_found"])]
             yield pdf
 
-    return _spread(texts.select("source_table", "record_key", "text")).mapInPandas(run, "source_table string, record_key string, text string, n_found int")
+    return spread(texts.select("source_table", "record_key", "text"), "record_key", "text").mapInPandas(run, "source_table string, record_key string, text string, n_found int")
