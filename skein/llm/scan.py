@@ -56,7 +56,7 @@ def ecma(text: str, words: Set[str], jsx: bool = False) -> tuple[list[str], list
 
     def put(kind: str, at: int) -> None:
         nonlocal newline
-        if newline and kinds and kinds[-1] in ("return", "break", "continue", "throw"):
+        if newline and kinds and (kinds[-1] in ("return", "break", "continue", "throw") or kind in ("++", "--") and operand()):
             kinds.append(";")
             starts.append(at)
             insert.append(False)

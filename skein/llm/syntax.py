@@ -6,7 +6,7 @@ removes is reported with its line. Each row is parsed by itself, so nothing is g
 results of the texts that they met last, so runs of copies cost one parse.
 
 Defined cases: a null source is no case, an empty one or one of white space and comments is valid (of Go, which needs a
-package clause, only the empty one); a language without a grammar (or null) is no case; copies give one row; files with
+package clause, only the blank one); a language without a grammar (or null) is no case; copies give one row; files with
 several rows are a case if any row is; an empty table gives no rows; other columns are ignored.
 """
 
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import glr, scan
+from skein.sources.tables import spread
 
 GRAMMARS = {"typescript": ("ecma", ("ts",)), "javascript": ("ecma", ("js",)), "python": ("python", ()), "go": ("go", ()), "rust": ("rust", ()), "java": ("java", ())}
 _PARSERS: dict[str, tuple[glr.Parser, frozenset]] = {}
@@ -34,7 +35,7 @@ def _parser(language: str) -> tuple[glr.Parser, frozenset]:
 
 def first_error(source: str, language: str, jsx: bool = False) -> tuple[int, str] | None:
     """(line, what) of the first error that the parse cannot go past; None if the source is valid."""
-    if not source:
+    if not source or not source.strip():
         return None
     parser, words = _parser(language)
     try:
@@ -66,10 +67,8 @@ def syntax_errors(sources: DataFrame) -> DataFrame:
                     rows.append((path, language, *bad))
             yield pd.DataFrame(rows, columns=["path", "language", "line", "error"])
 
-    spark = sources.sparkSession
-    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     known = sources.select("path", "language", "source").where(F.col("language").isin(*GRAMMARS) & (F.length("source") > 0))
-    return known.repartition(parts, "path", F.xxhash64("source")).mapInPandas(run, "path string, language string, line int, error string")
+    return spread(known, "path", "source").mapInPandas(run, "path string, language string, line int, error string")
 
 
 def syntax_rates(sources: DataFrame, errors: DataFrame, files: DataFrame) -> DataFrame:

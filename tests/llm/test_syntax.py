@@ -12,7 +12,7 @@ VALID = {
         "", "x = 1\n", "def f(a, *, b=1, **k) -> int:\n    return a if a else b\n", "class A(B, metaclass=M):\n\tx: int = 3\n\n\tdef g(self): pass\n", "match x:\n    case [1, *r] if r: pass\n    case {'a': A(b=1)}: pass\n    case _: pass\n",
         "match = 1\nmatch(x)\nprint(match)\n", "match x:\n    case 1 | 2: y = a | b\n", "async def f():\n    async with a as b, c: await d\n    async for x in y: pass\n    return [i async for i in z if i]\n", "with (open(a) as f, open(b)):\n    pass\n", "x = f'{a!r:>{w}} {{}} {b[\"c\"]}'\n",
         "try:\n    pass\nexcept* E as e:\n    raise X from e\nelse:\n    pass\nfinally:\n    pass\n", "a = b = c, *d = 1, 2\n", "lambda x, *y: (yield)\n", "if (n := f()) > 1: pass\nelif x: pass\nelse: pass", "x = (1,\n  2)\n# end", "def f(): return 1;\n", "@a.b(c)\nclass C: ...\n",
-        "type X[T] = list[T]\n", "print(*a, **b, sep='')\n", "x[1:2, ::3, ...] = y\n", "del a, b[0]\nglobal_ = 0x1f + 1_000j\n", "for x, in y: pass\nelse: pass\n", "not a in b and c is not d\n", "s = '<<<<<<< ours'\n\"\"\"\n=======\n\"\"\"\n", "x = a if b else lambda: c\r\ny = {**a, 'b': 1}\r\n",
+        "type X[T] = list[T]\n", "def f(a, /, b=1, *, c): pass\nlambda a, /: 1\n", "print(*a, **b, sep='')\n", "x[1:2, ::3, ...] = y\n", "del a, b[0]\nglobal_ = 0x1f + 1_000j\n", "for x, in y: pass\nelse: pass\n", "not a in b and c is not d\n", "s = '<<<<<<< ours'\n\"\"\"\n=======\n\"\"\"\n", "x = a if b else lambda: c\r\ny = {**a, 'b': 1}\r\n",
     ],
     "go": [
         'package p\n\nimport (\n\t"fmt"\n\tx "y"\n)\n\nfunc (t *T[K]) F(a, b int, c ...string) (x int, err error) {\n\tfor i := range 3 {\n\t}\n\treturn\n}\n', "package p\nvar (\n a = map[string][]int{\"x\": {1, 2},}\n b, c = 1, 'x'\n)\n",
@@ -35,17 +35,17 @@ VALID = {
         "async function f() { for await (const x of y) await z(x) }\nconst o = { a, 'b': 1, [c]: 2, d() { }, get e() { return 1 }, async *f() { }, ...g }\n", "return_ = 615\n/*\n<<<<<<< x\n=======\n*/\nconst b = '>>>>>>> y'\n",
     ],
     "typescript": [
-        "export interface A<T = string> extends B, C<T> { a?: number; readonly b: string[]; [k: string]: any; f(x: T): void; new (y: number): A<T>; get z(): 1 }\ntype U = { [K in keyof T]?: T[K] } | 'a' | `x${string}` | (() => void)\n", "abstract class A<T> extends B<T> implements C { private readonly x: number = 1; constructor(public y?: string) { super(y!) } abstract f(): void; static async g<U>(a: U): Promise<Map<string, U>> { return a as any } declare z: X }\n",
+        "class A { get [a]() { return 1 } get b(): string { return '' } set b(x: string) { } static get c() { return 1 } }\ndeclare const k: number\n", "export interface A<T = string> extends B, C<T> { a?: number; readonly b: string[]; [k: string]: any; f(x: T): void; new (y: number): A<T>; get z(): 1 }\ntype U = { [K in keyof T]?: T[K] } | 'a' | `x${string}` | (() => void)\n", "abstract class A<T> extends B<T> implements C { private readonly x: number = 1; constructor(public y?: string) { super(y!) } abstract f(): void; static async g<U>(a: U): Promise<Map<string, U>> { return a as any } declare z: X }\n",
         "enum E { A = 1, B, 'c' = 'd' }\ndeclare module 'm' { export const x: number }\nnamespace N.M { export type T = typeof x }\nimport type { Q } from './q'\nimport r = require('r')\nexport = r\n", "function f(this: A, x: unknown): x is string { return <any>x }\nconst g = <T,>(a: T): T => a\nlet h = a satisfies B, i = j!.k, l: [a: number, b?: string, ...c: X[]] = m\nfoo<Bar<Baz>>(x)\n",
         "function over(a: string): void\nfunction over(a: any) { }\nlet c: A extends infer B ? B : never, d: unique symbol, e: abstract new () => X\n@dec() class D { @p() q = 1; @m r() { } }\n", "export const k: Record<string, (x?: number) => void> = {}\nconst type = 1, declare = 2\nvar of = (a: number): string => { return `${a}` }\n",
     ],
 }
 INVALID = {
     "python": ["def f(a)\n    pass\n", "if x\n  pass\n", "x = (1\n", "  x = 1\n", "a = = 1\n", "<<<<<<< ours\nx = 1\n=======\n", "s = 'abc\n", "def f():\npass\n", "import\n", "x = 1 }\n", "for x in y:\n", "1x = 2\n", "x = {'a': }\n", "package main\n"],
-    "go": ["package p\nfunc f() {\n", "func f() {}\n", "package p\nfunc f() { x := }\n", "package p\nfunc f( { }\n", "package p\nimport fmt\n", "package p\n<<<<<<< a\n", "package p\nvar s = \"a\n", "// only a comment\n", "package dev.x;\n", "package p\nfunc f() { return 1 } }\n"],
+    "go": ["package p\nfunc f() {\n", "func f() {}\n", "package p\nfunc f() { x := }\n", "package p\nfunc f( { }\n", "package p\nimport fmt\n", "package p\n<<<<<<< a\n", "package p\nvar s = \"a\n", "// only a comment\n", "package dev.x;\n", "package p\nfunc f() { return 1 } }\n", "\n// only a comment\n"],
     "rust": ["fn f( { }", "fn f() -> { 1 }", "let x = 1;", "fn f() { let x = ; }", "fn f() { match x { 0 => } }", "struct { a: u8 }", "fn f() { \"abc }", "fn f() { x", "use a::b", "fn f() } {", "<<<<<<< HEAD\nfn f() {}\n"],
     "java": ["class A { void f() { return 1 } }", "class A { int x = ; }", "class A {", "class A { } }", "public void f() { }", "class A { void f() { 5; } }", "class A { char c = ''; }", "class { }", "import a.b\nclass C { }", "class A { void f() { if (x { } } }"],
-    "javascript": ["function f( { }", "const x = ;", "if (a { }", "let a = `x ${", "class A { x: number }", "const a: string = 'b';", "import { a from 'b'", "<<<<<<< ours\nx()\n", "a b", "}", "return_ = /abc", "for (;;", "interface A { }", "const x = 'abc\n'"],
+    "javascript": ["function f( { }", "const x = ;", "if (a { }", "let a = `x ${", "class A { x: number }", "const a: string = 'b';", "import { a from 'b'", "<<<<<<< ours\nx()\n", "a b", "}", "return_ = /abc", "for (;;", "interface A { }", "const x = 'abc\n'", "const a;", "const a = 1, b;", "a\n++\n"],
     "typescript": ["function f(: number) { }", "interface A { a: }", "type X = ;", "class A { private }}", "const x: = 1", "export interface { }", "enum E { A = }", "function f(): { }}", "let x: Map<string = 1", "||||||| base\n"],
 }
 
@@ -56,6 +56,11 @@ def test_valid_sources(language):
         assert syntax.first_error(s, language) is None, s
 
 
+@pytest.mark.parametrize("language", VALID)
+def test_blank_sources_are_valid(language):
+    assert syntax.first_error("\n", language) is None and syntax.first_error(" \r\n\t", language) is None
+
+
 @pytest.mark.parametrize("language", INVALID)
 def test_invalid_sources(language):
     for s in INVALID[language]:
