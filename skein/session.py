@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -35,10 +36,14 @@ _FOLDERS: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """This application's folder below the one that spark.checkpoint.dir names; a local one only where that is unset (tests,
-    local runs). It is removed when the driver ends."""
+    """This application's folder below the one that spark.checkpoint.dir names. Where that is unset, a local master takes a
+    local folder (tests, local runs); on a cluster it is an error, since executors would each write to a disk of their own.
+    The folder is removed when the driver ends."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    named = named or f"file://{tempfile.gettempdir()}"
     where = f"{named.rstrip('/')}/skein-{sc.applicationId}"
     if where not in _FOLDERS:
         _FOLDERS.add(where)
