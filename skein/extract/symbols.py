@@ -8,6 +8,7 @@ fits gives empty lists; a failing file gives a null record, not a failing job.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,9 +48,10 @@ def _squeeze(x: str) -> str:
 class _Reader:
     def __init__(self, text: str, language: str):
         self.text, self.code = text, blank(text, language)
+        self.ends = [m.start() for m in re.finditer("\n", text)]
 
     def line(self, at: int) -> int:
-        return self.text.count("\n", 0, at) + 1
+        return bisect_left(self.ends, at) + 1
 
     def raw(self, m: re.Match, group: str) -> str:
         return _squeeze(self.text[m.start(group) : m.end(group)]) if m[group] is not None else ""

@@ -47,7 +47,7 @@ def base_name(path: Column) -> Column:
 
 def relative_to(path: Column, root: str) -> Column:
     root = root.rstrip("/") + "/"
-    return F.when(F.startswith(path, F.lit(root)), F.substring(path, len(root) + 1, 1_000_000)).otherwise(path)
+    return F.when(F.startswith(path, F.lit(root)), F.substring(path, len(root) + 1, 2**31 - 1)).otherwise(path)
 
 
 def squeeze(text: Column) -> Column:

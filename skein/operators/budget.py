@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import round_half_up
@@ -24,24 +25,41 @@ def savings(raw: Column, optimized: Column) -> list[Column]:
     ]
 
 
+def escalation_notice(before: int, after: int, n_changed: int) -> str:
+    """What to tell about a budget that was raised; empty if it was not."""
+    return "" if after <= before else f"Budget raised from {before:,} to {after:,} tokens, since {n_changed} files changed; run without escalation to keep {before:,}."
+
+
 def first_fit(items: DataFrame, room: Column | int, key: str = "path", cost: str = "cost", order: str = "rank", group: list[str] | None = None) -> DataFrame:
     """The items that fit into the room one after the other in their order; one that is too large is passed over.
 
-    The choice depends on all before it, so the items of a group (the touched files of one task) are folded in one row.
+    The choice depends on all before it, but room only shrinks: once an item of some cost is passed over, so are all later
+    ones of that cost, and no more than room / cost of them fit. So for each cost only that many can be among the chosen,
+    room * ln(room) rows of a group at most, whatever the number of items; only they meet in one task. Items without a cost
+    always fit; those with a null cost never do.
     """
-    fold = F.aggregate(
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(key).alias("k"), F.col(cost).cast("long").alias("c")))),
-        F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{items.schema[key].dataType.simpleString()}>").alias("kept")),
-        lambda a, x: F.when(a["used"] + x["c"] <= F.col("__room"), F.struct((a["used"] + x["c"]).alias("used"), F.concat(a["kept"], F.array(x["k"])).alias("kept"))).otherwise(a),
-    )
-    room = F.lit(room) if isinstance(room, int) else room
     g = group or []
-    lists = items.withColumn("__room", F.greatest(room.cast("long"), F.lit(0))).groupBy(*g, "__room").agg(fold.alias("f"))
-    kept = lists.select(*g, F.explode("f.kept").alias(key))
+    x = items.select(*g, key, F.col(order).alias("__order"), F.col(cost).cast("long").alias("__cost"), F.greatest((F.lit(room) if isinstance(room, int) else room).cast("long"), F.lit(0)).alias("__room"))
+    some = x.where("__cost > 0 and __cost <= __room").withColumn("__slice", F.pmod(F.xxhash64(key), F.lit(32)))
+    for by in (["__slice"], []):  # the first of each slice, then of all of them
+        w = Window.partitionBy(*g, "__room", "__cost", *by).orderBy("__order", key)
+        some = some.withColumn("__n", F.row_number().over(w)).where(F.expr("__n <= __room div __cost")).drop("__n")
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["__order", key])
+        left, kept = int(pdf["__room"].iloc[0]), []
+        for i, c in zip(pdf.index, pdf["__cost"]):
+            if c <= left:
+                left -= c
+                kept.append(i)
+        return pdf.loc[kept, [*g, key]]
+
+    schema = ", ".join(f"`{c}` {items.schema[c].dataType.simpleString()}" for c in [*g, key])
+    kept = some.drop("__slice").groupBy(*g, "__room").applyInPandas(choose, schema).unionByName(x.where("__cost <= 0").select(*g, key))
     return items.join(kept, [*g, key], "left_semi")
 
 
-def cascade(files: DataFrame, budgets: DataFrame, task_tokens: int = 0, skeleton_tokens: int = 0) -> DataFrame:
+def cascade(files: DataFrame, budgets: DataFrame, task_tokens: int = 0, skeleton_tokens: int | DataFrame = 0) -> DataFrame:
     """files(path, bucket, rank, full, symbols, summary) under each of budgets(budget): path, bucket, level, tokens, kept.
 
     While the total is above the budget: touched files go from symbols to their summaries, all at once; ancestors drop out;
@@ -54,6 +72,9 @@ def cascade(files: DataFrame, budgets: DataFrame, task_tokens: int = 0, skeleton
     sums = base.agg(part("changed", "tokens").alias("changed"), part("touched", "tokens").alias("touched"), part("touched", "summary").alias("squeezed"), part("ancestor", "tokens").alias("ancestor"))
     t = F.lit(task_tokens + 0)
     s = budgets.join(F.broadcast(sums), F.lit(True))  # one row of sums
+    if isinstance(skeleton_tokens, DataFrame):
+        s = s.join(F.broadcast(skeleton_tokens.toDF("__skeleton")), F.lit(True))  # one row
+        skeleton_tokens = F.col("__skeleton")
     over1 = t + F.col("changed") + F.col("touched") + F.col("ancestor") + skeleton_tokens > F.col("budget")
     over2 = over1 & (t + F.col("changed") + F.col("squeezed") + F.col("ancestor") + skeleton_tokens > F.col("budget"))
     over3 = over2 & (t + F.col("changed") + F.col("squeezed") + skeleton_tokens > F.col("budget"))

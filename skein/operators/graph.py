@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.skew import Salt
 from skein.schemas import FAR
-from skein.session import cut
+from skein.session import cut, cut_with
 
 
 def replace_out_edges(edges: DataFrame, sources: DataFrame, new: DataFrame) -> DataFrame:
@@ -17,7 +18,7 @@ def replace_out_edges(edges: DataFrame, sources: DataFrame, new: DataFrame) -> D
 def drop_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The edges without those that begin or end in nodes(path)."""
     gone = nodes.select("path").distinct()
-    return edges.join(gone.withColumnRenamed("path", "from_path"), "from_path", "left_anti").join(gone.withColumnRenamed("path", "to_path"), "to_path", "left_anti").select("from_path", "to_path")
+    return edges.join(gone.withColumnRenamed("path", "from_path"), "from_path", "left_anti").join(gone.withColumnRenamed("path", "to_path"), "to_path", "left_anti").select(*edges.columns)
 
 
 def in_degrees(edges: DataFrame) -> DataFrame:
@@ -29,13 +30,16 @@ def out_degrees(edges: DataFrame) -> DataFrame:
 
 
 def _walk(steps: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(path, depth): the fewest steps(a, b) from any of seeds(path). A round joins the frontier with the steps and takes
-    away what was seen; frontiers are distinct, so a hub that many nodes lead to is one row in the next round."""
-    seen = cut(seeds.select("path").distinct().withColumn("depth", F.lit(0)))
+    """(path, depth): the fewest steps(a, b) from any of seeds(path). The steps are written once; a round joins the frontier
+    with them and takes away what was seen. Frontiers are distinct, so a hub that many nodes lead to is one row in the next
+    round; the many steps of a hub itself are dealt over slices. Rows are counted while they are written."""
+    steps, seen = cut(steps), cut(seeds.select("path").distinct().withColumn("depth", F.lit(0)))
+    salt = Salt(steps, "a", [F.col("b")], keep=cut)
     front = seen
     for d in range(1, depth + 1):
-        front = cut(front.join(steps, front["path"] == steps["a"]).select(F.col("b").alias("path")).distinct().join(seen.select("path"), "path", "left_anti").withColumn("depth", F.lit(d)))
-        if front.isEmpty():
+        reached = salt.join(steps, front.select(F.col("path").alias("a"))).select(F.col("b").alias("path")).distinct()
+        front, count = cut_with(reached.join(seen.select("path"), "path", "left_anti").withColumn("depth", F.lit(d)), n=F.count(F.lit(1)))
+        if not count["n"]:
             break
         seen = seen.unionByName(front)
     return seen

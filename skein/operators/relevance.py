@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.config import Relevance
 from skein.functions.vectors import cosine
+from skein.session import cut
 
 
 def most_similar(vectors: DataFrame, query: Sequence[float], key: str = "file_path", vector: str = "vector", threshold: float = 0.65, k: int = 50) -> DataFrame:
@@ -40,7 +41,32 @@ def score(walked: DataFrame, similar: DataFrame | None, settings: Relevance = Re
     return out.withColumn("included", (d <= 1) | (F.col("final") >= settings.threshold)).withColumn("reason", reason).drop("found")
 
 
+def ranked(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """df with `rank`, the place in its group. The rows are sorted by ranges over all partitions; a row's rank is its place
+    in its own range and the number of the group's rows in the ranges before, so no task holds a whole group."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = cut(df.repartitionByRange(n, group, *order).withColumn("__range", F.spark_partition_id()))
+    so_far = Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = x.groupBy(group, "__range").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(so_far), F.lit(0))).drop("__n")
+    place = F.row_number().over(Window.partitionBy(group, "__range").orderBy(*order))
+    return x.withColumn("__place", place).join(before, [group, "__range"]).withColumn("rank", (F.col("__place") + F.col("__before")).cast("int")).drop("__range", "__place", "__before")
+
+
 def rank(scored: DataFrame) -> DataFrame:
     """The included files with their bucket and place in it, best first; equal scores by path."""
     bucket = F.when(F.col("depth") == 0, "changed").when(F.col("depth") == 1, "touched").otherwise("ancestor")
-    return scored.where("included").withColumn("bucket", bucket).withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("final").desc(), "path")))
+    return ranked(scored.where("included").withColumn("bucket", bucket), "bucket", [F.col("final").desc(), F.col("path")])
+
+
+def most_similar_each(vectors: DataFrame, queries: DataFrame, by: list[str], threshold: float, k: int, key: str = "file_path") -> DataFrame:
+    """(key, *by, score): for each of queries(*by, q) the k best of the vectors with the same `by` and a score of at least
+    the threshold; equal scores by key. Every task sends on only its own k best of each query."""
+    scored = vectors.join(queries, by).select(key, *by, cosine(F.col("vector"), F.col("q")).alias("score")).where(F.col("score") >= threshold)
+    return scored.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("score").desc(), key))).where(F.col("__r") <= k).drop("__r")
+
+
+def score_lines(scored: DataFrame) -> DataFrame:
+    """(path, line): each file's scores as a line of text, left out or not."""
+    kind = F.when(F.col("depth") == 0, "changed").when(F.col("depth") == 1, "touched").otherwise("ancestor")
+    shown = F.format_string("%-9s %-45s semantic=%.2f graph=%.2f final=%.2f", F.when(F.col("included"), kind).otherwise("left out"), "path", "semantic", "graph_score", "final")
+    return scored.select("path", shown.alias("line"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,20 +21,31 @@ def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
     return counts.where(F.col("__n") >= F.greatest(F.lit(2.0), total * share)).select(key)
 
 
+class Salt:
+    """Joins of tables that share their hot keys: those of `big` on `key`, found once, whose rows are dealt over `salts`
+    slices by `spread`.
+
+    Only the rows of the other side that belong to hot keys are repeated, so the extra volume is at most salts / share
+    times the rows that it has per key. Null keys match nothing.
+    """
+
+    def __init__(self, big: DataFrame, key: str, spread: Sequence[Column], share: float = HOT_SHARE, salts: int = SALTS, keep: Callable[[DataFrame], DataFrame] = lambda df: df):
+        """keep: applied to the table of hot keys, such as `cut` where it is used many times."""
+        self.key, self.spread, self.salts = key, spread, salts
+        self.hot = F.broadcast(keep(hot_keys(big, key, share).select(F.col(key).alias("__hot"))))
+
+    def join(self, big: DataFrame, small: DataFrame, how: str = "inner") -> DataFrame:
+        """`how` is "left", "inner", "left_semi" or "left_anti"."""
+        is_hot, key = F.col("__hot").isNotNull(), self.key
+        slice_ = F.when(is_hot, F.pmod(F.xxhash64(*self.spread), F.lit(self.salts))).otherwise(F.lit(0)).cast("int")
+        slices = F.when(is_hot, F.sequence(F.lit(0), F.lit(self.salts - 1))).otherwise(F.array(F.lit(0)))
+        left = big.join(self.hot, F.col(key) == F.col("__hot"), "left").withColumn("__salt", slice_).drop("__hot")
+        right = small.join(self.hot, F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.explode(slices)).drop("__hot")
+        return left.join(right, [key, "__salt"], how).drop("__salt")
+
+
 def salted_join(
     big: DataFrame, small: DataFrame, key: str, spread: Sequence[Column], how: str = "left", share: float = HOT_SHARE, salts: int = SALTS
 ) -> DataFrame:
-    """Join `big` with `small` (one or few rows per key) on `key`; rows of hot keys are dealt over `salts` slices by `spread`.
-
-    Only the rows of `small` that belong to hot keys are repeated, so the extra volume is at most salts / share rows.
-    Null keys match nothing. `how` is "left", "inner", "left_semi" or "left_anti".
-    """
-    hot = F.broadcast(hot_keys(big, key, share).select(F.col(key).alias("__hot")))
-    left = big.join(hot, F.col(key) == F.col("__hot"), "left").withColumn(
-        "__salt", F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")
-    ).drop("__hot")
-    right = small.join(hot, F.col(key) == F.col("__hot"), "left").withColumn(
-        "__salt",
-        F.explode(F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
-    ).drop("__hot")
-    return left.join(right, [key, "__salt"], how).drop("__salt")
+    """Join `big` with `small` (one or few rows per key) on `key`; rows of hot keys are dealt over `salts` slices by `spread`."""
+    return Salt(big, key, spread, share, salts).join(big, small, how)

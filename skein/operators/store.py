@@ -55,10 +55,12 @@ class Store:
         out = self._fs.create(tmp, True)
         out.write(bytearray(text.encode()))
         out.close()
-        to = self._path(f"{self.root}/{name}")
-        if self._fs.exists(to):
-            self._fs.delete(to, False)
-        self._fs.rename(tmp, to)
+        # A rename that replaces its target, so that readers always find one or the other.
+        sc = self.spark.sparkContext
+        kinds = getattr(sc._jvm, "org.apache.hadoop.fs.Options$Rename")
+        how = sc._gateway.new_array(kinds, 1)
+        how[0] = kinds.OVERWRITE
+        sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(tmp.toUri() if tmp.toUri().getScheme() else self._fs.getUri(), sc._jsc.hadoopConfiguration()).rename(self._fs.makeQualified(tmp), self._fs.makeQualified(self._path(f"{self.root}/{name}")), how)
 
     def _get(self, name: str) -> str | None:
         p = self._path(f"{self.root}/{name}")
@@ -79,11 +81,13 @@ class Store:
 
     def write(self, name: str, df: DataFrame) -> None:
         schema, _ = TABLES[name]
-        version, old = uuid.uuid4().hex, self._get(f"{name}.current")
+        version, old, older = uuid.uuid4().hex, self._get(f"{name}.current"), self._get(f"{name}.before")
         df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).write.parquet(f"{self.root}/{name}/{version}")
         self._put(f"{name}.current", version)
-        if old:
-            self._fs.delete(self._path(f"{self.root}/{name}/{old}"), True)
+        if old:  # jobs may still read it; the one before it goes
+            self._put(f"{name}.before", old)
+        if older:
+            self._fs.delete(self._path(f"{self.root}/{name}/{older}"), True)
 
     def upsert(self, name: str, delta: DataFrame) -> None:
         self.write(name, upsert(self.read(name), delta, TABLES[name][1]))
@@ -96,7 +100,7 @@ class Store:
     def remove(self, gone: DataFrame) -> None:
         names = ("indexed_files", "symbol_maps", "embeddings", "graph_edges")
         f, s, v, e = cascade_delete(*[self.read(n) for n in names], gone)
-        for name, df in zip(names, (f, s, v, e.withColumn("recorded_at", F.lit(None).cast("timestamp")) if "recorded_at" not in e.columns else e)):
+        for name, df in zip(names, (f, s, v, e)):
             self.write(name, df)
 
     def lookup(self, name: str, keys: Iterable[str]) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from skein.extract.symbols import with_symbols
 from skein.functions import text
 from skein.operators import budget, changes, graph, ledger, relevance, resolve, stats, store
+from skein.session import cut
 from skein.sources import corpus, ignore
-from skein.sources.tables import table
+from skein.sources.tables import spread, table
 from skein.streaming import upkeep
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,11 +33,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+# Names of tables and columns, and the endings that imports are tried with, in their order.
 # Parts of the SQL that several queries share.
 _INDEX = "(SELECT path, arg_max(hash, struct_pack(a := last_indexed, b := hash)) AS hash FROM indexed_files WHERE path IS NOT NULL GROUP BY path)"
 _DISK = "(SELECT path, sha256(max(source)) AS hash, max(source) AS source FROM parse_results WHERE source IS NOT NULL GROUP BY path)"
 _EDGES = "(SELECT DISTINCT from_path, to_path FROM graph_edges)"
-_FILES = "(SELECT path, max(token_count) AS token_count, max(symbol_token_count) AS symbol_token_count, max(last_indexed) AS last_indexed FROM indexed_files GROUP BY path)"
+_FILES = "(SELECT path, max(token_count) AS token_count, max(symbol_token_count) AS symbol_token_count, max(last_indexed) AS last_indexed, max(summary) AS summary FROM indexed_files GROUP BY path)"
 _UTF16 = "(length({0}) + length(regexp_replace({0}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))"
 _ONCE = "(SELECT DISTINCT ON (task_id) * FROM task_records WHERE completed_at IS NOT NULL ORDER BY task_id, completed_at)"
 _FIGURES = "count(*) AS tasks, CAST(coalesce(sum(raw_tokens), 0) AS BIGINT) AS raw, CAST(coalesce(sum(optimized_tokens), 0) AS BIGINT) AS optimized, CAST(coalesce(sum(saved_tokens), 0) AS BIGINT) AS saved, CAST(coalesce(floor(avg(reduction_percent) + 0.5), 0) AS INT) AS avg_percent"
@@ -57,7 +59,7 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "indexed_files").groupBy("path").agg(*[F.max(c).alias(c) for c in ("token_count", "symbol_token_count", "last_indexed")])
+    return table(spark, d, "indexed_files").groupBy("path").agg(*[F.max(c).alias(c) for c in ("token_count", "symbol_token_count", "last_indexed", "summary")])
 
 
 def _symbols(spark: SparkSession, d: str) -> DataFrame:
@@ -225,15 +227,30 @@ def knn_topk(spark: SparkSession, d: str) -> DataFrame:
     return relevance.most_similar(v, q, "vec_id", "embedding", 0.1, 50).withColumn("score", F.round("score", 6))
 
 
-# Similarities of files: a file's share of symbol tokens stands in for the similarity to a task.
-_SIMILAR = f"(SELECT path, symbol_token_count / token_count AS score FROM {_FILES} WHERE token_count > 0 AND symbol_token_count / token_count >= 0.3)"
+# Of each file its latest row, if its vector fits; of each model the vector of the least path stands for a task.
+_VECTORS = "(SELECT file_path, model, dimensions, vector FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY created_at DESC NULLS LAST, model DESC NULLS LAST) AS r FROM file_embeddings) WHERE r = 1 AND vector IS NOT NULL AND len(vector) = dimensions AND list_sum(list_transform(vector, lambda x: x * x)) > 0)"
+
+
+def _knn_sql(threshold: float, k: int) -> str:
+    return f"""(SELECT file_path, model, score FROM (SELECT *, row_number() OVER (PARTITION BY model, dimensions ORDER BY score DESC, file_path) AS r FROM (
+  SELECT v.file_path, v.model, v.dimensions, list_cosine_similarity(v.vector::DOUBLE[], q.q::DOUBLE[]) AS score
+  FROM {_VECTORS} v JOIN (SELECT model, dimensions, arg_min(vector, file_path) AS q FROM {_VECTORS} GROUP BY ALL) q ON q.model = v.model AND q.dimensions = v.dimensions) WHERE score >= {threshold}) WHERE r <= {k})"""
+
+
+def _knn(spark: SparkSession, d: str, threshold: float, k: int) -> DataFrame:
+    v = table(spark, d, "file_embeddings", ["file_path", "model", "dimensions", "vector", "created_at"]).groupBy("file_path").agg(F.max_by(F.struct("model", "dimensions", "vector"), F.struct("created_at", "model")).alias("r")).select("file_path", "r.*")
+    v = v.where(F.expr("vector is not null and size(vector) = dimensions") & F.exists("vector", lambda x: x != 0))
+    queries = v.groupBy("model", "dimensions").agg(F.min_by("vector", "file_path").alias("q"))
+    return relevance.most_similar_each(v, queries, ["model", "dimensions"], threshold, k)
+
+
+_SIMILAR = f"(SELECT file_path AS path, score FROM {_knn_sql(0.2, 200)})"
 _SCORED = f"""(SELECT w.path, depth, coalesce(score, CASE WHEN depth <= 1 THEN 0.5 ELSE 0.3 END) AS semantic, CASE depth WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 WHEN 2 THEN 0.5 ELSE 0.0 END AS graph_score FROM ({_bfs_sql(2)}) w LEFT JOIN {_SIMILAR} s ON s.path = w.path)"""
 _FINAL = f"(SELECT *, CASE WHEN depth = 0 THEN 1.0 ELSE 0.4 * semantic + 0.6 * graph_score END AS final FROM {_SCORED})"
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    similar = _files(spark, d).where("token_count > 0").select("path", (F.col("symbol_token_count") / F.col("token_count")).alias("score")).where("score >= 0.3")
-    return relevance.score(bfs_depth2(spark, d), similar)
+    return relevance.score(bfs_depth2(spark, d), _knn(spark, d, 0.2, 200).select(F.col("file_path").alias("path"), "score"))
 
 
 @query("hybrid_score", f"SELECT path, depth, round(semantic, 6) AS semantic, CAST(graph_score AS DOUBLE) AS graph_score, round(final, 6) AS final, depth <= 1 OR final >= 0.45 AS included FROM {_FINAL}")
@@ -256,12 +273,19 @@ def rank_buckets(spark: SparkSession, d: str) -> DataFrame:
     return _ranked(spark, d).select("path", "bucket", "rank")
 
 
-_COSTS = f"(SELECT r.path, bucket, rank, coalesce(token_count, 0) AS \"full\", coalesce(symbol_token_count, 0) AS symbols, CAST(ceil(coalesce(symbol_token_count, 0) / 4) AS INT) AS summary FROM {_RANKED} r LEFT JOIN {_FILES} f ON f.path = r.path)"
+_COSTS = f"""(SELECT r.path, bucket, rank, coalesce(token_count, 0) AS "full", coalesce(symbol_token_count, 0) AS symbols, CAST(ceil({_UTF16.format("coalesce(summary, '')")} / 4) AS INT) AS summary FROM {_RANKED} r LEFT JOIN {_FILES} f ON f.path = r.path)"""
+_DIRS = f"(SELECT DISTINCT array_to_string(p[1:i], '/') AS dir FROM (SELECT p, unnest(generate_series(1, len(p) - 1)) AS i FROM (SELECT string_split(path, '/') AS p FROM {_FILES})))"
+_SKELETON = f"(SELECT CAST(ceil((18 + sum(length(dir) + 1)) / 4) AS BIGINT) AS sk FROM {_DIRS})"
 
 
 def _costs(spark: SparkSession, d: str) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return _ranked(spark, d).select("path", "bucket", "rank").join(_files(spark, d), "path", "left").select("path", "bucket", "rank", zero("token_count").alias("full"), zero("symbol_token_count").alias("symbols"), F.ceil(zero("symbol_token_count") / 4).cast("int").alias("summary"))
+    return _ranked(spark, d).select("path", "bucket", "rank").join(_files(spark, d), "path", "left").select("path", "bucket", "rank", zero("token_count").alias("full"), zero("symbol_token_count").alias("symbols"), text.token_estimate(F.col("summary")).alias("summary"))
+
+
+def _skeleton_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """The tokens of the list of directories below its title, in one row."""
+    return skeleton_dirs(spark, d).agg(F.ceil((F.lit(18) + F.sum(F.length("dir") + 1)) / 4).alias("tokens"))
 
 
 def _fit_sql(rows: str, room: str) -> str:
@@ -278,22 +302,22 @@ def _cascade_sql(budgets: tuple[int, ...]) -> str:
     one = []
     for b in budgets:
         one.append(f"""(WITH RECURSIVE c AS (SELECT * FROM {_COSTS}),
-sums AS (SELECT coalesce(sum("full") FILTER (bucket = 'changed'), 0) AS ch, coalesce(sum(symbols) FILTER (bucket = 'touched'), 0) AS t, coalesce(sum(summary) FILTER (bucket = 'touched'), 0) AS s, coalesce(sum(summary) FILTER (bucket = 'ancestor'), 0) AS a FROM c),
-f AS (SELECT 50 + ch + t + a > {b} AS o1, 50 + ch + s + a > {b} AND 50 + ch + t + a > {b} AS o2, 50 + ch + s > {b} AND 50 + ch + t + a > {b} AS o4, greatest({b} - 50 - ch, 0) AS room FROM sums),
+sums AS (SELECT coalesce(sum("full") FILTER (bucket = 'changed'), 0) AS ch, coalesce(sum(symbols) FILTER (bucket = 'touched'), 0) AS t, coalesce(sum(summary) FILTER (bucket = 'touched'), 0) AS s, coalesce(sum(summary) FILTER (bucket = 'ancestor'), 0) AS a, (SELECT sk FROM {_SKELETON}) AS sk FROM c),
+f AS (SELECT 50 + ch + t + a + sk > {b} AS o1, o1 AND 50 + ch + s + a + sk > {b} AS o2, o2 AND 50 + ch + s + sk > {b} AS o3, o3 AND 50 + ch + s > {b} AS o4, greatest({b} - 50 - ch, 0) AS room FROM sums),
 items AS (SELECT row_number() OVER (ORDER BY rank) AS n, path, summary AS cost FROM c WHERE bucket = 'touched'), {_fit_sql('items', '(SELECT room FROM f)')},
-k AS (SELECT c.path, c.bucket, c."full", c.symbols, c.summary, o1, CASE WHEN c.bucket = 'changed' THEN true WHEN c.bucket = 'ancestor' THEN NOT o2 ELSE NOT o4 OR coalesce(fit.kept, false) END AS kept FROM c CROSS JOIN f LEFT JOIN fit ON fit.path = c.path)
+k AS (SELECT c.path, c.bucket, c."full", c.symbols, c.summary, o1, o3, CASE WHEN c.bucket = 'changed' THEN true WHEN c.bucket = 'ancestor' THEN NOT o2 ELSE NOT o4 OR coalesce(fit.kept, false) END AS kept FROM c CROSS JOIN f LEFT JOIN fit ON fit.path = c.path)
 SELECT {b} AS budget, path, kept, CASE WHEN NOT kept THEN 'excluded' WHEN bucket = 'changed' THEN 'full' WHEN bucket = 'touched' AND NOT o1 THEN 'symbols' ELSE 'summary' END AS level,
-  CAST(CASE WHEN NOT kept THEN 0 WHEN bucket = 'changed' THEN "full" WHEN bucket = 'touched' AND NOT o1 THEN symbols ELSE summary END AS INT) AS tokens FROM k)""")
+  CAST(CASE WHEN NOT kept THEN 0 WHEN bucket = 'changed' THEN "full" WHEN bucket = 'touched' AND NOT o1 THEN symbols ELSE summary END AS INT) AS tokens, o3 AS no_skeleton FROM k)""")
     return " UNION ALL ".join(one)
 
 
-_BUDGETS = (4000, 6000, 9000, 60000)
+_BUDGETS = (4000, 9000, 60000, 120000, 1500000)
 
 
 @query("budget_cascade", _cascade_sql(_BUDGETS))
 def budget_cascade(spark: SparkSession, d: str) -> DataFrame:
     budgets = spark.createDataFrame([(b,) for b in _BUDGETS], "budget int")
-    return budget.cascade(_costs(spark, d), budgets, task_tokens=50).select("budget", "path", "kept", "level", F.col("tokens").cast("int").alias("tokens"))
+    return budget.cascade(cut(_costs(spark, d)), budgets, 50, _skeleton_tokens(spark, d)).select("budget", "path", "kept", "level", F.col("tokens").cast("int").alias("tokens"), "no_skeleton")
 
 
 @query("savings", f"SELECT session_id, CAST(sum(raw_tokens) - sum(optimized_tokens) AS BIGINT) AS saved, CAST(CASE WHEN sum(raw_tokens) > 0 THEN floor((sum(raw_tokens) - sum(optimized_tokens)) * 100.0 / sum(raw_tokens) + 0.5) ELSE 0 END AS INT) AS percent, CASE WHEN sum(optimized_tokens) > 0 THEN floor(sum(raw_tokens) * 10.0 / sum(optimized_tokens) + 0.5) / 10 ELSE 1 END AS multiple FROM {_ONCE} GROUP BY 1")
@@ -430,16 +454,21 @@ def _replay(spark: SparkSession, d: str, plan: Callable[[DataFrame], DataFrame],
 
     from skein.session import shared_folder
 
-    where, name = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", f"replay_{uuid.uuid4().hex}"
+    where = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     # A stream reads folders; a table that is one file is found in its own folder by its name.
     path = f"{d}/watch_events.parquet"
     schema = spark.read.parquet(path).schema
     single = not any(f.endswith(".parquet") and "/watch_events.parquet/" in f for f in spark.read.parquet(path).inputFiles())
     source = spark.readStream.schema(schema)
     events = source.option("pathGlobFilter", "watch_events.parquet").parquet(d) if single else source.parquet(path)
-    q = plan(events.withColumn("ts", F.col("ts").cast("timestamp"))).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", where).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    out = f"{where}/result"
+
+    def keep(df: DataFrame, _: int) -> None:
+        df.write.mode("overwrite").parquet(out)
+
+    stream = plan(events.withColumn("ts", F.col("ts").cast("timestamp")))
+    stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{where}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 @query("stream_counts", SQL["watch_counts"])
@@ -455,7 +484,7 @@ def stream_latest(spark: SparkSession, d: str) -> DataFrame:
 def _symbols_of(language: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         rows = table(spark, d, "parse_results").where((F.col("language") == language) & F.col("source").isNotNull()).dropDuplicates(["path", "source"])
-        return with_symbols(rows).select("path", "exports", "imports", "classes", "functions", "types")
+        return with_symbols(spread(rows, "path", "source")).select("path", "exports", "imports", "classes", "functions", "types")
 
     return run
 
@@ -476,15 +505,9 @@ def score_range(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).agg(F.round(F.min("final"), 6).alias("least"), F.round(F.max("final"), 6).alias("greatest"), F.count(F.lit(1)).alias("n"))
 
 
-_VECTORS = "(SELECT file_path, vector FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY created_at DESC NULLS LAST, model DESC NULLS LAST) AS r FROM file_embeddings) WHERE r = 1 AND vector IS NOT NULL AND len(vector) = dimensions AND model = 'ctx-embed-base')"
-
-
-@query("knn_files", f"SELECT file_path, round(score, 6) AS score FROM (SELECT file_path, CASE WHEN list_sum(list_transform(vector, lambda x: x * x)) = 0 THEN 0 ELSE list_cosine_similarity(vector::DOUBLE[], q) END AS score FROM {_VECTORS}, (SELECT vector::DOUBLE[] AS q FROM {_VECTORS} WHERE file_path = (SELECT min(file_path) FROM {_VECTORS} WHERE list_sum(list_transform(vector, lambda x: x * x)) > 0))) WHERE score >= 0.3 ORDER BY score DESC, file_path LIMIT 20")
+@query("knn_files", f"SELECT file_path, model, round(score, 6) AS score FROM {_knn_sql(0.3, 20)}")
 def knn_files(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "file_embeddings").groupBy("file_path").agg(F.max_by(F.struct("model", "dimensions", "vector"), F.struct("created_at", "model")).alias("r")).select("file_path", "r.*")
-    v = v.where("vector is not null and size(vector) = dimensions and model = 'ctx-embed-base'")
-    q = v.where(F.exists("vector", lambda x: x != 0)).orderBy("file_path").first()["vector"]
-    return relevance.most_similar(v, q, threshold=0.3, k=20).withColumn("score", F.round("score", 6))
+    return _knn(spark, d, 0.3, 20).select("file_path", "model", F.round("score", 6).alias("score"))
 
 
 for _language in ("typescript", "javascript", "python", "go", "rust", "java"):

@@ -26,9 +26,10 @@ EMBEDDINGS = _struct(file_path=S, vector=T.ArrayType(T.FloatType()), dimensions=
 SESSIONS = _struct(session_id=S, started_at=TS)
 TASK_RECORDS = _struct(task_id=S, session_id=S, instruction=S, raw_tokens=L, optimized_tokens=L, saved_tokens=L, reduction_percent=I, completed_at=TS)
 WATCH_EVENTS = _struct(type=S, path=S, ts=TS, duration_ms=L, embedding_updated=B, error=S)
+WATCH_STATE = _struct(path=S, type=S, ts=TS)
 TABLES = {
     "indexed_files": (INDEXED_FILES, ["path"]), "symbol_maps": (SYMBOL_MAPS, ["file_path"]), "graph_edges": (GRAPH_EDGES, ["from_path", "to_path"]),
-    "embeddings": (EMBEDDINGS, ["file_path"]), "sessions": (SESSIONS, ["session_id"]), "task_records": (TASK_RECORDS, ["task_id"]),
+    "embeddings": (EMBEDDINGS, ["file_path"]), "sessions": (SESSIONS, ["session_id"]), "task_records": (TASK_RECORDS, ["task_id"]), "watch_state": (WATCH_STATE, ["path"]),
 }
 SCHEMA_VERSION = 2
 STATES = ("CHANGED", "TOUCHED", "ANCESTOR", "UNRELATED")

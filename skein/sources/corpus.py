@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.functions.text import GIT_EXTENSIONS, WALK_EXTENSIONS
+from skein.functions.text import GIT_EXTENSIONS, WALK_EXTENSIONS, has_extension
 from skein.sources import ignore
 
 
@@ -34,8 +34,8 @@ def walk(root: str | Path, patterns: Iterable[str] = (), extensions: Iterable[st
     return sorted(out)
 
 
-def read_corpus(spark: SparkSession, root: str | Path, patterns: Iterable[str] = (), extensions: Iterable[str] = WALK_EXTENSIONS) -> DataFrame:
-    """(path, content, length, modification_time) of a folder that the executors can read."""
+def read_corpus(spark: SparkSession, root: str | Path, patterns: Iterable[str] = (), extensions: Iterable[str] = WALK_EXTENSIONS, names: DataFrame | None = None) -> DataFrame:
+    """(path, content, length, modification_time) of a folder that the executors can read; only of names(path), if given."""
     root = str(root)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -50,8 +50,11 @@ def read_corpus(spark: SparkSession, root: str | Path, patterns: Iterable[str] =
                 rows.append((p, data, len(data), datetime.fromtimestamp(stat.st_mtime, timezone.utc)))
             yield pd.DataFrame(rows, columns=["path", "content", "length", "modification_time"])
 
-    names = spark.createDataFrame([(p,) for p in walk(root, patterns, extensions)], "path string")
-    return names.repartition(max(1, min(names.sparkSession.sparkContext.defaultParallelism, 64))).mapInPandas(run, "path string, content binary, length long, modification_time timestamp")
+    if names is None:
+        names = spark.createDataFrame([(p,) for p in walk(root, patterns, extensions)], "path string")
+    else:
+        names = names.select("path").distinct().where(has_extension(F.col("path"), tuple(extensions)) & ~ignore.ignored(F.col("path"), patterns))
+    return names.repartition(4 * spark.sparkContext.defaultParallelism, "path").mapInPandas(run, "path string, content binary, length long, modification_time timestamp")
 
 
 def hashed(corpus: DataFrame, content: str = "content") -> DataFrame:
@@ -59,6 +62,10 @@ def hashed(corpus: DataFrame, content: str = "content") -> DataFrame:
     return corpus.withColumn("hash", F.sha2(F.col(content).cast("binary"), 256))
 
 
+# Folders whose files never count as changed.
+NO_CHANGES = ("packages/", ".skein/", ".claude/")
+
+
 def git_changes(spark: SparkSession, root: str | Path, patterns: Iterable[str] = ()) -> tuple[DataFrame, bool]:
     """(changed paths, is a repository): changed against HEAD, untracked and newly staged files, each once.
 
@@ -72,14 +79,15 @@ def git_changes(spark: SparkSession, root: str | Path, patterns: Iterable[str] =
     names: list[str] = []
     if inside:
         try:
-            names = (run("diff", "--name-only", "HEAD") + run("ls-files", "--others", "--exclude-standard") + run("diff", "--cached", "--name-only", "--diff-filter=A")).splitlines()
+            # Names end with a zero, so none is quoted, and are relative to the folder.
+            names = (run("diff", "--name-only", "-z", "--relative", "HEAD") + run("ls-files", "-z", "--others", "--exclude-standard") + run("diff", "--cached", "--name-only", "-z", "--relative", "--diff-filter=A")).split("\0")
         except subprocess.CalledProcessError:
             try:
-                names = run("ls-files", "--cached", "--others", "--exclude-standard").splitlines()
+                names = run("ls-files", "-z", "--cached", "--others", "--exclude-standard").split("\0")
             except subprocess.CalledProcessError:
                 names = []
     match = re.compile(ignore.combined(patterns))
-    kept = dict.fromkeys(n for n in names if os.path.splitext(n)[1].lower() in GIT_EXTENSIONS and not match.match(n))
+    kept = dict.fromkeys(n for n in names if os.path.splitext(n)[1].lower() in GIT_EXTENSIONS and not n.startswith(NO_CHANGES) and not match.match(n))
     return spark.createDataFrame([(n,) for n in kept], "path string"), inside
 
 

@@ -43,6 +43,15 @@ def parse(text: str) -> list[str]:
     return [x for line in text.splitlines() if (x := line.strip()) and not x.startswith("#")]
 
 
+def write_template(root: str | Path, name: str = ".skeinignore") -> bool:
+    """An ignore file with the usual patterns, if the folder has none; whether it was written."""
+    f = Path(root, name)
+    if f.exists():
+        return False
+    f.write_text("# Files that the index leaves out, one pattern a line.\n" + "".join(f"{p}\n" for p in (*DEFAULTS, "*.generated.ts", "*.generated.js", ".skein/")))
+    return True
+
+
 def load(root: str | Path, names: Iterable[str] = (".gitignore", ".skeinignore")) -> list[str]:
     """Defaults and the patterns of the ignore files of a folder; each once, in order."""
     out = list(DEFAULTS)

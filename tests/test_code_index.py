@@ -132,6 +132,60 @@ def test_first_fit_passes_over(frame):
     assert budget.first_fit(items, -5).count() == 0
 
 
+def test_first_fit_in_groups_equals_one_after_the_other(frame):
+    rnd = random.Random(8)
+    rows = [(g, f"p{i:03}", i, rnd.choice([0, 1, 1, 2, 3, 7, 7, 30, 200, None])) for g in (1, 2) for i in range(150)]
+    want = set()
+    for g, room in ((1, 60), (2, 17)):
+        left = room
+        for _, p, _, c in [r for r in rows if r[0] == g]:
+            if c is not None and c <= left:
+                left -= c
+                want.add((g, p))
+    items = frame(rows, "g int, path string, rank int, cost int").withColumn("room", F.when(F.col("g") == 1, 60).otherwise(17))
+    assert {(r.g, r.path) for r in budget.first_fit(items, F.col("room"), group=["g"]).collect()} == want
+
+
+def test_ranks_over_ranges(frame):
+    rnd = random.Random(2)
+    rows = [("ab"[rnd.randrange(2)], rnd.randrange(5), f"p{i}") for i in range(300)]
+    got = {r.path: r.rank for r in relevance.ranked(frame(rows, "bucket string, final int, path string"), "bucket", [F.col("final").desc(), F.col("path")]).collect()}
+    for b in "ab":
+        assert [got[p] for _, _, p in sorted((r for r in rows if r[0] == b), key=lambda r: (-r[1], r[2]))] == list(range(1, sum(r[0] == b for r in rows) + 1))
+
+
+def test_the_skeleton_counts_in_the_cascade(frame):
+    files = frame([("c", "changed", 1, 100, 9, 9), ("t", "touched", 1, 500, 80, 10), ("a", "ancestor", 1, 500, 70, 20)], "path string, bucket string, rank int, full int, symbols int, summary int")
+    for limit, levels, left_out in [(300, ["symbols", "summary"], False), (230, ["summary", "summary"], False), (200, ["summary", "excluded"], False), (150, ["summary", "excluded"], True), (105, ["excluded", "excluded"], True)]:
+        for skeleton in (90, frame([(90,)], "n int")):
+            got = {r.path: (r.level, r.no_skeleton) for r in budget.cascade(files, frame([(limit,)], "budget int"), 0, skeleton).collect()}
+            assert [got["t"][0], got["a"][0]] == levels and {x[1] for x in got.values()} == {left_out}, limit
+
+
+def test_notices_and_tokens(spark, tmp_path):
+    from skein.functions.tokens import bpe_tokens
+
+    assert budget.escalation_notice(2000, 2000, 3) == "" and "4,000" in budget.escalation_notice(2000, 4000, 5)
+    assert ignore.write_template(tmp_path) and not ignore.write_template(tmp_path) and "dist/" in ignore.load(tmp_path)
+    df = spark.createDataFrame([("Hello world, hello",), ("",), (None,), ("<|endoftext|>",)], "t string")
+    pytest.importorskip("tiktoken")
+    got = [r.n for r in df.select(bpe_tokens()(F.col("t")).alias("n")).collect()]
+    assert got[0] == 4 and got[1:3] == [0, 0] and got[3] > 1
+    assert [r.n for r in df.select(bpe_tokens("/none")(F.col("t")).alias("n")).collect()][:3] == [5, 0, 0]
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace as N
+
+    from skein.session import shared_folder
+
+    spark = lambda master, folder: N(sparkContext=N(master=master, applicationId="x", getConf=lambda: N(get=lambda _: folder)))
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_folder(spark(master, None))
+    assert shared_folder(spark("local[4]", None)).endswith("/skein-x") and shared_folder(spark("yarn", "hdfs:///c/")) == "hdfs:///c/skein-x"
+
+
 @pytest.mark.parametrize("limit, levels", [(1000, "symbols symbols summary"), (259, "summary summary summary"), (150, "summary summary summary"), (149, "summary summary excluded"), (129, "summary excluded excluded"), (99, "excluded excluded excluded")])
 def test_cascade_at_the_limits(frame, limit, levels):
     files = frame([("c", "changed", 1, 100, 9, 9), ("t1", "touched", 1, 500, 80, 10), ("t2", "touched", 2, 500, 60, 20), ("a", "ancestor", 1, 500, 70, 20)], "path string, bucket string, rank int, full int, symbols int, summary int")
@@ -183,7 +237,54 @@ def test_engine_end_to_end(spark, tmp_path):
     x = e.run_task("change b", 500, record="s1")
     assert {r.path: r.level for r in x.manifest.collect()} == {"b.ts": "full", "a.ts": "symbols"} and "TASK: change b" in x.text
     assert e.stats()["totals"].first().files == 3 and "1 tasks" in e.report("2000-01-01")
+    assert x.notice == "" and {r.reason for r in x.manifest.collect()} >= {"directly changed"}
+    assert e.importers("b.ts") == "imports 0, imported by 1\n  a.ts"
+    edge = e.store.read("graph_edges").first().recorded_at
     (root / "c.py").unlink()
     assert dict(e.repair()) == {"delete": 1, "keep": 1, "reindex": 1}
     assert {r.path for r in e.store.read("indexed_files").collect()} == {"a.ts", "b.ts"}
     assert e.dependency_tree("a.ts") == "a.ts\n  b.ts" and e.graph_svg("a.ts").count("<rect") == 2
+    assert e.store.read("graph_edges").first().recorded_at == edge  # an edge of a file that was not indexed again keeps its time
+
+
+def test_events_are_followed_across_batches(spark, tmp_path):
+    """A late older event changes nothing; a changed file gets its rows, symbols and edges; a removed one goes."""
+    from datetime import datetime as D
+
+    from skein.engine import Engine
+
+    root, feed = tmp_path / "repo", tmp_path / "feed"
+    root.mkdir()
+    for name in "abc":
+        (root / f"{name}.ts").write_text(f"export const {name} = 1;\n")
+    e = Engine(spark, str(root))
+    e.build_index()
+    schema = "type string, path string, ts timestamp"
+
+    def follow(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(feed))
+        e.start_stream(spark.readStream.schema(schema).parquet(str(feed)), str(tmp_path / "log")).awaitTermination()
+
+    (root / "a.ts").write_text("import { b } from './b';\nexport function a() { return b; }\n")
+    follow(("updated", "a.ts", D(2025, 1, 5)), ("removed", "c.ts", D(2025, 1, 5)), ("added", "c.ts", D(2025, 1, 4)))
+    assert {r.path for r in e.store.read("indexed_files").collect()} == {"a.ts", "b.ts"}
+    assert [(r.from_path, r.to_path) for r in e.store.read("graph_edges").collect()] == [("a.ts", "b.ts")]
+    follow(("removed", "a.ts", D(2025, 1, 3)), ("added", "c.ts", D(2025, 1, 6)))
+    assert {r.path for r in e.store.read("indexed_files").collect()} == {"a.ts", "b.ts", "c.ts"}
+    assert {r.path: r.ts.day for r in e.store.read("watch_state").collect()} == {"a.ts": 5, "c.ts": 6}
+
+
+def test_git_changes_are_named_as_they_are(spark, tmp_path):
+    import subprocess
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=x", "-c", "user.email=x@x", *a], check=True, capture_output=True)
+    git("init", "-q")
+    (tmp_path / "sub" / "packages").mkdir(parents=True)
+    for name in ("sub/größe.ts", "sub/b.ts", "top.ts", "sub/packages/p.ts"):
+        (tmp_path / name).write_text("1")
+    git("add", "-A")
+    git("commit", "-qm", "x")
+    for name in ("sub/größe.ts", "top.ts", "sub/packages/p.ts", "sub/new.py"):
+        (tmp_path / name).write_text("2")
+    df, is_repository = corpus.git_changes(spark, tmp_path / "sub")
+    assert is_repository and {r.path for r in df.collect()} == {"größe.ts", "new.py"}
