@@ -510,5 +510,38 @@ def knn_files(spark: SparkSession, d: str) -> DataFrame:
     return _knn(spark, d, 0.3, 20).select("file_path", "model", F.round("score", 6).alias("score"))
 
 
+# Declarations that begin their line, by language; what a regular expression can tell of the symbols.
+_TS = ("typescript", "javascript")
+_DECLARED = (
+    ("function", ("python",), r"(?m)^[ \t]*(?:async[ \t]+)?def[ \t]+(\w+)"), ("function", ("go",), r"(?m)^func[ \t]+(?:\([^)\n]*\)[ \t]*)?(\w+)"),
+    ("function", ("rust",), r"(?m)^[ \t]*(?:pub(?:\([^)\n]*\))?[ \t]+)?(?:(?:async|const|unsafe)[ \t]+)*fn[ \t]+(\w+)"),
+    ("class", ("python",), r"(?m)^[ \t]*class[ \t]+(\w+)"), ("class", ("java",), r"(?m)^[ \t]*(?:(?:public|abstract|final|static)[ \t]+)*class[ \t]+(\w+)"), ("class", _TS, r"(?m)^[^\n'\"/*]*?\bclass[ \t]+(\w+)"),
+    ("import", _TS, r"""(?m)^import\b[^;'"]*?['"]([^'"\n]+)['"]"""), ("import", ("java",), r"(?m)^import[ \t]+(?:static[ \t]+)?([\w.*]+)[ \t]*;"), ("import", ("rust",), r"(?m)^[ \t]*(?:pub[ \t]+)?use[ \t]+([^;\n]+);"),
+    ("type", ("typescript",), r"(?m)^[ \t]*(?:export[ \t]+)?(?:declare[ \t]+)?(?:interface|type|enum|const enum)[ \t]+(\w+)[^\n]*[={]"), ("type", ("go",), r"(?m)^type[ \t]+(\w+)[ \t]+"),
+    ("type", ("rust",), r"(?m)^[ \t]*(?:pub(?:\([^)\n]*\))?[ \t]+)?(?:struct|enum|trait)[ \t]+(\w+)"),
+)
+
+
+def _declared_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    text_ = "replace(replace(source, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    one = [
+        f"SELECT path, language, '{kind}' AS kind, unnest(regexp_extract_all({text_}, {quoted(pattern)}, 1)) AS name FROM parse_results WHERE source IS NOT NULL AND language IN ({', '.join(map(quoted, languages))})"
+        for kind, languages, pattern in _DECLARED
+    ]
+    return f"SELECT DISTINCT * FROM ({' UNION ALL '.join(one)})"
+
+
+@query("symbols_declared", _declared_sql())
+def symbols_declared(spark: SparkSession, d: str) -> DataFrame:
+    """(path, language, kind, name) of functions, classes, types and imports that begin a line."""
+    rows = table(spark, d, "parse_results", ["path", "language", "source"]).where("source is not null").dropDuplicates(["path", "source"])
+    s = with_symbols(spread(rows, "path", "source"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("names")) for k, c in (("function", "functions.name"), ("class", "classes.name"), ("import", "imports.source"), ("type", "types.name"))])
+    found = s.select("path", "language", F.explode(kinds).alias("x")).select("path", "language", "x.kind", F.explode("x.names").alias("name"))
+    told = " or ".join(f"kind = '{k}' and language in {languages!r}".replace(",)", ")") for k, languages, _ in _DECLARED)
+    return found.where(told).distinct()
+
+
 for _language in ("typescript", "javascript", "python", "go", "rust", "java"):
     QUERIES[f"symbols_{_language}"] = _symbols_of(_language)
