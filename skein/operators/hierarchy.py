@@ -3,19 +3,25 @@
 The links form a directed graph: nodes may have several parents and lie on cycles. The steps:
 
 1. `links`: distinct links with dense node ids; a node's primary parent is one of its parents, which gives a functional
-   graph; `cut_cycles` finds its cycles by pointer doubling and cuts each once, leaving a forest.
-2. `forest`: depth, root and subtree size of every node, by pointer doubling (rounds: log of the depth).
-3. `chains`: every node's heavy child is the one with the largest subtree; heavy links join nodes to vertex-disjoint
-   chains, labelled (chain, pos). A path in the forest crosses at most log2(n) light links, so its names are few chain
-   segments, concatenated; pre-order numbers make the descendants of a node one interval (`intervals`).
-4. `circular`: the strongly connected components. Labels run along a whole chain segment in one window step and over the
+   graph; `forest` gives depth, root and subtree size of every node by pointer doubling (rounds: log of the depth). Nodes
+   that never reach a root lead to a cycle: each cycle is cut once, and only they are gone through again.
+2. `chains`: every node's heavy child is the one with the largest subtree; heavy links join nodes to vertex-disjoint
+   chains, labelled (chain, pos), of at most SEGMENT nodes, so that no window holds more. A path in the forest crosses at
+   most log2(n) light links (and one for each SEGMENT nodes of its length), so its names are few chain segments,
+   concatenated; pre-order numbers make the descendants of a node one interval (`intervals`).
+3. `circular`: the strongly connected components. Labels run along a whole chain segment in one window step and over the
    light links in one join, so the rounds follow the number of light links on a path, not its length.
-5. `reachable`: the fewest links from each root to each node over *all* links. The state is a set of chain entries
-   (root, chain, pos, depth), of which each stands for all later nodes of its chain; only light links are joined.
-6. `tree`: the forest of shortest paths from the nearest roots. `below` walks its chain entries from *every* node, so
+4. `reachable`: the fewest links from each root to each node over *all* links. The state is a set of chain entries
+   (root, chain, pos, depth), of which each stands for all later nodes of its chain; only light links are joined, and a
+   round writes only the entries that are new.
+5. `tree`: the forest of shortest paths from the nearest roots. `below` walks its chain entries from *every* node, so
    descendants over all links come out as intervals of pre-order numbers; `descendants` spells them out as pairs.
 
-Each round cuts its lineage in the shared checkpoint folder. Nothing is gathered in the driver but counts.
+Each round cuts its lineage in the shared checkpoint folder. Nothing is gathered in the driver but counts. Joins on nodes
+that very many links share are salted (`skew.Salt`, whose hot keys are found once); in the joins of pointer doubling, the
+side that may be skewed is the one that Spark splits by itself. Two remainders are finished by one task in memory once they
+are counted to be small (IN_MEMORY): the nodes that lead to cycles, and what is left after nodes that evidently lie on no
+cycle are gone. The results are the same as those of the rounds that go on otherwise; tests run both.
 
 Defined cases: links with a null end are ignored; repeated links count once; a link to itself makes its file circular and
 else counts for nothing; an empty table gives no rows; other columns are ignored.
@@ -23,15 +29,27 @@ else counts for nothing; an empty table gives no rows; other columns are ignored
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.operators.skew import salted_join
+from skein.operators.skew import Salt, salted_join
 from skein.session import cut, cut_with
 
+#: The most nodes of a chain.
+SEGMENT = 4096
+#: Labels that are coloured at a time: each breaks up what is left independently of the others.
+COLOURS = 4
+#: A remainder of at most so many rows (of two numbers each) is finished by one task.
+IN_MEMORY = 1_000_000
+#: Rounds of taking away what lies on no cycle before nodes are coloured; more of them follow in the next pass.
+TRIMS = 2
+
 
 def _cut_open(df: DataFrame, condition: str) -> tuple[DataFrame, int]:
     """The table, written, and how many of its rows satisfy the condition."""
@@ -69,59 +87,133 @@ def primary_parents(g: Links) -> DataFrame:
     return g.nodes.select("id").join(best, "id", "left")
 
 
-def cut_cycles(parents: DataFrame) -> DataFrame:
-    """(id, parent) without cycles: of each cycle the link into its least id is cut.
+def forest(parents: DataFrame) -> DataFrame:
+    """(id, parent, depth, root, size) of a table (id, parent), in which of each cycle the link into its least id is cut.
 
-    After k rounds `anc` is the 2^k-th ancestor and `low` the least id on the way. Nodes whose ancestor stays within the
-    unresolved nodes lead into a cycle; the nodes on the cycles are the image of `anc` as soon as taking the parent maps
-    it onto itself, and `low` is their cycle's least id as soon as it equals that of the parent.
+    After k rounds `anc` is the 2^k-th ancestor, `low` the least id on the way, and depth, root and size count up to there.
+    Nodes whose ancestor stays open lead into a cycle; the nodes on the cycles are the image of `anc` as soon as taking the
+    parent maps it onto itself, and `low` is their cycle's least id as soon as it equals that of the parent.
     """
-    parents = cut(parents)
-    s = cut(parents.where("parent is not null").select("id", "parent", F.col("parent").alias("anc"), F.least("id", "parent").alias("low")))
-    before = -1
-    while True:
-        a = s.select(F.col("id").alias("anc"), F.col("anc").alias("anc2"), F.col("low").alias("low2"))
-        s, left = _cut_open(s.join(a, "anc").select("id", "parent", F.col("anc2").alias("anc"), F.least("low", "low2").alias("low")), "true")
-        if not left:
-            return parents
-        if left == before:
-            ring = cut(s.select(F.col("anc").alias("id")).distinct().join(s, "id").select("id", "parent", "low"))
-            up = ring.select(F.col("id").alias("parent"), F.col("low").alias("low2"))
-            on = ring.join(up, "parent", "left").agg(
-                F.count(F.lit(1)).alias("n"), F.countDistinct("parent").alias("up"), F.sum(F.when(F.col("low") == F.col("low2"), 0).otherwise(1)).alias("odd")
-            ).first()
-            if on.n == on.up and not on.odd:
-                least = ring.where("id = low").select("id", F.lit(True).alias("is_cut"))
-                return cut(parents.join(least, "id", "left").select("id", F.when(F.col("is_cut").isNull(), F.col("parent")).alias("parent")))
-        before = left
-
-
-def forest(parents: DataFrame) -> DataFrame:
-    """(id, parent, depth, root, size) of an acyclic parent table, by pointer doubling."""
     s, left = _cut_open(
         parents.select(
-            "id", "parent", F.col("parent").alias("anc"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"),
+            "id", "parent", F.col("parent").alias("anc"), F.least("id", "parent").alias("low"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"),
             F.coalesce("parent", "id").alias("root"), F.lit(1).cast("long").alias("size"),
         ),
         "anc is not null",
     )
+    before = -1
     while left:
-        a = s.select(F.col("id").alias("anc"), F.col("anc").alias("anc2"), F.col("depth").alias("d2"), F.col("root").alias("r2"))
+        if left == before:
+            open_ = s.where("anc is not null")
+            again = open_ if left <= IN_MEMORY else _without_cycles(open_)
+            if again is not None:
+                rest = _one_task(again.select("id", "parent"), _forest_of, "id long, parent long, depth long, root long, size long") if left <= IN_MEMORY else forest(again)
+                return cut(s.where("anc is null").select("id", "parent", "depth", "root", "size").unionByName(rest))
+        before = left
+        a = s.select(F.col("id").alias("anc"), F.col("anc").alias("anc2"), F.col("low").alias("low2"), F.col("depth").alias("d2"), F.col("root").alias("r2"))
         more = s.where("anc is not null").groupBy(F.col("anc").alias("id")).agg(F.sum("size").alias("more"))
         s, left = _cut_open(
             s.join(a, "anc", "left").join(more, "id", "left").select(
-                "id", "parent", F.col("anc2").alias("anc"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"),
+                "id", "parent", F.col("anc2").alias("anc"), F.least("low", "low2").alias("low"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"),
                 F.coalesce("r2", "root").alias("root"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"),
             ),
             "anc is not null",
         )
-    return s.drop("anc")
+    return s.select("id", "parent", "depth", "root", "size")
+
+
+def _without_cycles(s: DataFrame) -> DataFrame | None:
+    """(id, parent) of nodes that lead to cycles, once these are known, with each cycle cut; else None."""
+    ring = cut(s.select(F.col("anc").alias("id")).distinct().join(s, "id").select("id", "parent", "low"))
+    up = ring.select(F.col("id").alias("parent"), F.col("low").alias("low2"))
+    on = ring.join(up, "parent", "left").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("parent").alias("up"), F.sum(F.when(F.col("low") == F.col("low2"), 0).otherwise(1)).alias("odd")
+    ).first()
+    if on.n != on.up or on.odd:
+        return None
+    least = ring.where("id = low").select("id", F.lit(True).alias("is_cut"))
+    return s.select("id", "parent").join(least, "id", "left").select("id", F.when(F.col("is_cut").isNull(), F.col("parent")).alias("parent"))
+
+
+def _one_task(rows: DataFrame, finish: Callable[..., dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """finish(the columns as arrays) -> columns, of all rows together; for numbers of rows that are known to be small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        if t is not None and t.num_rows:
+            yield from pa.table(finish(*[c.to_numpy() for c in t.columns])).to_batches()
+
+    return rows.coalesce(1).mapInArrow(run, schema)
+
+
+def _forest_of(ids: np.ndarray, parents: np.ndarray) -> dict[str, np.ndarray]:
+    """`forest` of nodes that all lead to cycles."""
+    order = np.argsort(ids)
+    ids, up = ids[order], np.searchsorted(ids[order], parents[order])
+    state = np.zeros(len(ids), dtype=np.int8)
+    for i in range(len(ids)):  # walk up until something known; what is met again on the same walk is a cycle
+        path = []
+        while not state[i]:
+            state[i] = 1
+            path.append(i)
+            i = up[i]
+        if state[i] == 1:
+            ring = path[path.index(i) :]
+            up[min(ring)] = -1
+        state[path] = 2
+    depth, root, size = np.zeros(len(ids), np.int64), np.arange(len(ids)), np.ones(len(ids), np.int64)
+    kids, level = np.argsort(up, kind="stable"), np.flatnonzero(up < 0)
+    start, levels = np.searchsorted(up[kids], np.arange(len(ids) + 1)), []
+    while len(level):
+        levels.append(level)
+        level = np.concatenate([kids[start[i] : start[i + 1]] for i in level])
+        depth[level], root[level] = depth[up[level]] + 1, root[up[level]]
+    for level in levels[:0:-1]:
+        np.add.at(size, up[level], size[level])
+    return {"id": ids, "parent": pa.array(ids[up], mask=up < 0), "depth": depth, "root": ids[root], "size": size}
+
+
+def _components_of(u: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
+    """(id, component) of the nodes that share a component with others, by depth-first search over the links."""
+    ids, where = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = where[: len(u)], where[len(u) :]
+    by = np.argsort(a, kind="stable")
+    to, start = b[by].tolist(), np.searchsorted(a[by], np.arange(len(ids) + 1)).tolist()
+    seen, low, component, count = [-1] * len(ids), [0] * len(ids), [-1] * len(ids), 0
+    open_: list[int] = []
+    for first in range(len(ids)):
+        if seen[first] >= 0:
+            continue
+        todo = [(first, start[first])]
+        while todo:
+            n, i = todo.pop()
+            if i == start[n]:
+                seen[n] = low[n] = count
+                count += 1
+                open_.append(n)
+            elif component[to[i - 1]] < 0:
+                low[n] = min(low[n], low[to[i - 1]])
+            while i < start[n + 1]:
+                m = to[i]
+                i += 1
+                if seen[m] < 0:
+                    todo += [(n, i), (m, start[m])]
+                    break
+                if component[m] < 0:
+                    low[n] = min(low[n], seen[m])
+            else:
+                if low[n] == seen[n]:
+                    while component[n] < 0:
+                        component[open_.pop()] = n
+    component = np.array(component)
+    many = np.bincount(component, minlength=len(ids))[component] > 1
+    return {"id": ids[many], "component": ids[component[many]]}
 
 
 def chains(trees: DataFrame) -> DataFrame:
     """The forest with (chain, pos, heavy): chain is its head's id; pos counts from 0 at the head."""
-    top = trees.where("parent is not null").groupBy("parent").agg(F.max(F.struct("size", "id")).alias("t")).select(F.col("t.id").alias("id"), F.lit(True).alias("heavy"))
-    t = cut(trees.join(top, "id", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False))))
+    top = trees.where("parent is not null").groupBy("parent").agg(F.max(F.struct("size", "id")).alias("t")).select(F.col("t.id").alias("id"), F.lit(True).alias("top"))
+    t = cut(trees.join(top, "id", "left").withColumn("heavy", F.col("top").isNotNull() & (F.col("depth") % SEGMENT != 0)).drop("top"))
     s = t.select("id", F.when(F.col("heavy"), F.col("parent")).alias("anc"), F.when(F.col("heavy"), F.col("parent")).otherwise(F.col("id")).alias("chain"))
     left = 1
     while left:
@@ -133,7 +225,7 @@ def chains(trees: DataFrame) -> DataFrame:
 
 def decompose(g: Links) -> DataFrame:
     """(chain, id, parent, depth, root, size, heavy, pos) of every node."""
-    return chains(forest(cut_cycles(primary_parents(g))))
+    return chains(forest(primary_parents(g)))
 
 
 def light_links(g: Links, t: DataFrame) -> DataFrame:
@@ -147,122 +239,164 @@ def _runs(alive: DataFrame) -> DataFrame:
     return alive.withColumn("seg", F.col("pos") - F.row_number().over(Window.partitionBy("chain").orderBy("pos")))
 
 
-def _trim(alive: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Without the nodes that no cycle leads to or that lead to no cycle; the links left between the others; their number."""
-    before = -1
-    while True:
+class _Ends:
+    """Links joined with tables of their ends; ends that very many links share are salted."""
+
+    def __init__(self, e: DataFrame):
+        self.u, self.v = Salt(e, "u", [F.col("v")], keep=cut), Salt(e, "v", [F.col("u")], keep=cut)
+
+    def with_u(self, e: DataFrame, nodes: DataFrame, how: str = "inner") -> DataFrame:
+        return self.u.join(e, nodes.withColumnRenamed("id", "u"), how)
+
+    def with_v(self, e: DataFrame, nodes: DataFrame, how: str = "inner") -> DataFrame:
+        return self.v.join(e, nodes.withColumnRenamed("id", "v"), how)
+
+
+def _trim(alive: DataFrame, e: DataFrame, ends: _Ends) -> tuple[DataFrame, DataFrame, int, int]:
+    """Without nodes that no cycle leads to or that lead to no cycle, as far as TRIMS rounds see; the links left between
+    the others; the numbers of both."""
+    before = count = -1
+    for _ in range(TRIMS):
         ids = alive.select("id")
-        e = cut(e.join(ids.withColumnRenamed("id", "u"), "u", "left_semi").join(ids.withColumnRenamed("id", "v"), "v", "left_semi"))
+        e, n_links = _cut_open(ends.with_v(ends.with_u(e, ids, "left_semi"), ids, "left_semi"), "true")
         pins = e.select(F.col("v").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")).union(e.select(F.col("u").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")))
         n = _runs(alive.select("id", "chain", "pos").join(pins.groupBy("id").agg(F.max("i").alias("i"), F.max("o").alias("o")), "id", "left"))
         w = Window.partitionBy("chain", "seg").orderBy("pos")
         n = n.withColumn("i", F.max("i").over(w)).withColumn("o", F.max("o").over(w.rowsBetween(0, Window.unboundedFollowing)))
         alive, count = _cut_open(n.where("i = 1 and o = 1").select("id", "chain", "pos"), "true")
         if count in (0, before):
-            return alive, e, count
+            break
         before = count
+    return alive, e, count, n_links
 
 
-def _colour(alive: DataFrame, e: DataFrame) -> DataFrame:
-    """(id, chain, pos, seg, f, b): the greatest id that leads to a node, and the greatest that it leads to."""
-    s = _runs(alive).select("id", "chain", "pos", "seg", F.col("id").alias("f"), F.col("id").alias("b"))
+_F, _B = [f"f{i}" for i in range(COLOURS)], [f"b{i}" for i in range(COLOURS)]
+
+
+def _colour(alive: DataFrame, e: DataFrame, ends: _Ends) -> DataFrame:
+    """(id, chain, pos, seg, f0.., b0..): for each of COLOURS random labels of the nodes, the greatest of a node that leads
+    to this one, and the greatest of a node that this one leads to."""
+    s = _runs(alive).select("id", "chain", "pos", "seg", *[F.xxhash64("id", F.lit(i)).alias(c) for names in (_F, _B) for i, c in enumerate(names)])
     w = Window.partitionBy("chain", "seg").orderBy("pos")
+    back = w.rowsBetween(0, Window.unboundedFollowing)
+    big = lambda c: F.col(c).cast("decimal(38,0)")
     before = None
     while True:
-        s = s.withColumn("f", F.max("f").over(w)).withColumn("b", F.max("b").over(w.rowsBetween(0, Window.unboundedFollowing)))
-        s, now = cut_with(s, f=F.sum(F.col("f").cast("decimal(38,0)")), b=F.sum(F.col("b").cast("decimal(38,0)")))
+        s = s.select("id", "chain", "pos", "seg", *[F.max(c).over(w).alias(c) for c in _F], *[F.max(c).over(back).alias(c) for c in _B])
+        s, now = cut_with(s, f=F.sum(sum(map(big, _F[1:]), big(_F[0]))), b=F.sum(sum(map(big, _B[1:]), big(_B[0]))))  # labels only grow
         if now == before:
             return s
         before = now
+        none = [F.lit(None).cast("long")] * COLOURS
         told = (
-            e.join(s.select(F.col("id").alias("u"), "f"), "u").select(F.col("v").alias("id"), F.col("f").alias("f2"), F.lit(None).cast("long").alias("b2"))
-            .union(e.join(s.select(F.col("id").alias("v"), "b"), "v").select(F.col("u").alias("id"), F.lit(None).cast("long").alias("f2"), F.col("b").alias("b2")))
-            .groupBy("id").agg(F.max("f2").alias("f2"), F.max("b2").alias("b2"))
+            ends.with_u(e, s.select("id", *_F)).select(F.col("v").alias("id"), *_F, *[x.alias(c) for x, c in zip(none, _B)])
+            .union(ends.with_v(e, s.select("id", *_B)).select(F.col("u").alias("id"), *[x.alias(c) for x, c in zip(none, _F)], *_B))
+            .groupBy("id").agg(*[F.max(c).alias(f"t{c}") for c in (*_F, *_B)])
         )
-        s = s.join(told, "id", "left").select("id", "chain", "pos", "seg", F.greatest("f", "f2").alias("f"), F.greatest("b", "b2").alias("b"))
+        s = s.join(told, "id", "left").select("id", "chain", "pos", "seg", *[F.greatest(c, f"t{c}").alias(c) for c in (*_F, *_B)])
 
 
-def circular(g: Links, t: DataFrame, light: DataFrame) -> DataFrame:
-    """(id, component) of the nodes on a cycle of two or more nodes; component is an id of the cycle's component.
+def circular(t: DataFrame, light: DataFrame, ends: _Ends) -> DataFrame:
+    """(id, component) of the nodes on a cycle of two or more nodes; component is a number of the cycle's component.
 
-    Every pass drops what lies on no cycle and colours the rest in both directions: a node whose two colours are equal is
-    in the component of that node. Links between nodes of different colours lie within no component and fall away, so the
-    rest breaks up quickly.
+    Every pass drops what evidently lies on no cycle and colours the rest in both directions: a node of which two colours
+    are equal is in the component of the node that they come from. Links between nodes of different colours lie within no
+    component and fall away, so the rest breaks up quickly.
     """
     alive, e, found = t.select("id", "chain", "pos"), light, None
     # A chain's own links must fall away too once colours part, so chains are cut where colours change.
     while True:
-        alive, e, count = _trim(alive, e)
+        alive, e, count, n_links = _trim(alive, e, ends)
         if not count:
             break
-        c = _colour(alive, e)
-        same = c.where("f = b").select("id", F.col("f").alias("component"))
+        if count + n_links <= IN_MEMORY:
+            w = Window.partitionBy("chain", "seg").orderBy("pos")
+            along = _runs(alive).select(F.col("id").alias("u"), F.lead("id").over(w).alias("v")).where("v is not null")
+            last = _one_task(e.unionByName(along), _components_of, "id long, component long")
+            found = last if found is None else found.union(last)
+            break
+        c = _colour(alive, e, ends)
+        one = F.coalesce(*[F.when(F.col(f) == F.col(b), F.xxhash64(F.lit(i), f)) for i, (f, b) in enumerate(zip(_F, _B))])
+        c = cut(c.select("id", "chain", "pos", one.alias("component"), F.xxhash64(*_F, *_B).alias("colours")))
+        same = c.where("component is not null").select("id", "component")
         found = same if found is None else found.union(same)
-        rest = cut(c.where("f <> b"))
-        colours = rest.select("id", "f", "b")
-        e = (
-            e.join(colours.select(F.col("id").alias("u"), F.col("f").alias("fu"), F.col("b").alias("bu")), "u")
-            .join(colours.select(F.col("id").alias("v"), F.col("f").alias("fv"), F.col("b").alias("bv")), "v")
-            .where("fu = fv and bu = bv").select("u", "v")
-        )
+        rest = c.where("component is null")
+        colours = rest.select("id", "colours")
+        e = ends.with_v(ends.with_u(e, colours.withColumnRenamed("colours", "cu")), colours.withColumnRenamed("colours", "cv")).where("cu = cv").select("u", "v")
         e = cut(e)
-        # (chain, f, b) is the new chain: its nodes keep their positions, so a change of colour is a gap.
-        alive = rest.select("id", F.xxhash64("chain", "f", "b").alias("chain"), "pos")
+        # (chain, colours) is the new chain: its nodes keep their positions, so a change of colours is a gap.
+        alive = rest.select("id", F.xxhash64("chain", "colours").alias("chain"), "pos")
     if found is None:
         return t.where(F.lit(False)).select("id", F.col("id").alias("component"))
-    many = Window.partitionBy("component")
-    return found.withColumn("n", F.count(F.lit(1)).over(many)).where("n > 1").drop("n")
+    found = cut(found.select("id", F.col("component")))
+    many = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+    return salted_join(found, many, "component", [F.col("id")], "left_semi")
 
 
 def _undominated(entries: DataFrame) -> DataFrame:
     """Without entries that an earlier entry of the same root and chain reaches with as few links."""
-    w = Window.partitionBy("root", "chain").orderBy("pos", "depth", "fresh").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("root", "chain").orderBy("pos", "depth").rowsBetween(Window.unboundedPreceding, -1)
     lead = F.col("depth") - F.col("pos")
     return entries.withColumn("best", F.min(lead).over(w)).where(F.col("best").isNull() | (lead < F.col("best"))).drop("best")
 
 
-def _hops(t: DataFrame, light: DataFrame) -> DataFrame:
+def _hops(t: DataFrame, light: DataFrame, ends: _Ends) -> DataFrame:
     """(chain, at, to_chain, to_pos) of the light links."""
     place = t.select("id", "chain", "pos")
-    return cut(
-        light.join(place.select(F.col("id").alias("u"), "chain", F.col("pos").alias("at")), "u")
-        .join(place.select(F.col("id").alias("v"), F.col("chain").alias("to_chain"), F.col("pos").alias("to_pos")), "v")
-        .select("chain", "at", "to_chain", "to_pos")
-    )
+    from_ = place.select("id", "chain", F.col("pos").alias("at"))
+    to = place.select("id", F.col("chain").alias("to_chain"), F.col("pos").alias("to_pos"))
+    return cut(ends.with_v(ends.with_u(light, from_), to).select("chain", "at", "to_chain", "to_pos"))
+
 
+def _all(parts: list[DataFrame]) -> DataFrame:
+    """The union of the parts, of which more than a few are written as one."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    if len(parts) > 8:
+        parts[:] = [cut(out)]
+        return parts[0]
+    return out
 
-def reachable(g: Links, t: DataFrame, light: DataFrame) -> DataFrame:
+
+def reachable(g: Links, t: DataFrame, light: DataFrame, ends: _Ends) -> DataFrame:
     """(root, id, depth): for each node that is no other's child every node it reaches, with the fewest links."""
     place = t.select("id", "chain", "pos")
-    hops = _hops(t, light)
-    starts = g.edges.select(F.col("u").alias("id")).union(g.loops).distinct().join(g.edges.select(F.col("v").alias("id")), "id", "left_anti")
-    seen, left = _cut_open(
-        starts.join(place, "id").select(F.col("id").alias("root"), "chain", "pos", F.lit(0).cast("long").alias("depth"), F.lit(True).alias("fresh")), "fresh"
-    )
+    hops = _hops(t, light, ends)
+    starts = g.edges.select(F.col("u").alias("id")).union(g.loops).distinct().join(g.edges.select(F.col("v").alias("id")).distinct(), "id", "left_anti")
+    fresh, left = _cut_open(starts.join(place, "id").select(F.col("id").alias("root"), "chain", "pos", F.lit(0).cast("long").alias("depth")), "true")
+    seen = [fresh]
     while left:
         new = (
-            seen.where("fresh").join(hops, "chain").where("at >= pos")
+            fresh.join(hops, "chain").where("at >= pos")
             .select("root", F.col("to_chain").alias("chain"), F.col("to_pos").alias("pos"), (F.col("depth") + F.col("at") - F.col("pos") + 1).alias("depth"))
             .groupBy("root", "chain", "pos").agg(F.min("depth").alias("depth"))
         )
-        seen, left = _cut_open(_undominated(seen.withColumn("fresh", F.lit(False)).unionByName(new.withColumn("fresh", F.lit(True)))), "fresh")
+        n, o = _undominated(new).alias("n"), _all(seen).alias("o")
+        known = F.expr("n.root = o.root and n.chain = o.chain and o.pos <= n.pos and o.depth - o.pos <= n.depth - n.pos")
+        fresh, left = _cut_open(n.join(o, known, "left_anti"), "true")
+        seen.append(fresh)
+    # Entries of a root in one chain overlap: of those that reach a node the one with the fewest links counts.
     nodes = t.select("id", "chain", F.col("pos").alias("at"))
-    return seen.join(nodes, "chain").where("at >= pos").groupBy("root", "id").agg(F.min(F.col("depth") + F.col("at") - F.col("pos")).alias("depth"))
+    entries = cut(_all(seen))
+    return salted_join(entries, nodes, "chain", [F.col("root")], "inner").where("at >= pos").groupBy("root", "id").agg(F.min(F.col("depth") + F.col("at") - F.col("pos")).alias("depth"))
 
 
-def below(t: DataFrame, light: DataFrame) -> DataFrame:
+def below(t: DataFrame, light: DataFrame, ends: _Ends) -> DataFrame:
     """(node, chain, pos): for every node the chains that it reaches over all links, itself included, each from its
     earliest place on. How many links it takes does not matter here, so one entry per node and chain is enough."""
-    hops = _hops(t, light)
-    seen, left = _cut_open(t.select(F.col("id").alias("node"), "chain", "pos", F.lit(True).alias("fresh")), "fresh")
+    hops = _hops(t, light, ends)
+    fresh, left = _cut_open(t.select(F.col("id").alias("node"), "chain", "pos"), "true")
+    seen = [fresh]
     while left:
         new = (
-            seen.where("fresh").join(hops, "chain").where("at >= pos")
-            .groupBy("node", F.col("to_chain").alias("chain")).agg(F.min("to_pos").alias("pos")).withColumn("fresh", F.lit(True))
+            fresh.join(hops, "chain").where("at >= pos")
+            .groupBy("node", F.col("to_chain").alias("chain")).agg(F.min("to_pos").alias("pos"))
         )
-        both = seen.withColumn("fresh", F.lit(False)).unionByName(new).groupBy("node", "chain").agg(F.min(F.struct("pos", "fresh")).alias("e"))
-        seen, left = _cut_open(both.select("node", "chain", "e.pos", "e.fresh"), "fresh")
-    return seen.drop("fresh")
+        known = F.expr("n.node = o.node and n.chain = o.chain and o.pos <= n.pos")
+        fresh, left = _cut_open(new.alias("n").join(_all(seen).alias("o"), known, "left_anti"), "true")
+        seen.append(fresh)
+    return _all(seen).groupBy("node", "chain").agg(F.min("pos").alias("pos"))
 
 
 def shortest_parents(g: Links, reach: DataFrame) -> DataFrame:
@@ -316,19 +450,24 @@ def paths(t: DataFrame, nodes: DataFrame, sep: str = " > ") -> DataFrame:
     return s.select("id", "full_path")
 
 
+def _both(one: Callable[[], DataFrame], other: Callable[[], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The results of two loops of small jobs that do not wait for each other."""
+    with ThreadPoolExecutor(2) as pool:
+        a, b = pool.submit(one), pool.submit(other)
+        return a.result(), b.result()
+
+
 def hierarchy(edges: DataFrame, parent: str = "from_path", child: str = "to_path") -> DataFrame:
     """(path, root_path, depth) for every root and file that it reaches, and (path, '', -1) for every file on a cycle."""
     g = links(edges, parent, child)
     t = decompose(g)
     light = light_links(g, t)
-    with ThreadPoolExecutor(2) as both:  # two loops of small jobs that do not wait for each other
-        reaching, rings = both.submit(reachable, g, t, light), both.submit(circular, g, t, light)
-        reach, ring = reaching.result(), rings.result()
+    ends = _Ends(light)
+    reach, ring = _both(lambda: reachable(g, t, light, ends), lambda: circular(t, light, ends))
     names = g.nodes
-    out = (
-        reach.join(names, "id").join(names.select(F.col("id").alias("root"), F.col("path").alias("root_path")), "root")
-        .select("path", "root_path", F.col("depth").cast("int").alias("depth"))
-    )
+    roots = names.select(F.col("id").alias("root"), F.col("path").alias("root_path"))
+    reach = cut(reach)
+    out = salted_join(salted_join(reach, names, "id", [F.col("root")], "inner"), roots, "root", [F.col("id")], "inner").select("path", "root_path", F.col("depth").cast("int").alias("depth"))
     ring = ring.select("id").union(g.loops).distinct().join(names, "id")
     return out.unionByName(ring.select("path", F.lit("").alias("root_path"), F.lit(-1).alias("depth")))
 
@@ -359,12 +498,12 @@ def tree(edges: DataFrame, parent: str = "from_path", child: str = "to_path") ->
     and pre to `last` are the node's own subtree in the forest of the full paths."""
     g = links(edges, parent, child)
     first = decompose(g)
-    reach = cut(reachable(g, first, light_links(g, first)))
-    t = chains(forest(cut_cycles(shortest_parents(g, reach))))
+    light = light_links(g, first)
+    reach = cut(reachable(g, first, light, _Ends(light)))
+    t = chains(forest(shortest_parents(g, reach)))
     light = light_links(g, t)
-    with ThreadPoolExecutor(2) as both:
-        reaching, rings = both.submit(below, t, light), both.submit(circular, g, t, light)
-        entries, ring = reaching.result(), rings.result()
+    ends = _Ends(light)
+    entries, ring = _both(lambda: below(t, light, ends), lambda: circular(t, light, ends))
     ring = ring.union(g.loops.select("id", F.col("id").alias("component"))).groupBy("id").agg(F.max("component").alias("component"))
     root = g.nodes.select(F.col("id").alias("root"), F.col("path").alias("root_path"))
     n = cut(intervals(t).join(root, "root"))

@@ -56,6 +56,16 @@ def p4_tree(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.tree(table(spark, d, "graph_edges", ["from_path", "to_path"]))
 
 
+def p4_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The full path of every file that a root reaches."""
+    return p4_tree(spark, d).where("size(roots) > 0").select("path", "root_path", "full_path", F.col("depth").cast("int").alias("depth"), "is_circular", "n_descendants")
+
+
+def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of files and their descendants."""
+    return hierarchy.descendants(cut(p4_tree(spark, d)))
+
+
 def _days(spark: SparkSession, d: str) -> DataFrame:
     tasks = table(spark, d, "task_records", ["task_id", "session_id", "completed_at", "optimized_tokens", "saved_tokens"])
     return rolling.daily(tasks, "session_id", "task_id", "completed_at", "optimized_tokens", "saved_tokens")
@@ -74,7 +84,7 @@ def p6_daily(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "p1_found": p1_found, "p1_report": p1_report, "p1_counts": p1_counts, "p4_found": p4_found, "p4_tree": p4_tree, "p6_found": p6_found, "p6_daily": p6_daily,
+    "p1_found": p1_found, "p1_report": p1_report, "p1_counts": p1_counts, "p4_found": p4_found, "p4_tree": p4_tree, "p4_paths": p4_paths, "p4_descendants": p4_descendants, "p6_found": p6_found, "p6_daily": p6_daily,
 }
 
 _P1 = """
@@ -88,6 +98,9 @@ cases AS (
   SELECT refs.*, CASE WHEN files.path IS NULL THEN 'missing' WHEN r > b THEN 'removed' WHEN recorded_at < a THEN 'early' END AS kind
   FROM refs LEFT JOIN files ON files.path = target_path LEFT JOIN gone ON gone.path = target_path)
 """
+_P4 = """e AS (SELECT DISTINCT from_path AS u, to_path AS v FROM graph_edges WHERE from_path IS NOT NULL AND to_path IS NOT NULL),
+roots AS (SELECT DISTINCT u FROM e WHERE u NOT IN (SELECT v FROM e WHERE u <> v)),
+walk AS (SELECT u AS root, u AS node, 0 AS depth FROM roots UNION SELECT root, v, depth + 1 FROM walk JOIN e ON e.u = node WHERE depth < 400)"""
 _P6 = """
 WITH once AS (SELECT task_id, min(struct_pack(t := completed_at, s := session_id, o := coalesce(optimized_tokens, 0), v := coalesce(saved_tokens, 0))) AS r FROM task_records WHERE completed_at IS NOT NULL GROUP BY task_id),
 days AS (SELECT r.s AS session_id, CAST(r.t AS DATE) AS day, count(*) AS n, sum(r.o) AS opt, sum(r.v) AS sav FROM once GROUP BY ALL),
@@ -106,13 +119,23 @@ SQL: dict[str, str] = {
     "p1_counts": _P1 + """, rows AS (SELECT target_path, CAST(sum(n_rows) AS BIGINT) AS "references" FROM refs GROUP BY target_path),
 kept AS (SELECT i.path, count(*) AS appeared, count(*) FILTER (r IS NULL OR last_indexed IS NULL OR last_indexed >= r) AS existence FROM indexed_files i LEFT JOIN gone ON gone.path = i.path GROUP BY i.path)
 SELECT target_path, "references", coalesce(existence, 0) AS existence, coalesce(appeared, 0) AS appeared FROM rows LEFT JOIN kept ON kept.path = target_path WHERE coalesce(existence, 0) = 0""",
-    "p4_found": """
-WITH RECURSIVE e AS (SELECT DISTINCT from_path AS u, to_path AS v FROM graph_edges WHERE from_path IS NOT NULL AND to_path IS NOT NULL),
-roots AS (SELECT DISTINCT u FROM e WHERE u NOT IN (SELECT v FROM e WHERE u <> v)),
-walk AS (SELECT u AS root, u AS node, 0 AS depth FROM roots UNION SELECT root, v, depth + 1 FROM walk JOIN e ON e.u = node WHERE depth < 400),
+    "p4_found": f"""
+WITH RECURSIVE {_P4},
 trail AS (SELECT u AS a, v AS b FROM e UNION SELECT a, v FROM trail JOIN e ON e.u = b)
 SELECT node AS path, root AS root_path, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY ALL
 UNION ALL SELECT DISTINCT a, '', -1 FROM trail WHERE a = b""",
+    "p4_paths": f"""
+WITH RECURSIVE {_P4},
+trail AS (SELECT u AS a, v AS b FROM e UNION SELECT a, v FROM trail JOIN e ON e.u = b),
+below AS (SELECT a, count(*) FILTER (a <> b) AS n, count(*) FILTER (a = b) > 0 AS c FROM trail GROUP BY a),
+near AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node),
+up AS (SELECT v, min(u) AS u FROM e JOIN near a ON a.node = u JOIN near b ON b.node = v WHERE b.depth = a.depth + 1 GROUP BY v),
+named AS (SELECT node AS path, node AS root_path, node AS full_path FROM near WHERE depth = 0 UNION ALL SELECT v, root_path, full_path || ' > ' || v FROM named JOIN up ON up.u = named.path)
+SELECT path, root_path, full_path, CAST(depth AS INT) AS depth, coalesce(c, false) AS is_circular, coalesce(n, 0) AS n_descendants FROM named JOIN near ON near.node = path LEFT JOIN below ON a = path""",
+    "p4_descendants": """
+WITH RECURSIVE e AS (SELECT DISTINCT from_path AS u, to_path AS v FROM graph_edges WHERE from_path IS NOT NULL AND to_path IS NOT NULL),
+trail AS (SELECT u AS a, v AS b FROM e UNION SELECT a, v FROM trail JOIN e ON e.u = b)
+SELECT DISTINCT a AS path, b AS descendant FROM trail WHERE a <> b""",
     "p6_found": _P6 + "SELECT session_id, window_days, strftime(max_by(day, struct_pack(t := sav, d := -epoch(day))), '%Y-%m-%d') AS peak_day FROM rolled GROUP BY session_id, window_days",
     "p6_daily": _P6 + """SELECT session_id, strftime(day, '%Y-%m-%d') AS day, window_days, CAST(n_tasks AS BIGINT) AS n_tasks, CAST(active_days AS BIGINT) AS active_days, CAST(opt AS BIGINT) AS optimized_total, CAST(sav AS BIGINT) AS saved_total,
   round(CASE WHEN n_tasks > 0 THEN opt / n_tasks END, 6) AS optimized_avg, round(CASE WHEN n_tasks > 0 THEN sav / n_tasks END, 6) AS saved_avg, round(opt / window_days, 6) AS optimized_per_day, round(sav / window_days, 6) AS saved_per_day, CAST(best AS BIGINT) AS best_day_saved FROM rolled""",
