@@ -30,7 +30,6 @@ else counts for nothing; an empty table gives no rows; other columns are ignored
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -450,20 +449,13 @@ def paths(t: DataFrame, nodes: DataFrame, sep: str = " > ") -> DataFrame:
     return s.select("id", "full_path")
 
 
-def _both(one: Callable[[], DataFrame], other: Callable[[], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """The results of two loops of small jobs that do not wait for each other."""
-    with ThreadPoolExecutor(2) as pool:
-        a, b = pool.submit(one), pool.submit(other)
-        return a.result(), b.result()
-
-
 def hierarchy(edges: DataFrame, parent: str = "from_path", child: str = "to_path") -> DataFrame:
     """(path, root_path, depth) for every root and file that it reaches, and (path, '', -1) for every file on a cycle."""
     g = links(edges, parent, child)
     t = decompose(g)
     light = light_links(g, t)
     ends = _Ends(light)
-    reach, ring = _both(lambda: reachable(g, t, light, ends), lambda: circular(t, light, ends))
+    reach, ring = reachable(g, t, light, ends), circular(t, light, ends)
     names = g.nodes
     roots = names.select(F.col("id").alias("root"), F.col("path").alias("root_path"))
     reach = cut(reach)
@@ -503,7 +495,7 @@ def tree(edges: DataFrame, parent: str = "from_path", child: str = "to_path") ->
     t = chains(forest(shortest_parents(g, reach)))
     light = light_links(g, t)
     ends = _Ends(light)
-    entries, ring = _both(lambda: below(t, light, ends), lambda: circular(t, light, ends))
+    entries, ring = below(t, light, ends), circular(t, light, ends)
     ring = ring.union(g.loops.select("id", F.col("id").alias("component"))).groupBy("id").agg(F.max("component").alias("component"))
     root = g.nodes.select(F.col("id").alias("root"), F.col("path").alias("root_path"))
     n = cut(intervals(t).join(root, "root"))
