@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.skew import salted_join
+
 # The endings tried for an import without one, in order.
 SUFFIXES = (".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
 KNOWN = r"\.(ts|tsx|js|jsx)$"
@@ -25,10 +27,12 @@ def candidates(base: Column) -> Column:
 
 
 def _first_existing(tried: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
-    """tried(keys, base): the first candidate of each that is a file."""
-    spread = tried.select(*keys, F.posexplode(candidates(F.col("base"))).alias("rank", "to_path"))
-    there = spread.join(files.select(F.col("path").alias("to_path")).distinct(), "to_path", "left_semi")
-    return there.groupBy(*keys).agg(F.min_by("to_path", "rank").alias("to_path"))
+    """(keys, to_path) of tried(keys, base): the first candidate of each that is a file. What very many files import is one
+    base to look up; their rows, which share it, are dealt over slices when they get its file."""
+    each = tried.select("base").distinct().select("base", F.posexplode(candidates(F.col("base"))).alias("rank", "to_path"))
+    there = each.join(files.select(F.col("path").alias("to_path")).distinct(), "to_path", "left_semi")
+    found = there.groupBy("base").agg(F.min_by("to_path", "rank").alias("to_path"))
+    return salted_join(tried, found, "base", [F.col(k) for k in keys], "inner").select(*keys, "to_path")
 
 
 def resolve_relative(imports: DataFrame, files: DataFrame) -> DataFrame:

@@ -126,10 +126,16 @@ def import_sources(spark: SparkSession, d: str) -> DataFrame:
 _KNOWN = "(SELECT DISTINCT path FROM indexed_files)"
 
 
+# A folder and the step up after it, taken away as often as paths of the tables have any.
+_UP = "b"
+for _ in range(8):
+    _UP = f"regexp_replace({_UP}, '(^|/)(?:[^/.]|\\.[^/.])[^/]*/\\.\\.(/|$)', '\\1')"
+
+
 @query(
     "resolve_imports",
     f"""
-WITH base AS (SELECT DISTINCT from_path, source, regexp_replace(from_path, '/?[^/]*$', '') || '/' || regexp_replace(source, '^\\./', '') AS b FROM {_IMPORTS} WHERE source LIKE './%' AND source NOT LIKE '%..%'),
+WITH base AS (SELECT DISTINCT from_path, source, {_UP} AS b FROM (SELECT *, regexp_replace(regexp_replace(from_path, '/?[^/]*$', '') || '/' || source, '/\\./', '/', 'g') AS b FROM {_IMPORTS} WHERE source LIKE '.%')),
 tried AS (
   SELECT from_path, source, 0 AS rank, b AS to_path FROM base WHERE regexp_matches(b, '\\.(ts|tsx|js|jsx)$')
   UNION ALL SELECT from_path, source, 1 + s.i, regexp_replace(b, '\\.js$', '') || s.x FROM base, (SELECT unnest(range(8)) AS i, unnest(['.ts', '.tsx', '.js', '.jsx', '/index.ts', '/index.tsx', '/index.js', '/index.jsx']) AS x) s WHERE b LIKE '%.js'
