@@ -3,9 +3,10 @@
 Byte-level BPE never merges across the pieces that its split pattern makes, so the ids of a text are the ids of its pieces
 in order. The split runs in the JVM; every distinct piece is encoded once; the ids are joined back by position.
 
-Words that make up at least 1 / HOT_WORDS of all words are at most HOT_WORDS many; those of bounded length are joined by
-broadcast (at most HOT_WORDS rows of HOT_CHARS characters), so frequent words are never shuffled to one task. All other
-words are joined by a shuffle, in which each has less than 1 / HOT_WORDS of the rows.
+Words that make up at least 1 / HOT_WORDS of all words are at most HOT_WORDS many; those of bounded length are broadcast
+(at most HOT_WORDS rows of HOT_CHARS characters) and looked up a batch of documents at a time, so frequent words are never
+shuffled. A document is then a row of segments of ids with a rare word between each two. Only rare words are joined by a
+shuffle, in which each has less than 1 / HOT_WORDS of the rows, and put back between their segments.
 
 Defined cases: empty and null texts have an empty list; text that looks like a special token is ordinary text; copies are
 encoded alike; an empty table gives no rows; other columns are ignored.
@@ -17,7 +18,10 @@ import base64
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,20 +70,45 @@ def word_table(found: DataFrame, vocabulary: str) -> DataFrame:
     return cut(counted.mapInPandas(run, "word string, n long, ids array<int>"))
 
 
+def segmented(words: pa.ListArray, hot: pa.Array, hot_ids: pa.ListArray) -> tuple[pa.ListArray, pa.ListArray]:
+    """(the ids of each document's frequent words, cut where a rare one stands; its rare words in order)."""
+    flat = words.flatten()
+    found = pc.index_in(flat, value_set=hot)
+    is_rare = pc.is_null(found)
+    ids = hot_ids.take(found.drop_null()).flatten()
+    where, rare_at = found.fill_null(-1).to_numpy(zero_copy_only=False), np.flatnonzero(is_rare.to_numpy(zero_copy_only=False))
+    # How many ids stand before each word; the last entry is the number of all.
+    before = np.concatenate([[0], np.cumsum(np.where(where < 0, 0, pc.list_value_length(hot_ids).to_numpy(zero_copy_only=False)[where] if len(hot) else 0))])
+    begin = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))])
+    # A segment begins with each document and after each rare word.
+    order = np.argsort(np.concatenate([begin[:-1] * 2, rare_at * 2 + 1]), kind="stable")
+    starts = before[np.concatenate([begin[:-1], rare_at])[order]]
+    n_rare = np.searchsorted(rare_at, begin)
+    inner = pa.ListArray.from_arrays(pa.array(np.append(starts, len(ids)), pa.int32()), ids.cast(pa.int32()))
+    segments = pa.ListArray.from_arrays(pa.array(n_rare + np.arange(len(begin)), pa.int32()), inner)
+    return segments, pa.ListArray.from_arrays(pa.array(n_rare, pa.int32()), flat.filter(is_rare))
+
+
 def encode_corpus(docs: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """(doc_id, ids) of every document."""
     texts = docs.where(F.length("text") > 0).select("doc_id", "text")
     table = word_table(words(texts), os.path.join(folder, f"{tokenizer}.tiktoken"))
     total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     is_hot = (F.col("n") * HOT_WORDS >= total) & (F.length("word") <= HOT_CHARS)
-    hot = F.broadcast(table.where(is_hot).select("word", F.col("ids").alias("hot_ids")))
-    marked = words(spread(texts, "doc_id")).join(hot, "word", "left")
-    in_order = lambda ids: F.collect_list(F.when(ids.isNotNull(), F.struct("pos", ids.alias("ids"))))
-    # Documents lie together since they were spread, so the frequent words are put together where they are.
-    frequent = marked.groupBy("doc_id").agg(in_order(F.col("hot_ids")).alias("parts"))
-    rare = marked.where("hot_ids is null").select("doc_id", "pos", "word").join(table.where(~is_hot).select("word", "ids").hint("shuffle_hash"), "word").groupBy("doc_id").agg(in_order(F.col("ids")).alias("more"))
-    parts = F.array_sort(F.concat("parts", F.coalesce("more", F.array().cast("array<struct<pos: int, ids: array<int>>>"))))
-    lists = frequent.join(rare, "doc_id", "left").select("doc_id", F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"))
+    hot = table.where(is_hot).select("word", "ids").toArrow()  # at most HOT_WORDS rows
+    shared = docs.sparkSession.sparkContext.broadcast((hot.column("word").combine_chunks(), hot.column("ids").combine_chunks()))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            segments, rare = segmented(b.column("words"), *shared.value)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), segments, rare], names=["doc_id", "segments", "rare"])
+
+    split = spread(texts, "doc_id").select("doc_id", F.regexp_extract_all("text", F.lit(SPLIT), F.lit(0)).alias("words"))
+    placed = cut(split.mapInArrow(place, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, segments array<array<int>>, rare array<string>"))
+    rare = placed.select("doc_id", F.posexplode("rare").alias("pos", "word")).join(table.where(~is_hot).select("word", "ids").hint("shuffle_hash"), "word")
+    rare = rare.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("between")).select("doc_id", F.transform("between", lambda x: x["ids"]).alias("between"))
+    whole = F.flatten(F.transform("segments", lambda s, i: F.when(i == 0, s).otherwise(F.concat(F.get("between", i - 1), s))))
+    lists = placed.join(rare, "doc_id", "left").select("doc_id", whole.alias("ids"))
     empty = docs.where(F.coalesce(F.length("text"), F.lit(0)) == 0).select("doc_id", F.array().cast("array<int>").alias("ids"))
     return lists.unionByName(empty)
 

@@ -50,6 +50,25 @@ def test_look_pairs(spark):
     assert lookalike.look_pairs(docs(spark, texts).limit(0)).count() == 0
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abcdefg"), max_size=6), max_size=5), st.sets(st.sampled_from("abcdefg")))
+def test_segments_and_rare_words_in_order(docs_, hot):
+    import pyarrow as pa
+
+    ids = {w: [ord(w), 1][: 1 + i % 2] for i, w in enumerate(sorted(hot))}
+    kind = pa.list_(pa.int32())
+    got = encode.segmented(pa.array(docs_, pa.list_(pa.string())), pa.array(list(ids), pa.string()), pa.array(list(ids.values()), kind))
+    for words, segments, rare in zip(docs_, got[0].to_pylist(), got[1].to_pylist()):
+        assert rare == [w for w in words if w not in hot] and len(segments) == len(rare) + 1
+        want = [[]]
+        for w in words:
+            if w in hot:
+                want[-1] += ids[w]
+            else:
+                want.append([])
+        assert segments == want
+
+
 def test_encoding_round_trip_and_ids(spark):
     tokenizers = pytest.importorskip("tokenizers")
     import os
@@ -59,6 +78,9 @@ def test_encoding_round_trip_and_ids(spark):
     t = tokenizers.Tokenizer.from_file(os.path.join(encode.TOKENIZERS, "byte_bpe_50k.json"))
     t.encode_special_tokens = True
     assert got == {i: t.encode(x or "", add_special_tokens=False).ids for i, x in enumerate(texts)}
+    limit, encode.HOT_WORDS = encode.HOT_WORDS, 8  # most words are rare
+    assert got == {r.doc_id: r.ids for r in encode.encode_corpus(docs(spark, texts)).collect()}
+    encode.HOT_WORDS = limit
     back = {r.doc_id: r.text for r in encode.decode_corpus(encode.encode_corpus(docs(spark, texts))).collect()}
     assert back == {i: x or "" for i, x in enumerate(texts)}
     assert encode.encode_corpus(docs(spark, texts).limit(0)).count() == 0
