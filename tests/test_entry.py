@@ -17,4 +17,4 @@ def test_the_core_does_not_need_the_llm_subpackage():
 
 def test_entry(spark):
     df = entry.entry(spark)
-    assert df.columns == ["budget", "path", "kept", "level", "tokens"] and df.count() > 0
+    assert df.columns == ["budget", "path", "kept", "level", "tokens", "no_skeleton"] and df.count() > 0
