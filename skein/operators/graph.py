@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.operators.skew import Salt
 from skein.schemas import FAR
 from skein.session import cut, cut_with
 
+#: Slices into which the steps of every node are dealt.
+SLICES = 8
+
 
 def replace_out_edges(edges: DataFrame, sources: DataFrame, new: DataFrame) -> DataFrame:
     """The edges with all out-edges of sources(from_path) replaced by the new ones; each edge once."""
@@ -32,12 +34,14 @@ def out_degrees(edges: DataFrame) -> DataFrame:
 def _walk(steps: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(path, depth): the fewest steps(a, b) from any of seeds(path). The steps are written once; a round joins the frontier
     with them and takes away what was seen. Frontiers are distinct, so a hub that many nodes lead to is one row in the next
-    round; the many steps of a hub itself are dealt over slices. Rows are counted while they are written."""
-    steps, seen = cut(steps), cut(seeds.select("path").distinct().withColumn("depth", F.lit(0)))
-    salt = Salt(steps, "a", [F.col("b")], keep=cut)
+    round; the many steps of a hub itself are dealt over SLICES, as those of all nodes are. Rows are counted while they are
+    written."""
+    steps = cut(steps.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SLICES)).cast("int").alias("slice")))
+    seen = cut(seeds.select("path").distinct().withColumn("depth", F.lit(0)))
+    slices = F.explode(F.array(*[F.lit(i) for i in range(SLICES)])).alias("slice")
     front = seen
     for d in range(1, depth + 1):
-        reached = salt.join(steps, front.select(F.col("path").alias("a"))).select(F.col("b").alias("path")).distinct()
+        reached = steps.join(front.select(F.col("path").alias("a"), slices), ["a", "slice"]).select(F.col("b").alias("path")).distinct()
         front, count = cut_with(reached.join(seen.select("path"), "path", "left_anti").withColumn("depth", F.lit(d)), n=F.count(F.lit(1)))
         if not count["n"]:
             break
