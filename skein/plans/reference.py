@@ -301,7 +301,7 @@ def _fit_sql(rows: str, room: str) -> str:
 
 @query("budget_greedy", f"WITH RECURSIVE items AS (SELECT row_number() OVER (ORDER BY rank) AS n, path, symbols AS cost FROM {_COSTS} WHERE bucket = 'touched'), {_fit_sql('items', '1500')} SELECT path FROM fit WHERE kept")
 def budget_greedy(spark: SparkSession, d: str) -> DataFrame:
-    return budget.first_fit(_costs(spark, d).where("bucket = 'touched'"), 1500, cost="symbols").select("path")
+    return budget.first_fit(cut(_costs(spark, d).where("bucket = 'touched'")), 1500, cost="symbols").select("path")
 
 
 def _cascade_sql(budgets: tuple[int, ...]) -> str:
