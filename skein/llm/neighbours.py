@@ -4,15 +4,19 @@
    with equal vectors of a model become one class, so copies, however many, are compared once. All models go through one
    pass: their cells are numbered one after the other, and no vector meets those of another model.
 2. Per model, cell centres are fitted in two levels on a bounded sample (SAMPLE vectors, or PER_CENTRE for each centre);
-   every vector is indexed in its nearest cell and searches its PROBES nearest cells. Cells hold about CELL vectors, up to
-   MAX_CELLS cells a model, that is up to 16.7 million vectors; beyond that cells grow in proportion. Crowded cells are
-   dealt into blocks of vectors and of searches, so no task gets a whole one.
+   every vector is compared with all centres, indexed in its nearest cell and searches its PROBES nearest cells at first.
+   Cells hold about CELL classes, up to MAX_CELLS cells a model, that is up to 16.7 million classes; beyond that cells grow
+   in proportion. Crowded cells are dealt into blocks of vectors and of searches, so no task gets a whole one.
 3. Vectors are one-bit codes of the randomly rotated residual to their cell's centre, packed in bytes, with correction
    scalars. In the own cell, the best estimates are reranked first, and then all vectors whose estimate with its error
    bound reaches the k-th cosine so found. That cosine is the floor for the other cells, which are searched by codes alone:
    what travels there is the search vector in four bits per number, and what comes back are the pairs whose error bound
    reaches the floor. Only for these are vectors fetched and cosines computed.
-4. The k best of all cells per class are spread to the files of the classes; equal cosines are ordered by path.
+4. The more cells there are, the more neighbours lie in cells not asked. So, for models with more than PROBES cells, the
+   vectors that are linked to one vector meet there and are compared; and a sample of the searches is compared with all
+   vectors of the model by brute force, which says what share of the neighbours is known. Rounds of meetings go on until it
+   is ENOUGH; where they bring little, twice as many cells are asked, up to all of them.
+5. The k best of all cells per class are spread to the files of the classes; equal cosines are ordered by path.
 
 Recall against brute force: see README; the tests hold it at 0.95 or more. Defined cases: null or empty paths and models are
 values like others (a null path is no file); rows with null created_at are older than all others; ties in created_at take
@@ -28,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,12 +43,17 @@ K = 5
 #: Vectors per model on which centres are fitted, at least; and per centre, if that is more.
 SAMPLE, PER_CENTRE = 20_000, 4
 CELL, MAX_CELLS, PROBES = 256, 65_536, 12
-#: Up to so many cells there is one level of centres. In two levels, a vector looks below this many of the upper centres.
-FLAT, BELOW = 1_024, 16
+#: Up to so many cells, centres are fitted in one level. Centres are compared in runs of so many.
+FLAT, RUN = 1_024, 32
 #: Models are numbered on the driver; their number is checked.
 MAX_MODELS = 1_000
 #: Rows of a block of a cell's vectors, and of its searches.
 BLOCK, SEARCH_BLOCK = 2_048, 16_384
+#: Share of the neighbours that must be there, by brute force for so many searches of a model; a round that closes less than
+#: LITTLE of what is missing is the last before further cells are asked.
+ENOUGH, MEASURED, LITTLE = 0.995, 400, 0.25
+#: Vectors, nearest first, that meet at one of which they are searches.
+LINKS = 32
 #: Width of the error bound of an estimate, in standard deviations.
 WIDTH = 1.9
 
@@ -102,7 +112,7 @@ class Cells:
 
     def __init__(self, sample: np.ndarray, n: int, first: int = 0, rounds: int = 8, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.first, self.upper, self.starts = first, None, None
+        self.first, self.upper = first, None
         if n <= FLAT:
             self.c = _fit(sample, n, rounds, rng)
             return
@@ -111,31 +121,31 @@ class Cells:
         size = np.bincount(home, minlength=len(self.upper))
         share = np.maximum(1, np.rint(n * size / len(sample))).astype(int)
         below = [_fit(sample[home == i], share[i], rounds, rng) if size[i] else self.upper[i : i + 1] for i in range(len(self.upper))]
-        self.c, self.starts = np.concatenate(below), np.cumsum([0, *map(len, below)])
+        self.c = np.concatenate(below)
 
     def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
-        """The numbers (from 0) of the n nearest centres of each vector, nearest first; -1 where there are no more."""
-        if self.upper is None:
-            return _best(x, self.c, min(n, len(self.c)))
-        tops = _best(x, self.upper, min(BELOW, len(self.upper)))
-        score, cell = np.full((len(x), n), -np.inf, dtype=np.float32), np.full((len(x), n), -1, dtype=np.int64)
-        for t in np.unique(tops):
-            rows = np.flatnonzero((tops == t).any(axis=1))
-            a, b = self.starts[t], self.starts[t + 1]
-            s = x[rows] @ self.c[a:b].T - 0.5 * (self.c[a:b] ** 2).sum(axis=1)
-            s, c = np.concatenate([score[rows], s], axis=1), np.concatenate([cell[rows], np.broadcast_to(np.arange(a, b), s.shape)], axis=1)
-            top = np.argsort(-s, axis=1, kind="stable")[:, :n]
-            score[rows], cell[rows] = np.take_along_axis(s, top, 1), np.take_along_axis(c, top, 1)
-        return cell
+        """The numbers (from 0) of the n nearest centres of each vector, nearest first. All centres are compared: upper ones say
+        too little about where a vector's neighbours are."""
+        return _best(x, self.c, min(n, len(self.c)))
 
 
 def _best(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
     """The n nearest centres of each vector, nearest first."""
     out = []
     half = 0.5 * (c * c).sum(axis=1)
-    for i in range(0, len(x), 2048):
-        s = x[i : i + 2048] @ c.T - half
-        top = np.argpartition(-s, min(n, s.shape[1]) - 1, axis=1)[:, :n]
+    runs = len(c) // RUN if len(c) >= 4 * RUN * n else 0
+    rows = max(16, min(2048, 8_388_608 // max(len(c), 1)))
+    for i in range(0, len(x), rows):
+        s = x[i : i + rows] @ c.T - half
+        if runs:  # the n best are in the n runs of centres with the best, or after the last whole run
+            best = s[:, : runs * RUN].reshape(len(s), runs, RUN).max(axis=2)
+            run = np.argpartition(-best, n - 1, axis=1)[:, :n]
+            among = (run[:, :, None] * RUN + np.arange(RUN)).reshape(len(s), -1)
+            among = np.concatenate([among, np.broadcast_to(np.arange(runs * RUN, len(c)), (len(s), len(c) - runs * RUN))], axis=1)
+            few = np.take_along_axis(s, among, 1)
+            top = np.take_along_axis(among, np.argpartition(-few, n - 1, axis=1)[:, :n], 1)
+        else:
+            top = np.argpartition(-s, min(n, s.shape[1]) - 1, axis=1)[:, :n]
         out.append(np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1))
     return np.concatenate(out) if out else np.zeros((0, n), dtype=np.int64)
 
@@ -242,10 +252,27 @@ def search_codes(
     return tuple(np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
 
 
+def meetings(m: np.ndarray, ids: np.ndarray, x: np.ndarray, lost: np.ndarray, floor: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(search id, found id, lower and upper bound of the cosine) of the pairs of vectors with the same m that may reach the
+    floor of the search and are not among what is known of it. m ascends; x: the vectors as rounded to bytes."""
+    n = np.searchsorted(m, m, "right") - np.arange(len(m)) - 1
+    found, ends = [], np.cumsum(n)
+    for first in range(0, int(ends[-1]) if len(ends) else 0, 65_536):
+        pair = np.arange(first, min(first + 65_536, ends[-1]))
+        i = np.searchsorted(ends, pair, "right")
+        j = i + 1 + pair - (ends[i] - n[i])
+        s = np.einsum("ij,ij->i", x[i], x[j])
+        for a, b in ((i, j), (j, i)):
+            off = lost[a] + lost[b] * (1 + lost[a]) + 1e-6
+            keep = (s + off >= floor[a]) & ~(known[a] == ids[b][:, None]).any(axis=1) & (ids[a] != ids[b])
+            found.append((ids[a][keep], ids[b][keep], (s - off)[keep], (s + off)[keep]))
+    return tuple(np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+
+
 def _cells(files: DataFrame, vectors: DataFrame, cell: int) -> dict[str, Cells]:
-    """The cells of each model, fitted on a sample of its rows. files: model; vectors: model, vector."""
+    """The cells of each model, fitted on a sample of its rows. files: model, h1, h2; vectors: model, vector."""
     count = lambda df: {r.model: r.n for r in df.groupBy("model").agg(F.count(F.lit(1)).alias("n")).limit(MAX_MODELS + 1).collect()}
-    sizes, rows = count(files), count(vectors)
+    sizes, rows = count(files.select("model", "h1", "h2").distinct()), count(vectors)  # copies fill no cell
     if len(rows) > MAX_MODELS:
         raise ValueError(f"more than {MAX_MODELS} models")
     n_cells = {m: max(1, min(MAX_CELLS, math.ceil(n / cell))) for m, n in sizes.items()}
@@ -263,7 +290,7 @@ def _numpy(column: pa.Array, kind: type, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, width)
 
 
-def _search(classes: DataFrame, cells: dict[str, Cells], k: int, probes: int) -> tuple[DataFrame, DataFrame]:
+def _search(classes: DataFrame, cells: dict[str, Cells], k: int, probes: int, enough: float) -> tuple[DataFrame, DataFrame]:
     """(placed classes with id, h1, h2, size; (a, b, cosine) of the k best of every class). classes: model, h1, h2, size, vector."""
     spark = classes.sparkSession
     shared = spark.sparkContext.broadcast(cells)  # at most MAX_CELLS centres a model
@@ -277,7 +304,7 @@ def _search(classes: DataFrame, cells: dict[str, Cells], k: int, probes: int) ->
                 codes, norm, fix = encode(x, own.c[near[:, 0]], rot)
                 bytes_, step, lost = rounded(x)
                 yield pd.DataFrame({
-                    "id": part["id"], "h1": part["h1"], "h2": part["h2"], "size": part["size"], "model": model, "cells": list(np.where(near < 0, -1, near + own.first).astype(np.int64)), "x": [r.tobytes() for r in x],
+                    "id": part["id"], "h1": part["h1"], "h2": part["h2"], "size": part["size"], "model": model, "cells": list((near + own.first).astype(np.int64)), "x": [r.tobytes() for r in x],
                     "code": [r.tobytes() for r in codes], "norm": norm.astype(np.float32), "fix": fix.astype(np.float32), "x8": [r.tobytes() for r in bytes_], "step": step, "lost": lost,
                 })
 
@@ -316,8 +343,8 @@ def _search(classes: DataFrame, cells: dict[str, Cells], k: int, probes: int) ->
     )
     found = single.select(*columns).unionByName(many).groupBy("cell", "block", "part").applyInArrow(own_cell, "a long, b long, cosine double")
     w = Window.partitionBy("a").orderBy(F.col("cosine").desc(), "b")
-    best = lambda hits: hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    first = cut(best(found))
+    best = lambda hits: cut(hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+    first = best(found)
 
     def by_codes(key: tuple, t: pa.Table) -> pa.Table:
         ask, model = t.column("ask").to_numpy(), shared.value[t.column("model")[0].as_py()]
@@ -331,37 +358,143 @@ def _search(classes: DataFrame, cells: dict[str, Cells], k: int, probes: int) ->
         a, b, low, high = search_codes(v["id"][own], code, v["norm"][own], v["fix"][own], x[own], v["lost"][own], v["id"][~own], x[~own], v["lost"][~own], model.c[key[0].as_py() - model.first], rotation(d), v["floor"][~own], k)
         return pa.table({"a": a, "b": b, "low": low.astype(np.float32), "high": high.astype(np.float32)})
 
-    floors = first.where(F.col("rank") == k).select(F.col("a").alias("id"), F.col("cosine").cast("float").alias("floor"))
     none = F.lit(None).cast("float")
-    asking = placed.select("id", "model", "x8", "step", "lost", F.explode(F.slice("cells", 2, probes)).alias("cell")).where("cell >= 0").join(floors, "id", "left")
-    asking = asking.select("cell", "model", "id", "x8", "step", "lost", F.lit(None).cast("binary").alias("code"), none.alias("norm"), none.alias("fix"), F.coalesce("floor", F.lit(-2.0).cast("float")).alias("floor"))
-    p2 = blocks(placed.select(F.explode(F.slice("cells", 2, probes)).alias("cell")))
-    columns = ["cell", "block", "part", "ask", "model", "id", "x8", "step", "lost", "code", "norm", "fix", "floor"]
-    codes = placed.select(home, "model", "id", "x8", "step", "lost", "code", "norm", "fix", none.alias("floor"))
-    both = deal(codes, p2, "nb", "nq", "block", "part").withColumn("ask", F.lit(0)).select(*columns).unionByName(deal(asking, p2, "nq", "nb", "part", "block").withColumn("ask", F.lit(1)).select(*columns))
-    pairs = both.groupBy("cell", "block", "part").applyInArrow(by_codes, "a long, b long, low float, high float")
-    # Of all cells together, too, only what reaches the k-th lower bound may be among the k best.
-    all_of = Window.partitionBy("a").orderBy(F.col("low").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    pairs = pairs.withColumn("least", F.nth_value("low", k).over(all_of)).where(F.col("least").isNull() | (F.col("high") >= F.col("least"))).select("a", "b")
+    bounds = "a long, b long, low float, high float"
+    floors = lambda hits: hits.where(F.col("rank") == k).select(F.col("a").alias("id"), F.col("cosine").cast("float").alias("floor"))
+
+    def through_cells(known: DataFrame, tries: DataFrame) -> DataFrame:
+        """(a, b, low, high) of what may be better than what is known. tries: id, model, x8, step, lost, cell."""
+        asking = tries.join(floors(known), "id", "left")
+        asking = asking.select("cell", "model", "id", "x8", "step", "lost", F.lit(None).cast("binary").alias("code"), none.alias("norm"), none.alias("fix"), F.coalesce("floor", F.lit(-2.0).cast("float")).alias("floor"))
+        p2 = blocks(tries.select("cell"))
+        columns = ["cell", "block", "part", "ask", "model", "id", "x8", "step", "lost", "code", "norm", "fix", "floor"]
+        codes = placed.select(home, "model", "id", "x8", "step", "lost", "code", "norm", "fix", none.alias("floor"))
+        both = deal(codes, p2, "nb", "nq", "block", "part").withColumn("ask", F.lit(0)).select(*columns).unionByName(deal(asking, p2, "nq", "nb", "part", "block").withColumn("ask", F.lit(1)).select(*columns))
+        return both.groupBy("cell", "block", "part").applyInArrow(by_codes, bounds)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            width = pc.binary_length(t.column("x8")).to_numpy()
+            for d in np.unique(width):
+                own = t.filter(pa.array(width == d))
+                v = {c: own.column(c).to_numpy() for c in ("m", "id", "step", "lost", "floor")}
+                x = _numpy(own.column("x8"), np.int8, d) * v["step"][:, None]
+                seen = np.concatenate([z.flatten().to_numpy() for z in own.column("seen").chunks]).reshape(-1, k)
+                a, b, low, high = meetings(v["m"], v["id"], x, v["lost"], v["floor"], seen)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(low.astype(np.float32)), pa.array(high.astype(np.float32))], names=["a", "b", "low", "high"])
+
+        rest = None
+        for batch in batches:
+            if batch.num_rows:
+                t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+                m = t.column("m").to_numpy()
+                whole = int(np.searchsorted(m, m[-1]))  # the last m may go on in the next batch
+                rest = t.slice(whole)
+                yield from pairs_of(t.slice(0, whole))
+        if rest is not None:
+            yield from pairs_of(rest)
+
+    def through_neighbours(known: DataFrame, members: DataFrame) -> DataFrame:
+        """As through_cells, of the neighbours of one vector among each other, seen from both sides. members: rows of placed."""
+        hits = known.join(members.select(F.col("id").alias("a")), "a", "left_semi")
+        back = Window.partitionBy("m").orderBy(F.col("cosine").desc(), "id")
+        asked_by = hits.select(F.col("b").alias("m"), F.col("a").alias("id"), "cosine").withColumn("r", F.row_number().over(back)).where(F.col("r") <= LINKS).select("m", "id")
+        links = hits.select(F.col("a").alias("m"), F.col("b").alias("id")).unionByName(asked_by).unionByName(members.select(F.col("id").alias("m"), "id")).distinct()
+        seen = hits.groupBy(F.col("a").alias("id")).agg(F.collect_list("b").alias("seen")).select("id", F.concat("seen", F.array_repeat(F.lit(-1).cast("long"), F.lit(k) - F.size("seen"))).alias("seen"))
+        no = F.array_repeat(F.lit(-1).cast("long"), k)
+        able = members.select("id", "x8", "step", "lost").join(seen, "id", "left").join(floors(hits), "id", "left").select("id", "x8", "step", "lost", F.coalesce("seen", no).alias("seen"), F.coalesce("floor", F.lit(-2.0).cast("float")).alias("floor"))
+        groups = salted_join(links, able, "id", [F.col("m")], "inner").select("m", "id", "x8", "step", "lost", "seen", "floor")
+        met = groups.repartition("m").sortWithinPartitions("m").mapInArrow(meet, bounds)
+        return met.groupBy("a", "b").agg(F.max("low").alias("low"), F.max("high").alias("high"))  # a pair meets at several vectors
 
     def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             s = np.array([np.dot(np.frombuffer(u, np.float32).astype(np.float64), np.frombuffer(v, np.float32).astype(np.float64)) for u, v in zip(t.column("xa").to_pylist(), t.column("xb").to_pylist())], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(s)], names=["a", "b", "cosine"])
 
-    there = salted_join(cut(pairs), placed.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b", [F.col("a")], "inner")
-    more = there.join(placed.select(F.col("id").alias("a"), F.col("x").alias("xa")), "a").select("a", "b", "xa", "xb").mapInArrow(cosines, "a long, b long, cosine double")
-    return placed, best(first.drop("rank").unionByName(more)).drop("rank")
+    # Of all cells together, too, only what reaches the k-th lower bound may be among the k best.
+    all_of = Window.partitionBy("a").orderBy(F.col("low").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+    def better(known: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The k best of what is known and of further pairs (a, b, low, high)."""
+        pairs = cut(pairs.withColumn("least", F.nth_value("low", k).over(all_of)).where(F.col("least").isNull() | (F.col("high") >= F.col("least"))).select("a", "b"))
+        there = salted_join(pairs, placed.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b", [F.col("a")], "inner")
+        more = there.join(placed.select(F.col("id").alias("a"), F.col("x").alias("xa")), "a").select("a", "b", "xa", "xb").mapInArrow(cosines, "a long, b long, cosine double")
+        return best(known.drop("rank").unionByName(more))
+
+    def asked(batches: Iterator[pd.DataFrame], start: int, stop: int) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for model, part in pdf.groupby("model"):
+                own = shared.value[model]
+                near = own.nearest(_numpy(pa.array(part["x"]), np.float32, own.c.shape[1]), stop)[:, start:]
+                yield part.drop(columns="x").assign(cells=list((near + own.first).astype(np.int64)))
+
+    known = better(first, through_cells(first, placed.select("id", "model", "x8", "step", "lost", F.explode(F.slice("cells", 2, probes)).alias("cell"))))
+    # Where cells are left out, brute force for a sample of the searches says what share of the neighbours is there.
+    open_ = {m for m in cells if len(cells[m].c) > probes}
+    true = _truth(placed, open_, k) if open_ else []
+    share = _share(known, true)
+    met = False  # neighbours meet once at least
+    while open_ := {m for m in open_ if not met or share[m] < enough}:
+        members = placed.where(F.col("model").isin(*open_))
+        gain = 1.0
+        while not met or gain >= LITTLE and min(share[m] for m in open_) < enough:
+            known = better(known, through_neighbours(known, members))
+            met, before, share = True, share, _share(known, true)
+            gain = max((share[m] - before[m]) / max(1 - before[m], 1e-9) for m in open_)
+        open_ = {m for m in open_ if share[m] < enough and probes < len(cells[m].c)}
+        if open_:
+            kinds = "id long, model string, x8 binary, step float, lost float, cells array<long>"
+            tries = placed.where(F.col("model").isin(*open_)).select("id", "model", "x", "x8", "step", "lost").mapInPandas(lambda z, a=probes, b=2 * probes: asked(z, a, b), kinds)
+            tries = cut(tries).withColumn("cell", F.explode("cells")).drop("cells")
+            known = better(known, through_cells(known, tries).join(known.select("a", "b"), ["a", "b"], "left_anti"))
+            probes, share = 2 * probes, _share(known, true)
+    return placed, known.drop("rank")
+
+
+def _truth(placed: DataFrame, models: set[str], k: int) -> list[tuple[str, int, float, int]]:
+    """(model, id, least cosine of the k best, their number) of a sample of the vectors of each model, by brute force."""
+    spark, here = placed.sparkSession, placed.where(F.col("model").isin(*models))
+    n = {r.model: r.n for r in here.groupBy("model").agg(F.count(F.lit(1)).alias("n")).collect()}
+    each = max(50, min(MEASURED, 40_000 // len(n)))
+    picked = here.sampleBy("model", {m: min(1.0, each / n[m]) for m in n}, 5).select("model", "id", "x").collect()
+    own = {m: ([r for r in picked if r.model == m]) for m in n}
+    asks = spark.sparkContext.broadcast({m: (np.array([r.id for r in rows]), np.array([np.frombuffer(r.x, np.float32) for r in rows])) for m, rows in own.items() if rows})
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tops: dict[str, np.ndarray] = {}
+        for pdf in batches:
+            for model, part in pdf.groupby("model"):
+                if model in asks.value:
+                    ids, q = asks.value[model]
+                    s = q @ _numpy(pa.array(part["x"]), np.float32, q.shape[1]).T
+                    s[ids[:, None] == part["id"].to_numpy()[None, :]] = -np.inf
+                    tops[model] = -np.partition(-np.concatenate([tops.get(model, np.full((len(q), k), -np.inf, np.float32)), s], axis=1), k - 1, axis=1)[:, :k]
+        for model, top in tops.items():
+            yield pd.DataFrame({"model": model, "id": np.repeat(asks.value[model][0], k), "cosine": top.ravel()})
+
+    w = Window.partitionBy("model", "id").orderBy(F.col("cosine").desc())
+    best = here.select("model", "id", "x").mapInPandas(compare, "model string, id long, cosine float").where(F.col("cosine") >= -2).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+    return [tuple(r) for r in best.groupBy("model", "id").agg(F.min("cosine").alias("least"), F.count(F.lit(1)).alias("n")).collect()]
+
+
+def _share(known: DataFrame, true: list[tuple[str, int, float, int]]) -> dict[str, float]:
+    """The share of the sample's neighbours that is known, by model; equal cosines count as equal."""
+    if not true:
+        return {}
+    wanted = F.broadcast(known.sparkSession.createDataFrame(true, "model string, a long, least double, n long"))  # at most a sample of each model
+    hits = {r.model: r.hits for r in known.join(wanted, "a").where(F.col("cosine") >= F.col("least") - 2e-6).groupBy("model").agg(F.count(F.lit(1)).alias("hits")).collect()}
+    return {m: hits.get(m, 0) / sum(t[3] for t in true if t[0] == m) for m in {t[0] for t in true}}
 
 
-def nearest(rows: DataFrame, k: int = K, cell: int = CELL, probes: int = PROBES) -> DataFrame:
+def nearest(rows: DataFrame, k: int = K, cell: int = CELL, probes: int = PROBES, enough: float | None = None) -> DataFrame:
     """(path, other, cosine, rank): the k most similar other files of every file."""
     files = cut(latest(rows))
     good = rows.where(_good())
     # Copies of a vector are gone before rows are joined; a class is then one row, whose vector is moved once.
     sizes = files.groupBy("h1", "h2").agg(F.first("model").alias("model"), F.count(F.lit(1)).alias("size"))
     vectors = good.select(*_key(), "vector").groupBy("h1", "h2").agg(F.first("vector").alias("vector"))
-    placed, found = _search(sizes.join(vectors, ["h1", "h2"]), _cells(files, good.select(_model().alias("model"), "vector"), cell), k, probes)
+    placed, found = _search(sizes.join(vectors, ["h1", "h2"]), _cells(files, good.select(_model().alias("model"), "vector"), cell), k, probes, ENOUGH if enough is None else enough)
     # The least k + 1 paths of a class are all of it that any file can need.
     leads = placed.select("id", "h1", "h2").join(_least_members(files, k + 1), ["h1", "h2"]).select("id", "member")
     near = found.join(leads.select(F.col("id").alias("b"), "member"), "b").select(F.col("a").alias("id"), "member", "cosine")

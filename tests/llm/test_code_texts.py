@@ -229,3 +229,24 @@ def test_crowded_cells_and_several_models(spark):
         neighbours.BLOCK, neighbours.SEARCH_BLOCK = keep
     want = brute(rows, 5)
     assert len(got & want) >= 0.97 * len(want)
+
+
+@pytest.mark.parametrize("copies, noise", [(10, 0.4), (1, 0.0)])
+def test_few_probes_of_many_cells_lose_nothing(spark, copies, noise):
+    """Neighbours that lie in cells not asked at first are found, in groups of near vectors and where there are none."""
+    rng = np.random.default_rng(12)
+    x = np.repeat(rng.standard_normal((1500 // copies, 24)), copies, axis=0) + noise * rng.standard_normal((1500, 24))
+    rows = [(f"f{i:04}", v.astype(np.float32).tolist(), 24, "m", D(2025, 1, 2)) for i, v in enumerate(x)]
+    rows += [(f"g{i:03}", rng.standard_normal(16).astype(np.float32).tolist(), 16, "n", D(2025, 1, 2)) for i in range(40)]
+    got = {tuple(sorted((r.path, r.other))) for r in neighbours.nearest(spark.createDataFrame([(*r, 1.0) for r in rows], SCHEMA), 5, 8, 2).collect()}
+    want = brute(rows, 5)
+    assert len(got & want) >= 0.985 * len(want) and len(got & want) >= 0.985 * len(got)
+
+
+def test_many_centres_are_all_compared():
+    rng = np.random.default_rng(13)
+    x, c = rng.standard_normal((300, 12)).astype(np.float32), rng.standard_normal((2060, 12)).astype(np.float32)
+    s = x @ c.T - 0.5 * (c * c).sum(axis=1)
+    cells = neighbours.Cells(rng.standard_normal((6000, 12)).astype(np.float32), 1200)
+    cells.c = c
+    assert (cells.nearest(x, 6) == np.argsort(-s, axis=1)[:, :6]).all()
