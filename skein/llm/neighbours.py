@@ -26,6 +26,7 @@ one file gives no pair; more than MAX_MODELS models are an error; an empty table
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 
@@ -33,7 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.operators.skew import salted_join
@@ -345,6 +346,7 @@ def _search(classes: DataFrame, cells: dict[str, Cells], k: int, probes: int, en
     w = Window.partitionBy("a").orderBy(F.col("cosine").desc(), "b")
     best = lambda hits: cut(hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
     first = best(found)
+    _release(spark)
 
     def by_codes(key: tuple, t: pa.Table) -> pa.Table:
         ask, model = t.column("ask").to_numpy(), shared.value[t.column("model")[0].as_py()]
@@ -420,7 +422,10 @@ def _search(classes: DataFrame, cells: dict[str, Cells], k: int, probes: int, en
         pairs = cut(pairs.withColumn("least", F.nth_value("low", k).over(all_of)).where(F.col("least").isNull() | (F.col("high") >= F.col("least"))).select("a", "b"))
         there = salted_join(pairs, placed.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b", [F.col("a")], "inner")
         more = there.join(placed.select(F.col("id").alias("a"), F.col("x").alias("xa")), "a").select("a", "b", "xa", "xb").mapInArrow(cosines, "a long, b long, cosine double")
-        return best(known.drop("rank").unionByName(more))
+        known = best(known.drop("rank").unionByName(more))
+        del there, more
+        _release(spark)
+        return known
 
     def asked(batches: Iterator[pd.DataFrame], start: int, stop: int) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -452,6 +457,12 @@ def _search(classes: DataFrame, cells: dict[str, Cells], k: int, probes: int, en
     return placed, known.drop("rank")
 
 
+def _release(spark: SparkSession) -> None:
+    """Shuffle files go once the driver has collected its garbage; left to itself it may do so only after the last round."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _truth(placed: DataFrame, models: set[str], k: int) -> list[tuple[str, int, float, int]]:
     """(model, id, least cosine of the k best, their number) of a sample of the vectors of each model, by brute force."""
     spark, here = placed.sparkSession, placed.where(F.col("model").isin(*models))
